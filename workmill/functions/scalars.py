@@ -30,6 +30,13 @@ def amount(value: Column, precision: int = 10, scale: int = 2) -> Column:
     return value.cast(f"decimal({precision},{scale})")
 
 
+def mean(value: Column, precision: int = 10, scale: int = 2) -> Column:
+    """Average as a decimal, rounded once (Spark's own average of a decimal
+    keeps four more digits, and rounding that again can differ)."""
+    count = F.nullif(F.count(value), F.lit(0)).cast("decimal(18,0)")
+    return (F.sum(value).cast("decimal(20,6)") / count).cast(f"decimal({precision},{scale})")
+
+
 def total(value: Column) -> Column:
     """sum(coalesce(x, 0)): NULL inputs count as nothing."""
     return F.sum(F.coalesce(value, F.lit(0)))

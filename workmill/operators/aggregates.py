@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from workmill.functions.moments import at, on
-from workmill.functions.scalars import amount, ratio, total
+from workmill.functions.scalars import amount, mean, ratio, total
 
 
 def _snapshot_key(time: DataFrame, as_of):
@@ -50,8 +50,8 @@ def daily_task_metrics(
         F.count_if(done).cast("int").alias("completed_tasks"),
         F.count_if("is_blocked").cast("int").alias("blocked_tasks"),
         F.count_if("is_overdue").cast("int").alias("overdue_tasks"),
-        amount(F.avg(F.col("days_open").cast("decimal(10,0)"))).alias("avg_days_open"),
-        amount(F.avg(F.when(done, F.date_diff("__completed", "__created")).cast("decimal(10,0)"))).alias("avg_days_to_complete"),
+        mean(F.col("days_open")).alias("avg_days_open"),
+        mean(F.when(done, F.date_diff("__completed", "__created"))).alias("avg_days_to_complete"),
         total(F.col("story_points")).cast("int").alias("total_story_points"),
         total(F.when(done, F.col("story_points"))).cast("int").alias("completed_story_points"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workmill.functions.moments import at, parse, seconds_between
-from workmill.functions.scalars import asc, desc, ratio, size_pretty
+from workmill.functions.scalars import asc, desc, mean, ratio, size_pretty
 
 
 def slowest(
@@ -26,7 +26,7 @@ def slowest(
     grouped = rows.groupBy(op).agg(
         F.count(F.lit(1)).alias("calls"),
         F.coalesce(F.sum(took), F.lit(0)).cast("decimal(24,6)").alias("total_seconds"),
-        F.avg(took).cast("decimal(20,4)").alias("mean_seconds"),
+        mean(took, 20, 4).alias("mean_seconds"),
         ratio(hits, hits + misses).alias("hit_percent"),
     )
     return grouped.orderBy(F.desc_nulls_last("mean_seconds"), asc(op)).limit(k)

@@ -15,7 +15,7 @@ from workmill.functions.moments import month_of, on
 from workmill.operators import aggregates, facts, oplog, scd2
 from workmill.operators.calendar import dim_time
 from workmill.session import cut
-from workmill.sources.tables import Versions, replace_partitions
+from workmill.sources.tables import Versions, overwrite, replace_partitions
 
 MONTH = "created_month"
 
@@ -135,7 +135,7 @@ def _incremental(
     path = f"{cfg.root}/{name}"
     incoming = incoming.withColumn(month, month_of(F.col(ts)))
     if not _written(cfg, name):
-        assign_keys(incoming, surrogate, [key]).write.mode("overwrite").partitionBy(month).parquet(path)
+        overwrite(assign_keys(incoming, surrogate, [key]), path, [month])
         return Counts(inserted=_fact(cfg, name).count())
     fact = _fact(cfg, name)
     # The classified rows feed the counters, the list of months and the write,

@@ -21,8 +21,14 @@ def read(spark: SparkSession, root: str, name: str, schema: StructType | None =
     return spark.read.schema(schema or schemas.schema(name)).parquet(f"{root}/{name}")
 
 
+def balanced(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Gather rows of a partition value into few files, splitting a hot value
+    over several tasks: AQE sizes both at run time."""
+    return df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
+
+
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    df.write.mode("append").partitionBy(*partition_by).parquet(path)
+    balanced(df, partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def append_row(spark: SparkSession, path: str, schema: StructType, **values) -> None:
@@ -33,7 +39,7 @@ def append_row(spark: SparkSession, path: str, schema: StructType, **values) ->
 
 def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Truncate and reload. `df` must not read from `path`; see `Versions`."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    balanced(df, partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
@@ -42,7 +48,8 @@ def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) ->
     A frame that reads this table must be cut first (`session.cut`).
     """
     (
-        df.write.mode("overwrite")
+        balanced(df, partition_by)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
         .parquet(path)
