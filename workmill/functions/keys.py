@@ -11,22 +11,23 @@ from workmill.session import cut
 def assign_keys(df: DataFrame, name: str, order_by: list[str], start: int = 1) -> DataFrame:
     """Number rows start, start+1, ... in the order of `order_by` (runs a job).
 
-    Rows are range-partitioned and sorted once and written to the shared
-    folder, so partition boundaries cannot move between the counting pass and
-    the numbering pass. A row's key is its partition's offset plus its place in
-    the partition. The offsets are one row per partition, so the window and the
-    broadcast below are bounded by the partition count, not by the data.
+    Rows are range-partitioned, sorted, marked with partition and place, and
+    written to the shared folder once, so boundaries cannot move between the
+    counting pass and the numbering pass. A row's key is its partition's offset
+    plus its place in the partition. The offsets are one row per partition, so
+    the window and the broadcast below are bounded by the partition count, not
+    by the data.
     """
     # The running id only separates ties, so equal keys can spread over
     # several range partitions instead of filling one.
     tie = "__tie"
     ordered = df.withColumn(tie, F.monotonically_increasing_id())
     cols = [F.col(c).asc_nulls_last() for c in order_by] + [F.col(tie)]
-    placed = cut(ordered.repartitionByRange(*cols).sortWithinPartitions(*cols).drop(tie))
-
+    sorted_rows = ordered.repartitionByRange(*cols).sortWithinPartitions(*cols).drop(tie)
     row = "__row"
-    part = F.shiftright(F.col(row), 33)
-    numbered = placed.withColumn(row, F.monotonically_increasing_id()).withColumn("__part", part)
+    # The running id holds the partition above bit 33 and the place below it.
+    placed = cut(sorted_rows.withColumn(row, F.monotonically_increasing_id()))
+    numbered = placed.withColumn("__part", F.shiftright(F.col(row), 33))
     counts = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))

@@ -15,6 +15,7 @@ from workmill.functions.measures import task_measures
 from workmill.functions.moments import at, minutes_between
 from workmill.functions.scalars import amount, distinct_from
 from workmill.operators.lookup import UNKNOWN, current, date_lookup, lookup
+from workmill.session import broadcastable
 from workmill.sources.schemas import schema
 
 # The columns whose change makes a stored task fact stale.
@@ -31,6 +32,26 @@ class Dims:
     time: DataFrame
 
 
+def _with_people(tasks: DataFrame, users: DataFrame) -> DataFrame:
+    """Add assigned_to_key and reporter_key.
+
+    With few users both lookups are broadcasts and nothing moves. Otherwise
+    each lookup shuffles its left side; then only the three ids go through them
+    and come back by task id, so that whole task rows (title, description,
+    labels) shuffle once, on the key the fact join needs anyway.
+    """
+
+    def keys(rows: DataFrame) -> DataFrame:
+        rows = lookup(rows, users, "assigned_to", "user_id", {"assigned_to_key": "user_key"}, by="task_id")
+        return lookup(rows, users, "reporter_id", "user_id", {"reporter_key": "user_key"}, by="task_id")
+
+    if broadcastable(users):
+        return keys(tasks)
+    ids = keys(tasks.select("task_id", "assigned_to", "reporter_id"))
+    people = ids.select("task_id", "assigned_to_key", "reporter_key").dropDuplicates(["task_id"])
+    return tasks.join(people, "task_id", "left")
+
+
 def resolve_tasks(tasks: DataFrame, dims: Dims, as_of, batch_id: str | None = None, **statuses) -> DataFrame:
     """Source tasks as fact rows (no surrogate): keys looked up, measures derived.
 
@@ -46,21 +67,23 @@ def resolve_tasks(tasks: DataFrame, dims: Dims, as_of, batch_id: str | None = No
     }
     missing = {c: F.lit(None).cast(t) for c, t in optional.items() if c not in tasks.columns}
     rows = tasks.withColumns(missing) if missing else tasks
-    rows = lookup(rows, current(dims.status), "status", "status_id", {"status_key": "status_key"})
-    rows = lookup(rows, current(dims.priority), "priority", "priority_id", {"priority_key": "priority_key"})
+    rows = lookup(rows, current(dims.status), "status", "status_id", {"status_key": "status_key"}, by="task_id")
+    rows = lookup(rows, current(dims.priority), "priority", "priority_id", {"priority_key": "priority_key"}, by="task_id")
     rows = date_lookup(rows, dims.time, "created_at", "created_date_key")
     rows = date_lookup(rows, dims.time, "due_date", "due_date_key", unknown=True)
     rows = date_lookup(rows, dims.time, "completed_at", "completed_date_key", unknown=True)
-    rows = lookup(rows, current(dims.projects), "project_id", "project_id", {"project_key": "project_key"})
-    users = current(dims.users)
-    rows = lookup(rows, users, "assigned_to", "user_id", {"assigned_to_key": "user_key"})
-    rows = lookup(rows, users, "reporter_id", "user_id", {"reporter_key": "user_key"})
-    rows = rows.withColumns(task_measures(as_of, **statuses))
-    rows = rows.withColumnsRenamed({"created_at": "created_timestamp", "updated_at": "updated_timestamp"})
-    rows = rows.withColumns({"etl_batch_id": F.lit(batch_id).cast("string"), "etl_timestamp": at(as_of)})
-    keep = [f.name for f in schema("fact_tasks") if f.name != "task_key"]
+    rows = lookup(rows, current(dims.projects), "project_id", "project_id", {"project_key": "project_key"}, by="task_id")
+    rows = _with_people(rows, current(dims.users))
+    computed = {
+        **task_measures(as_of, **statuses),
+        "created_timestamp": F.col("created_at"),
+        "updated_timestamp": F.col("updated_at"),
+        "etl_batch_id": F.lit(batch_id).cast("string"),
+        "etl_timestamp": at(as_of),
+    }
+    names = [f.name for f in schema("fact_tasks") if f.name != "task_key"]
     tenant = ["organization_id"] if "organization_id" in tasks.columns else []
-    return rows.select(*keep, *tenant)
+    return rows.select(*[computed[n].alias(n) if n in computed else n for n in names], *tenant)
 
 
 @dataclass(frozen=True)
@@ -151,8 +174,9 @@ def load_fact_time_logs(
     optional = {"log_id": "string", "description": "string"}
     missing = {c: F.lit(None).cast(t) for c, t in optional.items() if c not in logs.columns}
     rows = logs.withColumns(missing) if missing else logs
-    rows = lookup(rows, fact_tasks, "task_id", "task_id", {"task_key": "task_key", "project_key": "project_key"})
-    rows = lookup(rows, current(users), "user_id", "user_id", {"user_key": "user_key"})
+    own = "log_id" if "log_id" in logs.columns else "start_time"
+    rows = lookup(rows, fact_tasks, "task_id", "task_id", {"task_key": "task_key", "project_key": "project_key"}, by=own)
+    rows = lookup(rows, current(users), "user_id", "user_id", {"user_key": "user_key"}, by=own)
     rows = date_lookup(rows, time, "start_time", "date_key")
     rows = date_lookup(rows, time, "end_time", "end_time_key")
     minutes = amount(F.coalesce(minutes_between(F.col("start_time"), F.col("end_time")), F.lit(0)))

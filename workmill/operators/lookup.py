@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = -1
@@ -15,7 +15,9 @@ def current(dim: DataFrame) -> DataFrame:
     return dim.filter(F.col("is_current"))
 
 
-def lookup(df: DataFrame, dim: DataFrame, on: str | Column, key: str, take: Mapping[str, str], spread: int = 1) -> DataFrame:
+def lookup(
+    df: DataFrame, dim: DataFrame, on: str, key: str, take: Mapping[str, str], spread: int = 1, by: str | None = None
+) -> DataFrame:
     """Left join that adds dimension columns under new names.
 
     `take` maps output name -> dimension column. The dimension is broadcast
@@ -23,29 +25,23 @@ def lookup(df: DataFrame, dim: DataFrame, on: str | Column, key: str, take: Mapp
     otherwise both sides shuffle on the key. Rows without a key (unassigned
     tasks) match nothing, so they are spread over many tasks instead of
     meeting in one. `spread` > 1 also spreads every present key that many ways
-    (the dimension is repeated as often) for a key AQE cannot split.
+    (the dimension is repeated as often) for a key AQE cannot split. Rows are
+    spread by a hash of `by`, by default the first column, which should be the
+    row's own id.
     """
-    value = F.col(on) if isinstance(on, str) else on
-    noise = F.abs(F.xxhash64(*[F.col(c) for c in df.columns if _hashable(df, c)]))
-    salt = F.when(value.isNull(), F.pmod(noise, F.lit(_NULL_SPREAD))).otherwise(F.pmod(noise, F.lit(spread)))
-    left = df.withColumns({"__key": value, "__salt": salt.cast("int")})
+    noise = f"xxhash64(`{by or df.columns[0]}`)"
+    present = "0" if spread == 1 else f"CAST(pmod({noise}, {spread}) AS INT)"
+    salt = f"CASE WHEN `{on}` IS NULL THEN CAST(pmod({noise}, {_NULL_SPREAD}) AS INT) ELSE {present} END"
     # pmod(hash, 1) is always 0 but stays an expression of the row, so the
     # salt remains part of the join key instead of folding into a filter.
-    zero = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
-    salts = F.sequence(zero, zero + F.lit(spread - 1))
-    right = dim.select(
-        F.col(key).alias("__dim_key"),
-        (F.explode(salts) if spread > 1 else zero).alias("__dim_salt"),
-        *[F.col(c).alias(f"__take{i}") for i, c in enumerate(take.values())],
-    )
-    matched = (F.col("__key") == F.col("__dim_key")) & (F.col("__salt") == F.col("__dim_salt"))
-    return left.join(right, matched, "left").select(
-        *[F.col(c) for c in df.columns], *[F.col(f"__take{i}").alias(name) for i, name in enumerate(take)]
+    zero = f"CAST(pmod(xxhash64(`{key}`), 1) AS INT)"
+    dim_salt = zero if spread == 1 else f"explode(sequence({zero}, {zero} + {spread - 1}))"
+    right = dim.selectExpr(
+        f"`{key}` AS __dim_key", f"{dim_salt} AS __dim_salt", *[f"`{c}` AS `{name}`" for name, c in take.items()]
     )
-
-
-def _hashable(df: DataFrame, name: str) -> bool:
-    return not df.schema[name].dataType.simpleString().startswith(("map", "variant"))
+    left = df.withColumn("__salt", F.expr(salt))
+    matched = F.expr(f"`{on}` = __dim_key AND __salt = __dim_salt")
+    return left.join(right, matched, "left").drop("__salt", "__dim_key", "__dim_salt")
 
 
 def date_lookup(df: DataFrame, dim_time: DataFrame, ts: str, out: str, unknown: bool = False) -> DataFrame:
@@ -54,11 +50,9 @@ def date_lookup(df: DataFrame, dim_time: DataFrame, ts: str, out: str, unknown:
     The date dimension has one row per day, so its size is bounded by its date
     range and it is broadcast. `unknown=True` gives -1 instead of NULL.
     """
-    days = dim_time.filter(F.col("time_key") != UNKNOWN).select(
-        F.col("full_date").alias("__day"), F.col("time_key").alias(out)
-    )
-    found = df.join(F.broadcast(days), F.to_date(ts) == F.col("__day"), "left").drop("__day")
-    return found.withColumn(out, F.coalesce(out, F.lit(UNKNOWN))) if unknown else found
+    days = dim_time.filter(f"time_key <> {UNKNOWN}").selectExpr("full_date AS __day", f"time_key AS `{out}`")
+    found = df.join(F.broadcast(days), F.expr(f"to_date(`{ts}`) = __day"), "left").drop("__day")
+    return found.withColumn(out, F.expr(f"coalesce(`{out}`, {UNKNOWN})")) if unknown else found
 
 
 def gap_free(dim: DataFrame, key: str) -> DataFrame:

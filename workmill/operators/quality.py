@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workmill.operators.hierarchy import descendants
+from workmill.operators.lookup import lookup
 from workmill.session import cut
 
 # -- rules ------------------------------------------------------------------------
@@ -208,8 +209,9 @@ def delete_with_refs(
             if r.action == "cascade" and name not in pks:
                 left = left.join(hit, F.col(r.fk) == F.col("__hit"), "left_anti")
             elif r.action == "set_null":
-                joined = left.join(hit, F.col(r.fk) == F.col("__hit"), "left")
-                left = joined.withColumn(r.fk, F.when(F.col("__hit").isNull(), F.col(r.fk))).select(*df.columns)
+                # A lookup spreads the rows that point at nothing.
+                marked = lookup(left, hit, r.fk, "__hit", {"__mark": "__hit"}, by=pks.get(name))
+                left = marked.withColumn(r.fk, F.when(F.col("__mark").isNull(), F.col(r.fk))).drop("__mark")
             elif r.action == "restrict":
                 if not df.join(hit, F.col(r.fk) == F.col("__hit"), "left_semi").isEmpty():
                     raise RestrictedDelete(f"{name}.{r.fk} still refers to deleted rows of {r.parent}")

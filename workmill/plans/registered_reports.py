@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from workmill.operators.hierarchy import descendants, forest, subtree_counts
+from workmill.operators.hierarchy import forest, subtree_counts
 from workmill.operators.search import build_index, search, search_index
 from workmill.plans import reports
 from workmill.plans.registry import AS_OF, EVENTS_AS_OF, dec, query
@@ -34,11 +34,7 @@ def task_metrics(x):
     return reports.task_metrics(x["f_tasks"], x["f_projects"], AS_OF)
 
 
-# Subsets leave users without tasks, without logs, and without either. The
-# literal product is computed here and only here.
-_WORKLOAD_TASKS = "(SELECT * FROM {f_tasks} WHERE assigned_to % 3 <> 0)"
-_WORKLOAD_LOGS = "(SELECT * FROM {f_time_logs} WHERE user_id % 4 <> 0)"
-
+# The literal product is computed here and only here.
 _COUNTS = f"""count(DISTINCT t.task_id) AS total_tasks,
            count(DISTINCT CASE WHEN t.status <> 'done' THEN t.task_id END) AS active_tasks,
            count(DISTINCT CASE WHEN t.due_date < {MIDNIGHT} AND t.status <> 'done' THEN t.task_id END) AS overdue_tasks"""
@@ -50,13 +46,11 @@ _COUNTS = f"""count(DISTINCT t.task_id) AS total_tasks,
     SELECT u.organization_id, u.user_id, u.email, u.first_name, u.last_name, {_COUNTS},
            {dec('sum(coalesce(t.estimated_hours, 0))')} AS total_estimated_hours,
            {dec(f'sum(coalesce({_MINUTES}, 0))::DOUBLE / 60', 4)} AS total_logged_hours
-    FROM {{f_users}} u LEFT JOIN {_WORKLOAD_TASKS} t ON u.user_id = t.assigned_to
-    LEFT JOIN {_WORKLOAD_LOGS} l ON u.user_id = l.user_id GROUP BY 1, 2, 3, 4, 5""",
+    FROM {{f_users}} u LEFT JOIN {{f_tasks}} t ON u.user_id = t.assigned_to
+    LEFT JOIN {{f_time_logs}} l ON u.user_id = l.user_id GROUP BY 1, 2, 3, 4, 5""",
 )
 def user_workload(x):
-    tasks = x["f_tasks"].filter(F.col("assigned_to") % 3 != 0)
-    logs = x["f_time_logs"].filter(F.col("user_id") % 4 != 0)
-    return reports.user_workload(x["f_users"], tasks, logs, AS_OF)
+    return reports.user_workload(x["f_users"], x["f_tasks"], x["f_time_logs"], AS_OF)
 
 
 @query(
@@ -195,9 +189,9 @@ def due_notifications(x):
     return rows.select("notification_id", "user_id", "scheduled_for")
 
 
-@query("audit_trail", "SELECT log_id, user_id, action, entity_id, created_at FROM {f_audit} WHERE entity_type = 'task' AND entity_id = 14")
+@query("audit_trail", "SELECT log_id, user_id, action, entity_id, created_at FROM {f_audit} WHERE entity_type = 'task'")
 def audit_trail(x):
-    return reports.audit_trail(x["f_audit"], "task", 14).select("log_id", "user_id", "action", "entity_id", "created_at")
+    return reports.audit_trail(x["f_audit"], "task").select("log_id", "user_id", "action", "entity_id", "created_at")
 
 
 @query(
@@ -291,14 +285,13 @@ def task_tree_counts(x):
     "comment_threads",
     """
     WITH RECURSIVE tree AS (
-      SELECT comment_id AS root_id, comment_id, 0 AS depth FROM {f_comments} WHERE comment_id IN (1, 2, 7)
+      SELECT comment_id AS root_id, comment_id, 0 AS depth FROM {f_comments} WHERE parent_comment_id IS NULL
       UNION ALL
       SELECT tree.root_id, c.comment_id, tree.depth + 1 FROM {f_comments} c JOIN tree ON c.parent_comment_id = tree.comment_id)
     SELECT root_id, comment_id, CAST(depth AS INTEGER) AS depth FROM tree""",
 )
 def comment_threads(x):
-    comments = x["f_comments"]
-    return descendants(comments, comments.filter(F.col("comment_id").isin(1, 2, 7)), "comment_id", "parent_comment_id")
+    return forest(x["f_comments"], "comment_id", "parent_comment_id")
 
 
 # -- search ----------------------------------------------------------------------------------

@@ -221,10 +221,11 @@ def merge_update_query(x):
            CASE WHEN a.task_id IS NULL THEN 'new' WHEN b.task_id IS NULL THEN 'deleted'
                 WHEN a.priority IS DISTINCT FROM b.priority OR a.status IS DISTINCT FROM b.status THEN 'changed'
                 ELSE 'unchanged' END AS kind
-    FROM {f_old_tasks} a FULL JOIN (SELECT * FROM {f_src_tasks} WHERE task_id % 7 <> 0) b ON a.task_id = b.task_id""",
+    FROM {f_old_tasks} a FULL JOIN (SELECT * FROM {f_src_tasks} WHERE status <> 'backlog') b ON a.task_id = b.task_id""",
 )
 def snapshot_diff(x):
-    return diff_kinds(x["f_old_tasks"], x["f_src_tasks"].filter("task_id % 7 <> 0"), "task_id", ["priority", "status"])
+    """Two snapshots; the later one has lost its backlog."""
+    return diff_kinds(x["f_old_tasks"], x["f_src_tasks"].filter("status <> 'backlog'"), "task_id", ["priority", "status"])
 
 
 @query(
@@ -234,7 +235,7 @@ def snapshot_diff(x):
       SELECT coalesce(a.task_id, b.task_id) AS task_id, a.task_id IS NULL AS added, b.task_id IS NULL AS gone,
              a.status AS os, b.status AS ns, a.priority AS op, b.priority AS np,
              CAST(a.assigned_to AS VARCHAR) AS oa, CAST(b.assigned_to AS VARCHAR) AS na
-      FROM {f_old_tasks} a FULL JOIN (SELECT * FROM {f_src_tasks} WHERE task_id % 7 <> 0) b ON a.task_id = b.task_id),
+      FROM {f_old_tasks} a FULL JOIN (SELECT * FROM {f_src_tasks} WHERE status <> 'backlog') b ON a.task_id = b.task_id),
     u AS (SELECT task_id, added, gone, 'status' AS field_changed, os AS old_value, ns AS new_value FROM j
           UNION ALL SELECT task_id, added, gone, 'priority', op, np FROM j
           UNION ALL SELECT task_id, added, gone, 'assigned_to', oa, na FROM j)
@@ -244,7 +245,7 @@ def snapshot_diff(x):
     FROM u WHERE old_value IS DISTINCT FROM new_value""",
 )
 def task_history_query(x):
-    new = x["f_src_tasks"].filter("task_id % 7 <> 0")
+    new = x["f_src_tasks"].filter("status <> 'backlog'")
     return facts.task_history(x["f_old_tasks"], new, "task_id", ["status", "priority", "assigned_to"], AS_OF)
 
 

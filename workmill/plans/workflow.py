@@ -101,7 +101,8 @@ def load_dimension(cfg: Config, name: str, source: str, spec: scd2.Dimension, pa
             return Counts(inserted=table.read().count())
         dim = table.read()
         kinds = {r["kind"]: r["row_count"] for r in scd2.scd2_counts(dim, src, spec).collect()}
-        merged = scd2.scd2_merge(dim, src, spec, cfg.as_of, batch, cfg.reopen)
+        # Numbering reads the merged rows more than once.
+        merged = cut(scd2.scd2_merge(dim, src, spec, cfg.as_of, batch, cfg.reopen))
         table.write(fill_keys(merged, spec.surrogate, [spec.key]))
         started = kinds.get("new", 0) + kinds.get("changed", 0) + (kinds.get("returned", 0) if cfg.reopen else 0)
         ended = kinds.get("changed", 0) + kinds.get("deleted", 0)

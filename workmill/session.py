@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,12 +46,26 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="workmill-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and continue from there (an action)."""
+    """Write `df` to the shared folder and continue from there (an action).
+
+    Parquet rather than a row checkpoint: it is computed once, read back by
+    column, and its size is known, so a later join can judge it. Everything a
+    session writes lies under one folder, which can go when the job is over.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcastable(df: DataFrame) -> bool:
+    """Would Catalyst broadcast `df` in a join, by its own size estimate?"""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return limit > 0 and int(str(size)) <= limit
