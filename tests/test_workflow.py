@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from workmill.operators import oplog
 from workmill.plans import reports
 from workmill.plans.workflow import Config, WorkflowError, run_workflow
+from workmill.streaming.incremental import Landing, scheduled_run
 
 DAY = dt.datetime
 
@@ -146,3 +147,22 @@ def test_log_api(spark, tmp_path):
     assert reports.latest_batch(log.batches()).first()["batch_id"] == batch
     assert reports.batch_status(log.batches(), oplog.now() + dt.timedelta(hours=1), 24).count() == 1
     assert reports.batch_status(log.batches(), oplog.now() + dt.timedelta(hours=30), 24).count() == 0
+
+
+def test_scheduled_run_takes_in_landed_files(spark, tmp_path):
+    tables = sources(spark)
+    cfg = config(spark, tmp_path / "wh", tables, "2024-03-09 12:00:00")
+    users = tables["users"].withColumn("updated_at", F.lit(DAY(2024, 3, 1)).cast("timestamp_ntz"))
+    drop = str(tmp_path / "in")
+    users.write.parquet(drop)
+    land = Landing("users", drop, ", ".join(f"{n} {t}" for n, t in users.dtypes), "user_id", ("updated_at",))
+    scheduled_run(cfg, [land])
+    assert cfg.table("dim_users").read().count() == 3
+    renamed = users.filter("user_id = 'u1'").withColumns(
+        {"last_name": F.lit("New"), "updated_at": F.lit(DAY(2024, 3, 9)).cast("timestamp_ntz")}
+    )
+    renamed.write.mode("append").parquet(drop)
+    cfg.as_of = "2024-03-10 12:00:00"
+    scheduled_run(cfg, [land])
+    dim = cfg.table("dim_users").read()
+    assert dim.count() == 4 and dim.filter("user_id = 'u1' AND is_current").first()["version_number"] == 2

@@ -124,8 +124,8 @@ def build_index(docs: DataFrame, key: str, title: Column, body: Column, buckets:
     `write_index`, partitioned by `bucket`, so a query reads only the buckets
     of its words.
     """
-    a, b = words(title), words(body)
-    rows = docs.select(key, *also, F.size(a).alias("__len"), F.posexplode(F.concat(a, b)).alias("pos", "token"))
+    split = docs.select(key, *also, words(title).alias("__a"), words(body).alias("__b"))
+    rows = split.select(key, *also, F.size("__a").alias("__len"), F.posexplode(F.concat("__a", "__b")).alias("pos", "token"))
     weight = F.when(F.col("pos") < F.col("__len"), "A").otherwise("B")
     return rows.filter(~F.col("token").isin(*STOP_WORDS)).select(
         "token", key, *also, "pos", weight.alias("weight"), F.pmod(F.hash("token"), F.lit(buckets)).alias("bucket")

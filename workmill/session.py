@@ -46,7 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="workmill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        sc.setCheckpointDir(folder)
     return folder
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +33,12 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
 
 def append_row(spark: SparkSession, path: str, schema: StructType, **values) -> None:
     """Insert one row; missing columns are NULL and ids come from the caller."""
-    row = tuple(values.get(field.name) for field in schema)
-    spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(path)
+
+    def literal(value) -> Column:
+        return at(value) if isinstance(value, datetime) else F.lit(value)
+
+    row = [literal(values.get(f.name)).cast(f.dataType).alias(f.name) for f in schema]
+    spark.range(0, 1, 1, 1).select(*row).write.mode("append").parquet(path)
 
 
 def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
