@@ -15,9 +15,14 @@ def distinct_from(a: Column, b: Column) -> Column:
     return ~a.eqNullSafe(b)
 
 
+def any_distinct(pairs: Iterable[tuple[Column, Column]]) -> Column:
+    """True where any pair differs null-safely."""
+    return reduce(or_, (distinct_from(a, b) for a, b in pairs), F.lit(False))
+
+
 def changed(left: str, right: str, names: Iterable[str]) -> Column:
     """True where any of `names` differs between two join aliases."""
-    return reduce(or_, (distinct_from(F.col(f"{left}.{n}"), F.col(f"{right}.{n}")) for n in names))
+    return any_distinct((F.col(f"{left}.{n}"), F.col(f"{right}.{n}")) for n in names)
 
 
 def ratio(part: Column, whole: Column, digits: int = 2, precision: int = 12) -> Column:

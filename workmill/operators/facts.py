@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +11,7 @@ from pyspark.sql import functions as F
 from workmill.functions.keys import fill_keys
 from workmill.functions.measures import task_measures
 from workmill.functions.moments import at, minutes_between
-from workmill.functions.scalars import amount, distinct_from
+from workmill.functions.scalars import amount, any_distinct, distinct_from
 from workmill.operators.lookup import UNKNOWN, current, date_lookup, lookup
 from workmill.session import broadcastable
 from workmill.sources.schemas import schema
@@ -127,7 +125,7 @@ def classify(fact: DataFrame, incoming: DataFrame, key: str, surrogate: str, tra
     stored = fact.select(
         F.col(key).alias("__key"), F.col(surrogate).alias("__surrogate"), *[F.col(c).alias(f"__old_{c}") for c in tracked]
     )
-    differs = reduce(or_, (distinct_from(F.col(f"__old_{c}"), F.col(c)) for c in tracked))
+    differs = any_distinct((F.col(f"__old_{c}"), F.col(c)) for c in tracked)
     kind = F.when(F.col("__key").isNull(), "new").when(differs, "changed").otherwise("unchanged")
     rows = incoming.join(stored, F.col(key) == F.col("__key"), "left").withColumns(
         {"kind": kind, surrogate: F.col("__surrogate")}

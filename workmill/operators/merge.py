@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from workmill.functions.moments import at
-from workmill.functions.scalars import changed
+from workmill.functions.scalars import any_distinct, changed
 
 
 def merge_update(
@@ -33,10 +33,7 @@ def merge_update(
     joined = target.join(new, F.col(key) == F.col("__key"), "left")
     hit = F.col("__key").isNotNull()
     if tracked is not None:
-        differs = F.lit(False)
-        for c in tracked:
-            differs = differs | ~F.col(c).eqNullSafe(F.col(f"__new_{c}"))
-        hit = hit & differs
+        hit = hit & any_distinct((F.col(c), F.col(f"__new_{c}")) for c in tracked)
     marked = joined.withColumn("__hit", hit)
     out = []
     for field in target.schema:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from workmill.functions.moments import at, parse
-from workmill.functions.scalars import changed
+from workmill.functions.scalars import any_distinct
 
 VERSION_COLUMNS = ("effective_date", "expiry_date", "is_current", "version_number")
 
@@ -76,30 +76,31 @@ def first_version(src: DataFrame, like: DataFrame | None, spec: Dimension, as_of
 
 
 def _matched(dim: DataFrame, src: DataFrame, key: str, tracked: Sequence[str]) -> DataFrame:
-    """Current versions against the source, one row per key, with `kind`.
+    """Current versions (d_*) against the source (s_*), with `kind`.
 
     Rows of older versions never enter this join. Their keys are needed only to
     tell a brand-new entity from one that was deleted and came back, and are
-    reduced to one row per key before they meet the source.
+    reduced to one row per key before they meet the source. Both joins are on
+    the plain key column, so the source is shuffled once for the two.
     """
-    now = dim.filter(F.col("is_current"))
     past = (
         dim.filter(~F.coalesce("is_current", F.lit(False)))
-        .groupBy(F.col(key).alias("__past_key"))
-        .agg(F.max("version_number").alias("__past_version"))
+        .groupBy(F.col(key).alias("past_key"))
+        .agg(F.max("version_number").alias("past_version"))
+    )
+    s = src.select(F.lit(True).alias("in_source"), *[F.col(c).alias(f"s_{c}") for c in src.columns])
+    s = s.join(past, F.col(f"s_{key}") == F.col("past_key"), "left")
+    d = dim.filter(F.col("is_current")).select(
+        F.lit(True).alias("in_dim"), *[F.col(c).alias(f"d_{c}") for c in dim.columns]
     )
-    d = now.select(F.struct(*[F.col(c) for c in dim.columns]).alias("d"))
-    s = src.select(F.struct(*[F.col(c) for c in src.columns]).alias("s"))
-    pair = d.join(s, F.col(f"d.{key}") == F.col(f"s.{key}"), "full")
-    pair = pair.join(past, F.col(f"s.{key}") == F.col("__past_key"), "left")
     kind = (
-        F.when(F.col("s").isNull(), "deleted")
-        .when(F.col("d").isNull() & F.col("__past_key").isNotNull(), "returned")
-        .when(F.col("d").isNull(), "new")
-        .when(changed("d", "s", tracked), "changed")
+        F.when(F.col("in_source").isNull(), "deleted")
+        .when(F.col("in_dim").isNull() & F.col("past_key").isNotNull(), "returned")
+        .when(F.col("in_dim").isNull(), "new")
+        .when(any_distinct((F.col(f"d_{c}"), F.col(f"s_{c}")) for c in tracked), "changed")
         .otherwise("unchanged")
     )
-    return pair.withColumn("kind", kind)
+    return d.join(s, F.col(f"d_{key}") == F.col(f"s_{key}"), "full").withColumn("kind", kind)
 
 
 def scd2_merge(
@@ -130,7 +131,7 @@ def scd2_merge(
     starts = kind.isin("new", "changed") | (F.lit(reopen) & (kind == "returned"))
 
     def kept(field):
-        old = F.col(f"d.{field.name}")
+        old = F.col(f"d_{field.name}")
         end = {
             "expiry_date": at(parse(as_of) - timedelta(seconds=1)),
             "is_current": F.lit(False),
@@ -144,7 +145,7 @@ def scd2_merge(
         fixed = {
             "effective_date": at(as_of),
             "is_current": F.lit(True),
-            "version_number": F.coalesce(F.col("d.version_number"), F.col("__past_version"), F.lit(0)) + 1,
+            "version_number": F.coalesce(F.col("d_version_number"), F.col("past_version"), F.lit(0)) + 1,
             "source_system": F.lit(source_system),
             "etl_batch_id": F.lit(batch_id),
             "etl_timestamp": at(as_of),
@@ -152,13 +153,13 @@ def scd2_merge(
         if name in fixed:
             value = fixed[name]
         elif (name == spec.key or name in attributes or name == "organization_id") and name in src.columns:
-            value = F.col(f"s.{name}")
+            value = F.col(f"s_{name}")
         else:
             value = F.lit(None)
         return value.cast(field.dataType).alias(name)
 
     rows = F.array(
-        F.when(F.col("d").isNotNull(), F.struct(*[kept(f) for f in dim.schema])),
+        F.when(F.col("in_dim").isNotNull(), F.struct(*[kept(f) for f in dim.schema])),
         F.when(starts, F.struct(*[started(f) for f in dim.schema])),
     )
     pairs = _matched(dim, src, spec.key, tracked)
@@ -171,7 +172,7 @@ def scd2_kinds(dim: DataFrame, src: DataFrame, spec: Dimension) -> DataFrame:
     """(key, kind) with kind in new, changed, deleted, unchanged, returned."""
     tracked = [c for c in spec.tracked if c in dim.columns and c in src.columns]
     key = spec.key
-    return _matched(dim, src, key, tracked).select(F.coalesce(f"d.{key}", f"s.{key}").alias(key), "kind")
+    return _matched(dim, src, key, tracked).select(F.coalesce(f"d_{key}", f"s_{key}").alias(key), "kind")
 
 
 def scd2_counts(dim: DataFrame, src: DataFrame, spec: Dimension) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workmill.plans.workflow import Config, run_workflow
+from workmill.session import cut
 from workmill.sources.tables import Versions
 
 
@@ -28,10 +29,16 @@ def merge_newest(stored: DataFrame | None, batch: DataFrame, key: str, order: Se
     """Stored rows and a batch, newest row per key.
 
     Keyed and idempotent: a replayed batch or a late older row changes nothing,
-    so no watermark is needed.
+    so no watermark is needed. The batch is reduced and written out first, so
+    its size is known: a small one is broadcast and the stored rows, which only
+    meet it in a semi and an anti join, are not shuffled.
     """
-    fresh = newest_per_key(batch, key, order)
-    return fresh if stored is None else newest_per_key(stored.unionByName(fresh), key, order)
+    fresh = cut(newest_per_key(batch, key, order))
+    if stored is None:
+        return fresh
+    keys = fresh.select(key)
+    rivals = stored.join(keys, key, "left_semi").unionByName(fresh)
+    return stored.join(keys, key, "left_anti").unionByName(newest_per_key(rivals, key, order))
 
 
 def run_available(
