@@ -158,25 +158,34 @@ def search_index(index: DataFrame, query: str, key: str, buckets: int = 64) -> D
     ids = [r[0] for r in numbers.select(F.pmod(F.hash("w"), F.lit(buckets))).distinct().collect()]
     post = index.filter(F.col("bucket").isin(*ids) & F.col("token").isin(*vocabulary))
 
-    def docs_with(entry: tuple) -> DataFrame:
-        if len(entry) == 1:
-            return post.filter(F.col("token") == entry[0][1]).select(key).distinct()
-        starts = F.array(
-            *[F.when(F.col("token") == w, F.struct(F.lit(i).alias("i"), (F.col("pos") - i).alias("start"))) for i, w in entry]
-        )
-        placed = post.select(key, F.inline(F.filter(starts, lambda s: s.isNotNull())))
-        whole = placed.groupBy(key, "start").agg(F.count_distinct("i").alias("n")).filter(F.col("n") == len(entry))
-        return whole.select(key).distinct()
-
-    hits = None
-    for a in alternatives:
-        rows = docs_with(a.needed[0])
-        for entry in a.needed[1:]:
-            rows = rows.join(docs_with(entry), key, "left_semi")
-        for entry in a.barred:
-            rows = rows.join(docs_with(entry), key, "left_anti")
-        hits = rows if hits is None else hits.union(rows)
     points = F.when(F.col("weight") == "A", 10).otherwise(4)
-    rank = post.filter(F.col("token").isin(*wanted)).groupBy(key).agg(F.sum(points).alias("p"))
-    ranked = hits.distinct().join(rank, key).select(key, (F.col("p") / F.lit(10)).cast("decimal(12,1)").alias("rank"))
+    entries = list(dict.fromkeys(e for a in alternatives for e in (*a.needed, *a.barred)))
+    flag = {e: f"__e{i}" for i, e in enumerate(entries)}
+    # One aggregate per document answers every single word and the rank.
+    rows = post.groupBy(key).agg(
+        F.sum(F.when(F.col("token").isin(*wanted), points).otherwise(0)).alias("__points"),
+        *[F.bool_or(F.col("token") == e[0][1]).alias(flag[e]) for e in entries if len(e) == 1],
+    )
+    for e in entries:
+        if len(e) > 1:
+            rows = rows.join(_phrase(post, e, key).withColumn(flag[e], F.lit(True)), key, "left")
+
+    def holds(e: tuple) -> Column:
+        return F.coalesce(flag[e], F.lit(False))
+
+    hit = F.lit(False)
+    for a in alternatives:
+        hit = hit | _all([holds(e) for e in a.needed] + [~holds(e) for e in a.barred])
+    ranked = rows.filter(hit).select(key, (F.col("__points") / F.lit(10)).cast("decimal(12,1)").alias("rank"))
     return ranked.orderBy(F.desc("rank"), F.asc(key))
+
+
+def _phrase(post: DataFrame, entry: tuple, key: str) -> DataFrame:
+    """Documents where all words of a phrase stand at their distances: every
+    posting votes for the place its phrase would start at."""
+    starts = F.array(
+        *[F.when(F.col("token") == w, F.struct(F.lit(i).alias("i"), (F.col("pos") - i).alias("start"))) for i, w in entry]
+    )
+    placed = post.select(key, F.inline(F.filter(starts, lambda s: s.isNotNull())))
+    whole = placed.groupBy(key, "start").agg(F.count_distinct("i").alias("n")).filter(F.col("n") == len(entry))
+    return whole.select(key).distinct()

@@ -203,30 +203,53 @@ def partition_coverage(calendar: DataFrame, df: DataFrame, ts: str, unit: str =
 def table_profile(df: DataFrame, exact: bool = False) -> DataFrame:
     """One row per column: rows, NULLs, distinct values, smallest and largest.
 
-    One aggregation over the table. Exact distinct counts multiply the shuffled
-    rows by the number of columns, so the default is the sketch.
+    One aggregation over the table with distinct counts from a sketch. With
+    `exact=True` a second pass counts them from (column, value) pairs, which
+    are made unique before and after the shuffle; it moves every distinct value
+    of every column.
     """
-    distinct = F.count_distinct if exact else F.approx_count_distinct
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(df.columns):
         aggs += [
             F.count_if(F.col(c).isNull()).alias(f"nulls{i}"),
-            distinct(F.col(c)).alias(f"distinct{i}"),
             F.min(c).cast("string").alias(f"min{i}"),
             F.max(c).cast("string").alias(f"max{i}"),
         ]
+        if not exact:
+            aggs.append(F.approx_count_distinct(c).alias(f"distinct{i}"))
     rows = [
         F.struct(
             F.lit(c).alias("column_name"),
             F.col("n").alias("row_count"),
             F.col(f"nulls{i}").alias("null_count"),
-            F.col(f"distinct{i}").alias("distinct_count"),
+            *([] if exact else [F.col(f"distinct{i}").alias("distinct_count")]),
             F.col(f"min{i}").alias("min_value"),
             F.col(f"max{i}").alias("max_value"),
         )
         for i, c in enumerate(df.columns)
     ]
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    profile = df.agg(*aggs).select(F.inline(F.array(*rows)))
+    if not exact:
+        return profile
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), _text(df, c).alias("v")) for c in df.columns])
+    values = df.select(F.inline(cells)).filter(F.col("v").isNotNull()).distinct()
+    counts = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
+    return profile.join(counts, "column_name", "left").select(
+        "column_name",
+        "row_count",
+        "null_count",
+        F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"),
+        "min_value",
+        "max_value",
+    )
+
+
+def _text(df: DataFrame, c: str) -> Column:
+    """A text that differs where the values differ."""
+    kind = df.schema[c].dataType.typeName()
+    if kind == "binary":
+        return F.hex(c)
+    return F.to_json(c) if kind in ("array", "struct", "map") else F.col(c).cast("string")
 
 
 def retention(df: DataFrame, ts: str, days: int, as_of) -> DataFrame:
