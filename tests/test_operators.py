@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from workmill.operators import governance, opmetrics, quality
 from workmill.operators.facts import keyed_history, task_history
-from workmill.operators.hierarchy import descendants, forest
+from workmill.operators.hierarchy import descendants, forest, reachable
 from workmill.operators.search import build_index, parse, search, search_index, write_index
 from workmill.sources.projection import Inputs
 
@@ -93,6 +93,12 @@ def test_cycle_stops_and_chain_is_followed(spark):
     assert sorted(r["id"] for r in near.collect()) == [3, 4, 5]
 
 
+def test_reachable_lists_each_row_once(spark):
+    nodes = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 2), (7, 9), (8, 7), (9, 8)], "id int, parent int")
+    ids = spark.createDataFrame([(2,), (3,), (8,)], "id int")
+    assert sorted(r["id"] for r in reachable(nodes, ids, "id", "parent").collect()) == [2, 3, 4, 7, 8, 9]
+
+
 def test_one_parent_with_a_third_of_all_rows(spark):
     nodes = spark.range(1, 3001).select(
         "id", F.when(F.col("id") == 1, F.lit(None)).when(F.col("id") <= 1000, 1).otherwise(F.floor(F.col("id") / 3)).cast("bigint").alias("parent")

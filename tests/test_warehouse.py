@@ -160,3 +160,13 @@ def test_people_keys_do_not_depend_on_the_join_chosen(spark):
         assert "Join LeftOuter, (task_id" in text
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_settled_load_counts_and_merges_alike(spark):
+    x = Inputs(spark, SF)
+    stored = facts.resolve_tasks(x["f_old_tasks"], x.dims, AS_OF, "B0", **DONE).withColumn("task_key", F.col("task_id"))
+    load = facts.load_fact_tasks(stored, x["f_src_tasks"], x.dims, AS_OF, "B1", **DONE)
+    rest, kinds = load.settled()
+    assert kinds == {r["kind"]: r["row_count"] for r in load.counts().collect()}
+    assert rest.classified.count() == kinds["new"] + kinds["changed"]
+    assert rows_of(rest.merged()) == rows_of(load.merged())

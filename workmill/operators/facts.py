@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from workmill.functions.keys import fill_keys
@@ -13,7 +13,7 @@ from workmill.functions.measures import task_measures
 from workmill.functions.moments import at, minutes_between
 from workmill.functions.scalars import amount, any_distinct, distinct_from
 from workmill.operators.lookup import UNKNOWN, current, date_lookup, lookup
-from workmill.session import broadcastable
+from workmill.session import broadcastable, cut
 from workmill.sources.schemas import schema
 
 # The columns whose change makes a stored task fact stale.
@@ -99,6 +99,20 @@ class FactLoad:
     def counts(self) -> DataFrame:
         return self.classified.groupBy("kind").agg(F.count(F.lit(1)).alias("row_count"))
 
+    def settled(self) -> tuple[FactLoad, dict[str, int]]:
+        """Write the new and changed rows once (an action); returns the load
+        resting on them and the rows per kind.
+
+        The counts are observed while the rows are written, in the tasks that
+        write them, so they need no pass of their own and a retried task is
+        counted once.
+        """
+        seen = Observation()
+        kinds = ("new", "changed", "unchanged")
+        watched = self.classified.observe(seen, *[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+        delta = cut(watched.filter(F.col("kind") != "unchanged"))
+        return FactLoad(self.fact, delta, self.key, self.surrogate), seen.get
+
     def merged(self) -> DataFrame:
         """The whole fact after the load; new rows have a NULL surrogate.
 

@@ -46,6 +46,25 @@ def descendants(
     return out
 
 
+def reachable(rows: DataFrame, ids: DataFrame, id_col: str, parent_col: str) -> DataFrame:
+    """The given ids (one column) and those of every row below them, each once.
+
+    Where starting rows lie below one another, `descendants` would list a row
+    once per start; here a level keeps only rows not found before, so every row
+    is expanded once and a cycle ends by itself.
+    """
+    edges = rows.select(F.col(parent_col).alias("__parent"), F.col(id_col).alias("__id")).filter(
+        F.col("__parent").isNotNull()
+    )
+    frontier = found = cut(ids.select(F.col(ids.columns[0]).alias("__found")).distinct())
+    while not frontier.isEmpty():
+        below = edges.join(frontier, F.col("__parent") == F.col("__found"), "left_semi")
+        fresh = below.join(found, F.col("__id") == F.col("__found"), "left_anti")
+        frontier = cut(fresh.select(F.col("__id").alias("__found")).distinct())
+        found = found.union(frontier)
+    return found.select(F.col("__found").alias(id_col))
+
+
 def forest(rows: DataFrame, id_col: str, parent_col: str, carry: Sequence[str] = ()) -> DataFrame:
     """Every tree: roots are the rows without a parent."""
     return descendants(rows, rows.filter(F.col(parent_col).isNull()), id_col, parent_col, carry)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workmill.operators.hierarchy import descendants
+from workmill.operators.hierarchy import reachable
 from workmill.operators.lookup import lookup
 from workmill.session import cut
 
@@ -193,8 +193,7 @@ def delete_with_refs(
         gone = gone.distinct()
         for r in refs:
             if r.child == r.parent == name and r.action == "cascade":
-                roots = tables[name].join(gone, F.col(pk) == F.col("__gone"), "left_semi")
-                gone = descendants(tables[name], roots, pk, r.fk).select(F.col(pk).alias("__gone")).distinct()
+                gone = reachable(tables[name], gone, pk, r.fk).select(F.col(pk).alias("__gone"))
         doomed[name] = cut(gone)
 
     out = {}

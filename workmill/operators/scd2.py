@@ -6,13 +6,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from workmill.functions.moments import at, parse
 from workmill.functions.scalars import any_distinct
 
-VERSION_COLUMNS = ("effective_date", "expiry_date", "is_current", "version_number")
+KINDS = ("new", "changed", "deleted", "unchanged", "returned")
 
 
 @dataclass(frozen=True)
@@ -111,6 +111,7 @@ def scd2_merge(
     batch_id: str | None = None,
     reopen: bool = False,
     source_system: str = "OLTP",
+    observe: Observation | None = None,
 ) -> DataFrame:
     """The dimension after one load of `src` at `as_of`.
 
@@ -122,7 +123,8 @@ def scd2_merge(
 
     One join decides both the ended and the started version of a key, and each
     pair is then expanded to its one or two rows. New rows have a NULL
-    surrogate; `functions.keys.fill_keys` numbers them.
+    surrogate; `functions.keys.fill_keys` numbers them. `observe` receives the
+    keys per kind when the result is written.
     """
     attributes = set(spec.tracked) | set(spec.payload)
     tracked = [c for c in spec.tracked if c in dim.columns and c in src.columns]
@@ -163,6 +165,8 @@ def scd2_merge(
         F.when(starts, F.struct(*[started(f) for f in dim.schema])),
     )
     pairs = _matched(dim, src, spec.key, tracked)
+    if observe is not None:
+        pairs = pairs.observe(observe, *[F.count_if(kind == k).alias(k) for k in KINDS])
     merged = pairs.select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("r.*")
     history = dim.filter(~F.coalesce("is_current", F.lit(False)))
     return history.unionByName(merged)

@@ -183,7 +183,8 @@ def fact_tasks_changed(x):
     + " FROM f JOIN {f_tasks} o ON o.task_id = f.task_id",
 )
 def fact_tasks_merged(x):
-    return _fact_load(x).merged().select("task_key", *_FACT_COLS, "etl_batch_id")
+    load, _ = _fact_load(x).settled()
+    return load.merged().select("task_key", *_FACT_COLS, "etl_batch_id")
 
 
 @query(

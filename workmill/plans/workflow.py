@@ -7,7 +7,7 @@ import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from workmill.functions.keys import assign_keys, fill_keys
@@ -100,13 +100,14 @@ def load_dimension(cfg: Config, name: str, source: str, spec: scd2.Dimension, pa
             table.write(keyed.withColumn(spec.surrogate, F.col(spec.surrogate).cast("int")))
             return Counts(inserted=table.read().count())
         dim = table.read()
-        kinds = {r["kind"]: r["row_count"] for r in scd2.scd2_counts(dim, src, spec).collect()}
-        # Numbering reads the merged rows more than once.
-        merged = cut(scd2.scd2_merge(dim, src, spec, cfg.as_of, batch, cfg.reopen))
+        seen = Observation()
+        # Numbering reads the merged rows more than once; the counters are
+        # observed while they are written.
+        merged = cut(scd2.scd2_merge(dim, src, spec, cfg.as_of, batch, cfg.reopen, observe=seen))
         table.write(fill_keys(merged, spec.surrogate, [spec.key]))
-        started = kinds.get("new", 0) + kinds.get("changed", 0) + (kinds.get("returned", 0) if cfg.reopen else 0)
-        ended = kinds.get("changed", 0) + kinds.get("deleted", 0)
-        return Counts(started, ended, kinds.get("unchanged", 0))
+        kinds = seen.get
+        started = kinds["new"] + kinds["changed"] + (kinds["returned"] if cfg.reopen else 0)
+        return Counts(started, kinds["changed"] + kinds["deleted"], kinds["unchanged"])
 
     return _step(cfg, parent, name, "SCD2_LOAD", work)
 
@@ -139,11 +140,7 @@ def _incremental(
         overwrite(assign_keys(incoming, surrogate, [key]), path, [month])
         return Counts(inserted=_fact(cfg, name).count())
     fact = _fact(cfg, name)
-    # The classified rows feed the counters, the list of months and the write,
-    # so they are computed once.
-    rows = cut(facts.classify(fact, incoming, key, surrogate, tracked).classified)
-    load = facts.FactLoad(fact, rows, key, surrogate)
-    kinds = {r["kind"]: r["row_count"] for r in load.counts().collect()}
+    load, kinds = facts.classify(fact, incoming, key, surrogate, tracked).settled()
     months = facts.touched_partitions(load, month)
     if months:
         top = fact.agg(F.max(surrogate)).first()[0] or 0
@@ -153,7 +150,7 @@ def _incremental(
         cols = fact.columns
         merged = stays.unionByName(changed.select(*cols)).unionByName(fresh.select(*cols))
         _replace_months(cfg, merged, path, month, months)
-    return Counts(kinds.get("new", 0), kinds.get("changed", 0), kinds.get("unchanged", 0))
+    return Counts(kinds["new"], kinds["changed"], kinds["unchanged"])
 
 
 def load_tasks(cfg: Config, parent: str | None = None) -> Counts:
