@@ -16,7 +16,7 @@ def spark(tmp_path_factory):
         "local[8]",
         **{
             "spark.ui.enabled": "false",
-            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "8g",
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         },

@@ -47,6 +47,8 @@ def test_versions_skip_an_unfinished_write(spark, tmp_path):
     assert table.read().count() == 4 and table.read(1).count() == 3
     (tmp_path / "t" / "v=3").mkdir()
     assert table.read().count() == 4
+    table.prune(keep=1)
+    assert table._complete() == [2]
 
 
 def test_month_directories_are_pruned(spark, tmp_path):

@@ -140,6 +140,8 @@ def test_log_api(spark, tmp_path):
     assert log.batches().first()["error_message"] is None
     with pytest.raises(oplog.UnknownBatch):
         log.end("other", "COMPLETED")
+    # Another session finds the batch in the log itself.
+    oplog.LoadLog(spark, str(tmp_path)).end(batch, "COMPLETED")
     log.audit(batch, "t", "LOAD", "COMPLETED", 1, DAY(2024, 1, 1), None)
     log.audit(batch, "t", "LOAD", "COMPLETED", 1, DAY(2024, 1, 1), DAY(2024, 1, 1, 0, 0, 1, 5000))
     took = sorted((r["execution_time_seconds"] for r in log.audits().collect()), key=lambda v: (v is not None, v))

@@ -16,7 +16,7 @@ def key_value(keys: DataFrame, key_name: str) -> bytes:
     """Look one key up by its unique name (one small read on the driver)."""
     row = keys.filter(F.col("key_name") == key_name).select("key_value").first()
     if row is None or row[0] is None:
-        raise KeyNotFound(f"encryption key not found: {key_name}")
+        raise KeyNotFound(f"no key is stored under the name {key_name}")
     return bytes(row[0])
 
 

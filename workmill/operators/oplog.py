@@ -93,6 +93,7 @@ class LoadLog:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        self._started: set[str] = set()
 
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -113,11 +114,12 @@ class LoadLog:
             created_timestamp=moment,
             parent_batch_id=parent,
         )
+        self._started.add(batch_id)
         return batch_id
 
     def end(self, batch_id: str, status: str, error: str | None = None, details: dict | None = None, **counters) -> None:
         if not self._known(batch_id):
-            raise UnknownBatch(f"batch {batch_id} not found")
+            raise UnknownBatch(f"the log has no batch {batch_id}")
         self._append(
             "etl_batch_log",
             batch_id=batch_id,
@@ -129,6 +131,8 @@ class LoadLog:
         )
 
     def _known(self, batch_id: str) -> bool:
+        if batch_id in self._started:
+            return True
         try:
             rows = self.spark.read.schema(schema("etl_batch_log")).parquet(self._path("etl_batch_log"))
         except Exception as problem:  # noqa: BLE001 - a log not written yet

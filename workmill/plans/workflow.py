@@ -38,6 +38,7 @@ class Config:
     closed: Sequence[str] = ("completed", "cancelled")
     reopen: bool = False
     workload_days: int = 1
+    keep_versions: int = 3
     log: oplog.LoadLog = field(init=False)
 
     def __post_init__(self):
@@ -105,6 +106,7 @@ def load_dimension(cfg: Config, name: str, source: str, spec: scd2.Dimension, pa
         # observed while they are written.
         merged = cut(scd2.scd2_merge(dim, src, spec, cfg.as_of, batch, cfg.reopen, observe=seen))
         table.write(fill_keys(merged, spec.surrogate, [spec.key]))
+        table.prune(cfg.keep_versions)
         kinds = seen.get
         started = kinds["new"] + kinds["changed"] + (kinds["returned"] if cfg.reopen else 0)
         return Counts(started, kinds["changed"] + kinds["deleted"], kinds["unchanged"])

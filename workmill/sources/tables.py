@@ -90,6 +90,14 @@ class Versions:
         number = self._complete()[-1] if version is None else version
         return self.spark.read.parquet(f"{self.path}/v={number}")
 
+    def prune(self, keep: int = 2) -> None:
+        """Delete all but the newest `keep` complete versions; keep as many as
+        readers may still be using."""
+        jvm = self.spark._jvm
+        for number in self._complete()[:-keep]:
+            old = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={number}")
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+
     def write(self, df: DataFrame, partition_by: Sequence[str] = ()) -> int:
         done = self._complete()
         number = done[-1] + 1 if done else 1
