@@ -170,3 +170,23 @@ def test_settled_load_counts_and_merges_alike(spark):
     assert kinds == {r["kind"]: r["row_count"] for r in load.counts().collect()}
     assert rest.classified.count() == kinds["new"] + kinds["changed"]
     assert rows_of(rest.merged()) == rows_of(load.merged())
+
+
+def test_facts_can_take_the_version_valid_at_creation(spark):
+    x = Inputs(spark, SF)
+
+    def versioned(name):
+        always = {"effective_date": F.lit("1990-01-01"), "expiry_date": F.lit(None)}
+        cols = {n: c.cast("timestamp_ntz") for n, c in always.items()}
+        return x[name].withColumns({**cols, "version_number": F.lit(1)})
+
+    dims = facts.Dims(
+        x["f_dim_users"], versioned("f_cur_projects"), versioned("f_cur_status"), versioned("f_cur_priority"), x.dims.time
+    )
+    got = facts.resolve_tasks(x["f_tasks"], dims, AS_OF, valid_at="created_at", **DONE)
+    then = lookup.lookup_as_of(x["f_tasks"], x["f_dim_users"], "assigned_to", "created_at", "user_id", {"k": "user_key"})
+    assert rows_of(got.select("task_id", F.col("assigned_to_key").alias("k"))) == rows_of(then.select("task_id", "k"))
+    # The other keys do not depend on it here.
+    now = facts.resolve_tasks(x["f_tasks"], x.dims, AS_OF, **DONE)
+    same = ["task_id", "project_key", "status_key", "priority_key", "due_date_key"]
+    assert rows_of(got.select(*same)) == rows_of(now.select(*same))

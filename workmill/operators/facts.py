@@ -12,7 +12,7 @@ from workmill.functions.keys import fill_keys
 from workmill.functions.measures import task_measures
 from workmill.functions.moments import at, minutes_between
 from workmill.functions.scalars import amount, any_distinct, distinct_from
-from workmill.operators.lookup import UNKNOWN, current, date_lookup, lookup
+from workmill.operators.lookup import UNKNOWN, current, date_lookup, lookup, lookup_as_of
 from workmill.session import broadcastable, cut
 from workmill.sources.schemas import schema
 
@@ -30,31 +30,41 @@ class Dims:
     time: DataFrame
 
 
-def _with_people(tasks: DataFrame, users: DataFrame) -> DataFrame:
+def _with_people(tasks: DataFrame, users: DataFrame, valid_at: str | None) -> DataFrame:
     """Add assigned_to_key and reporter_key.
 
     With few users both lookups are broadcasts and nothing moves. Otherwise
-    each lookup shuffles its left side; then only the three ids go through them
-    and come back by task id, so that whole task rows (title, description,
-    labels) shuffle once, on the key the fact join needs anyway.
+    each lookup shuffles its left side; then only the ids go through them and
+    come back by task id, so that whole task rows (title, description, labels)
+    shuffle once, on the key the fact join needs anyway.
     """
 
     def keys(rows: DataFrame) -> DataFrame:
-        rows = lookup(rows, users, "assigned_to", "user_id", {"assigned_to_key": "user_key"}, by="task_id")
-        return lookup(rows, users, "reporter_id", "user_id", {"reporter_key": "user_key"}, by="task_id")
+        rows = _find(rows, users, "assigned_to", "user_id", {"assigned_to_key": "user_key"}, valid_at)
+        return _find(rows, users, "reporter_id", "user_id", {"reporter_key": "user_key"}, valid_at)
 
     if broadcastable(users):
         return keys(tasks)
-    ids = keys(tasks.select("task_id", "assigned_to", "reporter_id"))
+    ids = keys(tasks.select("task_id", "assigned_to", "reporter_id", *([valid_at] if valid_at else [])))
     people = ids.select("task_id", "assigned_to_key", "reporter_key").dropDuplicates(["task_id"])
     return tasks.join(people, "task_id", "left")
 
 
-def resolve_tasks(tasks: DataFrame, dims: Dims, as_of, batch_id: str | None = None, **statuses) -> DataFrame:
+def _find(rows: DataFrame, dim: DataFrame, on: str, key: str, take: Mapping[str, str], valid_at: str | None) -> DataFrame:
+    """The current version's columns, or those of the version valid at a time."""
+    if valid_at is None:
+        return lookup(rows, current(dim), on, key, take, by="task_id")
+    return lookup_as_of(rows, dim, on, valid_at, key, take)
+
+
+def resolve_tasks(
+    tasks: DataFrame, dims: Dims, as_of, batch_id: str | None = None, valid_at: str | None = None, **statuses
+) -> DataFrame:
     """Source tasks as fact rows (no surrogate): keys looked up, measures derived.
 
-    A key that finds no current dimension row is NULL, except the due and
-    completed dates, which get -1.
+    Keys are those of the current dimension versions, or with `valid_at` (a
+    timestamp column such as created_at) of the versions valid then. A key that
+    finds no row is NULL, except the due and completed dates, which get -1.
     """
     optional = {
         "description": "string",
@@ -65,13 +75,13 @@ def resolve_tasks(tasks: DataFrame, dims: Dims, as_of, batch_id: str | None = No
     }
     missing = {c: F.lit(None).cast(t) for c, t in optional.items() if c not in tasks.columns}
     rows = tasks.withColumns(missing) if missing else tasks
-    rows = lookup(rows, current(dims.status), "status", "status_id", {"status_key": "status_key"}, by="task_id")
-    rows = lookup(rows, current(dims.priority), "priority", "priority_id", {"priority_key": "priority_key"}, by="task_id")
+    rows = _find(rows, dims.status, "status", "status_id", {"status_key": "status_key"}, valid_at)
+    rows = _find(rows, dims.priority, "priority", "priority_id", {"priority_key": "priority_key"}, valid_at)
     rows = date_lookup(rows, dims.time, "created_at", "created_date_key")
     rows = date_lookup(rows, dims.time, "due_date", "due_date_key", unknown=True)
     rows = date_lookup(rows, dims.time, "completed_at", "completed_date_key", unknown=True)
-    rows = lookup(rows, current(dims.projects), "project_id", "project_id", {"project_key": "project_key"}, by="task_id")
-    rows = _with_people(rows, current(dims.users))
+    rows = _find(rows, dims.projects, "project_id", "project_id", {"project_key": "project_key"}, valid_at)
+    rows = _with_people(rows, dims.users, valid_at)
     computed = {
         **task_measures(as_of, **statuses),
         "created_timestamp": F.col("created_at"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from workmill.operators.hierarchy import reachable
 from workmill.operators.lookup import lookup
 from workmill.session import cut
+from workmill.sources import schemas
 
 # -- rules ------------------------------------------------------------------------
 # A rule is a condition that must not be FALSE: NULL passes, as for CHECK.
@@ -36,6 +37,41 @@ def ordered(start: str, end: str) -> Column:
     return F.col(end).isNull() | (F.col(end) >= F.col(start))
 
 
+def declared_rules(table: str, columns: Sequence[str]) -> dict[str, Column]:
+    """The declared constraints of a source table on the columns it has."""
+    rules = {}
+    for (owner, col), values in schemas.VOCABULARY.items():
+        if owner == table and col in columns:
+            rules[f"{col} known"] = in_vocabulary(col, values)
+    for col in schemas.REQUIRED.get(table, ()):
+        if col in columns:
+            rules[f"{col} present"] = not_null(col)
+    for col, n in schemas.LENGTHS.get(table, {}).items():
+        if col in columns:
+            rules[f"{col} length"] = max_length(col, n)
+    for col, (precision, scale) in schemas.DECIMALS.get(table, {}).items():
+        if col in columns:
+            rules[f"{col} range"] = fits_decimal(col, precision, scale)
+    if table == "time_logs":
+        rules["end after start"] = ordered("start_time", "end_time")
+    return rules
+
+
+def table_report(table: str, df: DataFrame) -> DataFrame:
+    """(rule, violations, row_count): declared constraints and unique keys.
+
+    A unique key's violations are its key values held by more than one row.
+    """
+    out = violation_counts(df, declared_rules(table, df.columns))
+    for keys in schemas.UNIQUE.get(table, ()):
+        if set(keys) <= set(df.columns):
+            repeated = duplicate_keys(df, keys).agg(F.count(F.lit(1)).alias("violations"))
+            total = df.agg(F.count(F.lit(1))).scalar()
+            row = repeated.select(F.lit(f"unique {', '.join(keys)}").alias("rule"), "violations", total.alias("row_count"))
+            out = out.unionByName(row)
+    return out
+
+
 def _broken(rule: Column) -> Column:
     return ~F.coalesce(rule, F.lit(True))
 

@@ -56,12 +56,14 @@ PRIORITY = Dimension("priority_id", "priority_key", ("priority_name", "priority_
 
 
 def first_version(src: DataFrame, like: DataFrame | None, spec: Dimension, as_of, batch_id: str | None = None) -> DataFrame:
-    """Every source row as version 1 (surrogate keys left NULL)."""
+    """Every source row as version 1 (surrogate keys left NULL), in the columns
+    of `like` if given. The tenant column is carried along where there is one."""
     attributes = [c for c in (*spec.tracked, *spec.payload) if c in src.columns]
     out = src.select(
         F.lit(None).cast("int").alias(spec.surrogate),
         spec.key,
         *attributes,
+        *[c for c in ("organization_id",) if c in src.columns],
         at(as_of).alias("effective_date"),
         F.lit(None).cast("timestamp_ntz").alias("expiry_date"),
         F.lit(True).alias("is_current"),
@@ -72,7 +74,10 @@ def first_version(src: DataFrame, like: DataFrame | None, spec: Dimension, as_of
     )
     if like is None:
         return out
-    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in out.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema])
+    known = set(out.columns)
+    return out.select(
+        *[(F.col(f.name) if f.name in known else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema]
+    )
 
 
 def _matched(dim: DataFrame, src: DataFrame, key: str, tracked: Sequence[str]) -> DataFrame:

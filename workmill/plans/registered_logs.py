@@ -253,6 +253,35 @@ def violating_rows(x):
     return quality.violations(x["f_tasks"], _task_rules()).select("task_id", "rule")
 
 
+_TABLE_CHECKS = {
+    "status known": "status NOT IN ('backlog', 'todo', 'in_progress', 'in_review', 'done')",
+    "priority known": "priority NOT IN ('critical', 'high', 'medium', 'low')",
+    "organization_id present": "organization_id IS NULL",
+    "title present": "title IS NULL",
+    "status present": "status IS NULL",
+    "priority present": "priority IS NULL",
+    "title length": "length(title) > 255",
+    "status length": "length(status) > 50",
+    "priority length": "length(priority) > 20",
+    "estimated_hours range": "abs(estimated_hours) >= 1000",
+    "actual_hours range": "abs(actual_hours) >= 100000000",
+}
+
+
+@query(
+    "table_report",
+    " UNION ALL ".join(
+        f"SELECT '{r}' AS rule, count(CASE WHEN {c} THEN 1 END) AS violations, count(*) AS row_count FROM {{f_tasks}}"
+        for r, c in _TABLE_CHECKS.items()
+    )
+    + """ UNION ALL SELECT 'unique organization_id, task_id', (SELECT count(*) FROM (
+            SELECT 1 FROM {f_tasks} GROUP BY organization_id, task_id HAVING count(*) > 1)), count(*) FROM {f_tasks}""",
+)
+def table_report(x):
+    """Every declared constraint of the tasks table."""
+    return quality.table_report("tasks", x["f_tasks"])
+
+
 @query(
     "dup_keys",
     """SELECT task_id, user_id, start_time, count(*) AS copies FROM {f_time_logs}

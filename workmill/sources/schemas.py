@@ -125,6 +125,65 @@ VOCABULARY = {
     ("tags", "type"): ("CATEGORY", "PRIORITY", "STATUS", "CUSTOM"),
 }
 
+# Columns that must have a value (fixed values).
+REQUIRED = {
+    "organizations": ("name", "subdomain", "status"),
+    "users": ("organization_id", "email", "password_hash", "role", "status"),
+    "projects": ("organization_id", "name", "status", "created_by"),
+    "tasks": ("organization_id", "title", "status", "priority", "created_by"),
+    "task_assignments": ("task_id", "organization_id", "user_id", "assigned_by", "role"),
+    "comments": ("organization_id", "task_id", "user_id", "content"),
+    "attachments": ("organization_id", "task_id", "file_name", "file_size", "uploaded_by"),
+    "time_logs": ("organization_id", "task_id", "user_id", "start_time"),
+    "notifications": ("organization_id", "user_id", "type", "title", "message"),
+    "audit_logs": ("action", "entity_type"),
+    "tags": ("organization_id", "name", "type"),
+    "task_tags": ("task_id", "organization_id", "tag_id"),
+    "user_sessions": ("user_id", "token_hash", "expires_at"),
+}
+
+# Longest text per column (fixed values).
+LENGTHS = {
+    "organizations": {"name": 255, "subdomain": 100, "status": 20},
+    "users": {"email": 255, "password_hash": 255, "first_name": 100, "last_name": 100, "role": 50, "status": 20},
+    "projects": {"name": 255, "status": 50},
+    "tasks": {"title": 255, "status": 50, "priority": 20},
+    "task_assignments": {"role": 20},
+    "attachments": {"file_name": 255, "file_type": 50, "storage_key": 255, "mime_type": 100},
+    "notifications": {"type": 50, "title": 255},
+    "audit_logs": {"action": 50, "entity_type": 50},
+    "tags": {"name": 50, "color_code": 7, "type": 50},
+}
+
+# Precision and scale of decimal columns (fixed values).
+DECIMALS = {
+    "projects": {"budget": (12, 2)},
+    "tasks": {"estimated_hours": (5, 2), "actual_hours": (10, 2)},
+    "time_logs": {"hourly_rate": (10, 2)},
+}
+
+# Keys that identify one row (fixed values).
+UNIQUE = {
+    "organizations": (("organization_id",), ("subdomain",)),
+    "users": (("user_id",), ("organization_id", "email")),
+    "projects": (("project_id",),),
+    "tasks": (("organization_id", "task_id"),),
+    "task_assignments": (("task_id", "organization_id", "user_id"),),
+    "comments": (("comment_id",),),
+    "attachments": (("attachment_id",),),
+    "notifications": (("notification_id",),),
+    "tags": (("tag_id",), ("organization_id", "name", "type")),
+    "task_tags": (("task_id", "organization_id", "tag_id"),),
+    "user_sessions": (("session_id",),),
+    "dim_time": (("full_date", "effective_date"),),
+    "dim_task_status": (("status_id", "effective_date"),),
+    "dim_priority": (("priority_id", "effective_date"),),
+    "fact_tasks": (("task_id", "created_date_key"),),
+    "bridge_task_assignees": (("task_key", "user_key"),),
+    "agg_daily_task_metrics": (("date_key", "project_key", "status_key", "priority_key"),),
+    "agg_user_workload": (("date_key", "user_key", "project_key"),),
+}
+
 
 def schema(name: str) -> StructType:
     return StructType.fromDDL(TABLES[name])
