@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from workmill.operators.lookup import lookup
 from workmill.plans import reports
 from workmill.sources import schemas, tables
 from workmill.sources.projection import Inputs
@@ -71,6 +72,9 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
     try:
         joined = spark.table("b_logs").join(spark.table("b_tasks").select("task_id", "status"), "task_id")
         assert "Exchange" not in plan(joined)
+        # Neither does a lookup on a key that is always there.
+        found = lookup(spark.table("b_logs"), spark.table("b_tasks"), "task_id", "task_id", {"task_status": "status"}, nullable=False)
+        assert "Exchange" not in plan(found)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.sql("DROP TABLE b_tasks")

@@ -50,10 +50,12 @@ def _with_people(tasks: DataFrame, users: DataFrame, valid_at: str | None) -> Da
     return tasks.join(people, "task_id", "left")
 
 
-def _find(rows: DataFrame, dim: DataFrame, on: str, key: str, take: Mapping[str, str], valid_at: str | None) -> DataFrame:
+def _find(
+    rows: DataFrame, dim: DataFrame, on: str, key: str, take: Mapping[str, str], valid_at: str | None, nullable: bool = True
+) -> DataFrame:
     """The current version's columns, or those of the version valid at a time."""
     if valid_at is None:
-        return lookup(rows, current(dim), on, key, take, by="task_id")
+        return lookup(rows, current(dim), on, key, take, by="task_id", nullable=nullable)
     return lookup_as_of(rows, dim, on, valid_at, key, take)
 
 
@@ -75,8 +77,8 @@ def resolve_tasks(
     }
     missing = {c: F.lit(None).cast(t) for c, t in optional.items() if c not in tasks.columns}
     rows = tasks.withColumns(missing) if missing else tasks
-    rows = _find(rows, dims.status, "status", "status_id", {"status_key": "status_key"}, valid_at)
-    rows = _find(rows, dims.priority, "priority", "priority_id", {"priority_key": "priority_key"}, valid_at)
+    rows = _find(rows, dims.status, "status", "status_id", {"status_key": "status_key"}, valid_at, nullable=False)
+    rows = _find(rows, dims.priority, "priority", "priority_id", {"priority_key": "priority_key"}, valid_at, nullable=False)
     rows = date_lookup(rows, dims.time, "created_at", "created_date_key")
     rows = date_lookup(rows, dims.time, "due_date", "due_date_key", unknown=True)
     rows = date_lookup(rows, dims.time, "completed_at", "completed_date_key", unknown=True)
@@ -196,9 +198,9 @@ def load_fact_time_logs(
     optional = {"log_id": "string", "description": "string"}
     missing = {c: F.lit(None).cast(t) for c, t in optional.items() if c not in logs.columns}
     rows = logs.withColumns(missing) if missing else logs
-    own = "log_id" if "log_id" in logs.columns else "start_time"
-    rows = lookup(rows, fact_tasks, "task_id", "task_id", {"task_key": "task_key", "project_key": "project_key"}, by=own)
-    rows = lookup(rows, current(users), "user_id", "user_id", {"user_key": "user_key"}, by=own)
+    task = {"task_key": "task_key", "project_key": "project_key"}
+    rows = lookup(rows, fact_tasks, "task_id", "task_id", task, nullable=False)
+    rows = lookup(rows, current(users), "user_id", "user_id", {"user_key": "user_key"}, nullable=False)
     rows = date_lookup(rows, time, "start_time", "date_key")
     rows = date_lookup(rows, time, "end_time", "end_time_key")
     minutes = amount(F.coalesce(minutes_between(F.col("start_time"), F.col("end_time")), F.lit(0)))
@@ -315,7 +317,7 @@ def history_from_audit(audit: DataFrame, fields: Mapping[str, str] | Sequence[st
 
 def keyed_history(history: DataFrame, fact_tasks: DataFrame, users: DataFrame, time: DataFrame) -> DataFrame:
     """History rows with warehouse keys for task, user and day."""
-    rows = lookup(history, fact_tasks, "task_id", "task_id", {"task_key": "task_key"})
+    rows = lookup(history, fact_tasks, "task_id", "task_id", {"task_key": "task_key"}, nullable=False)
     if "changed_by" in history.columns:
         rows = lookup(rows, current(users), "changed_by", "user_id", {"changed_by_key": "user_key"})
     else:

@@ -16,7 +16,14 @@ def current(dim: DataFrame) -> DataFrame:
 
 
 def lookup(
-    df: DataFrame, dim: DataFrame, on: str, key: str, take: Mapping[str, str], spread: int = 1, by: str | None = None
+    df: DataFrame,
+    dim: DataFrame,
+    on: str,
+    key: str,
+    take: Mapping[str, str],
+    spread: int = 1,
+    by: str | None = None,
+    nullable: bool = True,
 ) -> DataFrame:
     """Left join that adds dimension columns under new names.
 
@@ -28,7 +35,13 @@ def lookup(
     (the dimension is repeated as often) for a key AQE cannot split. Rows are
     spread by a hash of `by`, by default the first column, which should be the
     row's own id.
+
+    `nullable=False` says the key is always there: the join is then on the key
+    alone and can use tables already partitioned or bucketed on it.
     """
+    if spread == 1 and not nullable:
+        right = dim.selectExpr(f"`{key}` AS __dim_key", *[f"`{c}` AS `{name}`" for name, c in take.items()])
+        return df.join(right, F.expr(f"`{on}` = __dim_key"), "left").drop("__dim_key")
     noise = f"xxhash64(`{by or df.columns[0]}`)"
     present = "0" if spread == 1 else f"CAST(pmod({noise}, {spread}) AS INT)"
     salt = f"CASE WHEN `{on}` IS NULL THEN CAST(pmod({noise}, {_NULL_SPREAD}) AS INT) ELSE {present} END"
