@@ -97,3 +97,22 @@ def test_classification_reads_few_columns_of_the_fact(spark, tmp_path):
     scan = next(line for line in executed(load.counts()).splitlines() if "FileScan parquet" in line and f"{tmp_path}" in line)
     named = re.findall(r"\w+(?=#)", scan)
     assert set(named) <= {"task_id", "task_key", *facts.TRACKED} and "title" in named
+
+
+def test_a_small_load_does_not_shuffle_the_fact(spark, tmp_path, conf):
+    from workmill.operators import facts
+    from workmill.plans.registry import AS_OF, DONE
+
+    x = Inputs(spark, SF)
+    stored = facts.resolve_tasks(x["f_tasks"], x.dims, AS_OF, "B1", **DONE).withColumn("task_key", F.col("task_id"))
+    stored.write.parquet(f"{tmp_path}/fact")
+    x["f_tasks"].filter("task_id < 20").withColumn("priority", F.lit("low")).coalesce(1).write.parquet(f"{tmp_path}/delta")
+    fact, delta = spark.read.parquet(f"{tmp_path}/fact"), spark.read.parquet(f"{tmp_path}/delta")
+    load, kinds = facts.load_fact_tasks(fact, delta, x.dims, AS_OF, **DONE).settled()
+    low = x["f_tasks"].filter("task_id < 20 AND priority = 'low'").count()
+    assert kinds == {"new": 0, "changed": 20 - low, "unchanged": low}
+    text = load.merged()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [task_id" in text and "hashpartitioning" not in text
+    # Too many ids to broadcast: the plain join gives the same.
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    assert facts.load_fact_tasks(fact, delta, x.dims, AS_OF, **DONE).settled()[1] == kinds

@@ -142,15 +142,28 @@ class FactLoad:
         return fill_keys(self.merged(), self.surrogate, [self.key])
 
 
-def classify(fact: DataFrame, incoming: DataFrame, key: str, surrogate: str, tracked: Sequence[str]) -> FactLoad:
+def classify(
+    fact: DataFrame,
+    incoming: DataFrame,
+    key: str,
+    surrogate: str,
+    tracked: Sequence[str],
+    ids: DataFrame | None = None,
+) -> FactLoad:
     """Compare incoming rows with the stored ones on the tracked columns.
 
     Only the key, the surrogate and the tracked columns of the stored table
-    take part, so the scan and the shuffle of the fact stay narrow.
+    take part, so the scan and the shuffle of the fact stay narrow. `ids` holds
+    the incoming keys in one column; where they are few enough to broadcast,
+    the stored rows are reduced to them before the join and the fact is not
+    shuffled at all.
     """
     stored = fact.select(
         F.col(key).alias("__key"), F.col(surrogate).alias("__surrogate"), *[F.col(c).alias(f"__old_{c}") for c in tracked]
     )
+    if ids is not None and broadcastable(ids):
+        wanted = ids.select(F.col(ids.columns[0]).alias("__wanted"))
+        stored = stored.join(wanted, F.col("__key") == F.col("__wanted"), "left_semi")
     differs = any_distinct((F.col(f"__old_{c}"), F.col(c)) for c in tracked)
     kind = F.when(F.col("__key").isNull(), "new").when(differs, "changed").otherwise("unchanged")
     rows = incoming.join(stored, F.col(key) == F.col("__key"), "left").withColumns(
@@ -175,7 +188,7 @@ def load_fact_tasks(
     counts; pass more columns in `tracked` to refresh on them too.
     """
     incoming = resolve_tasks(tasks, dims, as_of, batch_id, **statuses)
-    return classify(fact, incoming, "task_id", "task_key", tracked)
+    return classify(fact, incoming, "task_id", "task_key", tracked, tasks.select("task_id"))
 
 
 def touched_partitions(load: FactLoad, part: str) -> list:

@@ -129,7 +129,15 @@ def _written(cfg: Config, name: str) -> bool:
 
 
 def _incremental(
-    cfg: Config, name: str, incoming: DataFrame, key: str, surrogate: str, tracked: Sequence[str], month: str, ts: str
+    cfg: Config,
+    name: str,
+    incoming: DataFrame,
+    ids: DataFrame,
+    key: str,
+    surrogate: str,
+    tracked: Sequence[str],
+    month: str,
+    ts: str,
 ) -> Counts:
     """Bring a fact stored by month up to date with resolved source rows.
 
@@ -142,7 +150,7 @@ def _incremental(
         overwrite(assign_keys(incoming, surrogate, [key]), path, [month])
         return Counts(inserted=_fact(cfg, name).count())
     fact = _fact(cfg, name)
-    load, kinds = facts.classify(fact, incoming, key, surrogate, tracked).settled()
+    load, kinds = facts.classify(fact, incoming, key, surrogate, tracked, ids).settled()
     months = facts.touched_partitions(load, month)
     if months:
         top = fact.agg(F.max(surrogate)).first()[0] or 0
@@ -159,8 +167,10 @@ def load_tasks(cfg: Config, parent: str | None = None) -> Counts:
     """Incremental task fact, stored by creation month."""
 
     def work(batch: str) -> Counts:
-        rows = facts.resolve_tasks(cfg.source("tasks"), _dims(cfg), cfg.as_of, batch, **cfg.statuses)
-        return _incremental(cfg, "fact_tasks", rows, "task_id", "task_key", facts.TRACKED, MONTH, "created_timestamp")
+        tasks = cfg.source("tasks")
+        rows = facts.resolve_tasks(tasks, _dims(cfg), cfg.as_of, batch, **cfg.statuses)
+        ids = tasks.select("task_id")
+        return _incremental(cfg, "fact_tasks", rows, ids, "task_id", "task_key", facts.TRACKED, MONTH, "created_timestamp")
 
     return _step(cfg, parent, "fact_tasks", "INCREMENTAL_LOAD", work)
 
@@ -180,12 +190,18 @@ def load_time_logs(cfg: Config, parent: str | None = None) -> Counts:
     """Incremental time-log fact, stored by start month."""
 
     def work(batch: str) -> Counts:
-        dims = _dims(cfg)
-        rows = facts.load_fact_time_logs(
-            cfg.source("time_logs"), _fact(cfg, "fact_tasks"), dims.users, dims.time, batch, cfg.as_of
-        )
+        dims, logs = _dims(cfg), cfg.source("time_logs")
+        rows = facts.load_fact_time_logs(logs, _fact(cfg, "fact_tasks"), dims.users, dims.time, batch, cfg.as_of)
         return _incremental(
-            cfg, "fact_time_logs", rows, "time_log_id", "time_log_key", facts.LOG_TRACKED, "start_month", "start_timestamp"
+            cfg,
+            "fact_time_logs",
+            rows,
+            logs.select("log_id"),
+            "time_log_id",
+            "time_log_key",
+            facts.LOG_TRACKED,
+            "start_month",
+            "start_timestamp",
         )
 
     return _step(cfg, parent, "fact_time_logs", "INCREMENTAL_LOAD", work)
