@@ -4,8 +4,9 @@ import pytest
 from compare import TESTDATA, connect, differences
 
 import __spark_entry__ as entry_module
+from workmill.plans import registry
 
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 FOLDER = f"{TESTDATA}/sf0.001"
 
 

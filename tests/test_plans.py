@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_module
+import __spark_entry__ as entry_module  # noqa: F401
+from workmill.plans import registry
 from workmill.operators.lookup import lookup
 from workmill.plans import reports
 from workmill.sources.projection import Inputs
@@ -13,7 +14,7 @@ from workmill.sources.projection import Inputs
 from compare import TESTDATA
 
 SF = f"{TESTDATA}/sf0.001"
-QUERIES = entry_module.queries()
+QUERIES = registry.QUERIES
 
 
 def executed(df):
