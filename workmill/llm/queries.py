@@ -43,3 +43,12 @@ def op10_sketch_dedup(read):
     from workmill.llm.sketch_dedup import remove_repeats
 
     return remove_repeats(read("documents"), width=13, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query()
+def op3_fm_decontamination(read):
+    """Benchmark passages of ten words found in documents."""
+    from workmill.llm.fm_decontamination import decontaminate
+
+    found = decontaminate(read("documents"), read("benchmark"), width=10, texts=False)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
