@@ -52,3 +52,17 @@ def op3_fm_decontamination(read):
 
     found = decontaminate(read("documents"), read("benchmark"), width=10, texts=False)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def op9_best_fit_packing(read):
+    """All documents in sequences of 1024 tokens."""
+    from workmill.llm.best_fit_packing import pack
+
+    return pack(read("documents"), tokenizer_path(), capacity=1024, end=2)
