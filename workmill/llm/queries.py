@@ -66,3 +66,48 @@ def op9_best_fit_packing(read):
     from workmill.llm.best_fit_packing import pack
 
     return pack(read("documents"), tokenizer_path(), capacity=1024, end=2)
+
+
+@query()
+def op1_warc_index_merge(read):
+    """WARC records of all pages, read back and merged into one capture index."""
+    from workmill.llm.warc_index import archive_and_index
+
+    return archive_and_index(read("pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp")
+
+
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+_OP4 = """
+WITH parsed AS (
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1)) AS host,
+         regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages
+), fits AS (
+  SELECT page_id, host, path,
+    CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+         WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+         WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+  FROM parsed
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM fits
+"""  # the given pages hold no canonical link or redirect, so the method allows what no rule fits
+
+
+@query(_OP4)
+def op4_redirect_blocks(read):
+    """Allow or block every page by rules and by its aliases."""
+    from workmill.llm.redirect_blocks import judge
+
+    pages = read("pages")
+    rules = pages.sparkSession.createDataFrame(RULES, "host string, path string, verdict string")
+    return judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op5_text_density(read):
+    """Main text of every page."""
+    from workmill.llm.text_density import extract
+
+    return extract(read("pages"))
