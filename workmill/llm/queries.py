@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from workmill.session import configure
 
@@ -111,3 +112,33 @@ def op5_text_density(read):
     from workmill.llm.text_density import extract
 
     return extract(read("pages"))
+
+
+@query()
+def op2_language_backoff(read):
+    """Language of every document, learned from three of four ids."""
+    from workmill.llm.language_backoff import fit, held_out, identify
+
+    docs = read("documents")
+    model = fit(docs.where(~held_out(F.col("doc_id"))))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op8_compression_toxicity(read):
+    """Toxicity of every document, learned from four of five labelled ids."""
+    from workmill.llm.compression_toxicity import classify, fit, held_out
+
+    docs = read("documents").select("doc_id", "text")
+    labels = read("labels").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    model = fit(docs.join(labels, "doc_id"))
+    return classify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op7_pruned_graph(read):
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    from workmill.llm.pruned_graph import nearest
+
+    table = read("embeddings")
+    return nearest(table, table.where("vec_id % 20 = 0"), top=20)
