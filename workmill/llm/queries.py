@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -142,3 +143,14 @@ def op7_pruned_graph(read):
 
     table = read("embeddings")
     return nearest(table, table.where("vec_id % 20 = 0"), top=20)
+
+
+def _pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
+if importlib.util.find_spec("corpus_pipeline"):
+    QUERIES["pipeline"] = _pipeline
