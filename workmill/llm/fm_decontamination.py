@@ -91,9 +91,14 @@ class Wavelet:
 
 
 class FmIndex:
-    """Backward search over one shard. Symbols count from 1; 0 separates."""
+    """Backward search over one shard.
+
+    An end mark below all symbols is added, without which the order of suffixes
+    and that of rotations could differ.
+    """
 
     def __init__(self, text: np.ndarray, symbols: int):
+        text, symbols = np.append(text + 1, 0), symbols + 1
         order = suffix_array(text)
         self.text_length = len(text)
         self.column = text[order - 1]
@@ -113,7 +118,7 @@ class FmIndex:
             live = np.flatnonzero((lengths > back) & (low < high))
             if not len(live):
                 break
-            symbol = patterns[live, -1 - back]
+            symbol = patterns[live, -1 - back] + 1
             low[live] = self.before[symbol] + self.wavelet.rank(symbol, low[live])
             high[live] = self.before[symbol] + self.wavelet.rank(symbol, high[live])
         return low, high
