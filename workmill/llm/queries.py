@@ -44,7 +44,7 @@ def op10_sketch_dedup(read):
     """Words left after windows of 13 words that an earlier document has."""
     from workmill.llm.sketch_dedup import remove_repeats
 
-    return remove_repeats(read("documents"), width=13, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return remove_repeats(read("documents").select("doc_id", "text"), width=13, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 @query()

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from workmill.llm.common import blobs_of, chunks, lists, release, replaced, rolling, with_columns, within, word_hashes, words
 from workmill.session import cut
 
-_SHORT = 4  # words of an anchor
+_SHORT = 6  # words of an anchor
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _CELL_BITS = 40
 
@@ -150,7 +150,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, texts: bool = True) -> Data
     release(spark)
     flagged = rows.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     windows = narrow.join(flagged.hint("shuffle_hash"), "doc_id").mapInArrow(_windows(width), "h1 long, h2 long, doc_id long, pos long")
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
     mark = F.shiftleft("pos", 32).bitwiseOR(F.col("h1").bitwiseAND(F.lit(0xFFFFFFFF)))
     marks = windows.join(first, ["h1", "h2"]).where("first < doc_id").select("doc_id", mark.alias("mark"))
     marks = cut(marks.groupBy("doc_id").agg(F.collect_list("mark").alias("__marks")))
