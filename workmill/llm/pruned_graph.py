@@ -142,7 +142,7 @@ def _build(degree, beam, relax, top, norm):
 def _search(beam, top):
     def run(key, graphs, queries):
         if not len(graphs) or not len(queries):
-            return pd.DataFrame({"query_id": [], "shard": [], "found": []})
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "shard": np.zeros(0, np.int32), "found": np.zeros(0, object)})
         graph, nodes, own, scale = pickle.loads(graphs["graph"].iloc[0])
         name, vector = queries["vec_id"].to_numpy(), np.array(queries["vector"].tolist(), np.float64)
         length = np.sqrt(np.square(vector).sum(axis=1, keepdims=True))
