@@ -70,8 +70,8 @@ def _step(cfg: Config, parent: str | None, table: str, operation: str, work: Cal
     try:
         done = work(batch)
     except Exception as problem:
-        code, text = type(problem).__name__, str(problem)[:2000]
-        cfg.log.error(batch, "ERROR", code, text, table, data={"error_context": f"load of {table}", "trace": traceback.format_exc()[-2000:]})
+        code, text = type(problem).__name__, str(problem)
+        cfg.log.error(batch, "ERROR", code, text, table, data={"error_context": f"load of {table}", "trace": traceback.format_exc()})
         cfg.log.audit(batch, table, operation, "FAILED", None, began, oplog.now(), text)
         cfg.log.end(batch, "FAILED", text, processed=0, inserted=0, updated=0, failed=1)
         raise
@@ -269,7 +269,7 @@ def run_workflow(cfg: Config, raise_on_error: bool = True) -> str:
             load_time(cfg, batch)
         results = [step() for step in _standard(cfg, batch)]
     except Exception as problem:
-        text = str(problem)[:2000]
+        text = str(problem)
         cfg.log.error(batch, "CRITICAL", type(problem).__name__, text, "ETL_WORKFLOW", data={"error_context": "full run"})
         cfg.log.end(batch, "FAILED", text, failed=1)
         if raise_on_error:
