@@ -65,10 +65,10 @@ def test_search_rules(spark):
 def test_index_gives_the_same_result(spark, tmp_path, text):
     path = f"{tmp_path}/index"
     write_index(build_index(docs(spark), "id", F.col("title"), F.col("body"), buckets=8), path, "id", 2)
-    got = search_index(spark.read.parquet(path), text, "id", buckets=8)
+    got = search_index(spark.read.parquet(path), text, "id")
     assert [(r["id"], float(r["rank"])) for r in got.collect()] == find(spark, text)
     with pytest.raises(ValueError):
-        search_index(spark.read.parquet(path), "-urgent", "id", buckets=8)
+        search_index(spark.read.parquet(path), "-urgent", "id")
 
 
 def test_search_does_not_shuffle(spark):

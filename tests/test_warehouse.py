@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from workmill.operators import facts, lookup, scd2
@@ -157,7 +158,7 @@ def test_people_keys_do_not_depend_on_the_join_chosen(spark):
         large = facts.resolve_tasks(x["f_tasks"], x.dims, AS_OF, "B1", **DONE)
         assert rows_of(large) == want
         text = large._jdf.queryExecution().optimizedPlan().toString()
-        assert "Join LeftOuter, (task_id" in text
+        assert "<=> __task_id" in text
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
@@ -190,3 +191,21 @@ def test_facts_can_take_the_version_valid_at_creation(spark):
     now = facts.resolve_tasks(x["f_tasks"], x.dims, AS_OF, **DONE)
     same = ["task_id", "project_key", "status_key", "priority_key", "due_date_key"]
     assert rows_of(got.select(*same)) == rows_of(now.select(*same))
+
+
+def test_people_keys_where_task_ids_repeat_or_are_missing(spark):
+    x = Inputs(spark, SF)
+    one = x["f_tasks"]
+    swapped = one.withColumns({"assigned_to": F.col("reporter_id"), "reporter_id": F.col("assigned_to")})
+    tasks = one.unionByName(swapped).unionByName(one.withColumn("task_id", F.lit(None).cast(one.schema["task_id"].dataType)))
+
+    def rows():
+        return sorted(map(repr, facts.resolve_tasks(tasks, x.dims, AS_OF, "B1", **DONE).collect()))
+
+    want = rows()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows() == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

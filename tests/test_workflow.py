@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from workmill.operators import oplog
 from workmill.plans import reports
-from workmill.plans.workflow import Config, WorkflowError, run_workflow
+from workmill.plans.workflow import Config, WorkflowError, load_tasks, run_workflow
 from workmill.streaming.incremental import Landing, scheduled_run
 
 DAY = dt.datetime
@@ -168,3 +168,47 @@ def test_scheduled_run_takes_in_landed_files(spark, tmp_path):
     scheduled_run(cfg, [land])
     dim = cfg.table("dim_users").read()
     assert dim.count() == 4 and dim.filter("user_id = 'u1' AND is_current").first()["version_number"] == 2
+
+
+def test_rows_without_a_creation_time_survive_later_loads(spark, tmp_path):
+    tables = sources(spark)
+    dated = tables["tasks"]
+    undated = F.col("task_id").isin("t0", "t1", "t2")
+    tables["tasks"] = dated.withColumn("created_at", F.when(~undated, F.col("created_at")))
+    cfg = config(spark, tmp_path, tables, "2024-03-09 12:00:00")
+    run_workflow(cfg)
+    before = {r["task_id"]: r["task_key"] for r in spark.read.parquet(f"{tmp_path}/fact_tasks").collect()}
+
+    tables["tasks"] = tables["tasks"].withColumn("title", F.when(F.col("task_id") == "t0", "renamed").otherwise(F.col("title")))
+    cfg.as_of = "2024-03-10 12:00:00"
+    load_tasks(cfg)
+    rows = spark.read.parquet(f"{tmp_path}/fact_tasks").collect()
+    assert len(rows) == 12 and {r["task_id"]: r["task_key"] for r in rows} == before
+    assert [r["title"] for r in rows if r["task_id"] == "t0"] == ["renamed"]
+
+    # All get a date, and the partition without one is emptied.
+    tables["tasks"] = dated.withColumn("title", F.when(undated, "dated").otherwise(F.col("title")))
+    cfg.as_of = "2024-03-11 12:00:00"
+    load_tasks(cfg)
+    rows = spark.read.parquet(f"{tmp_path}/fact_tasks").collect()
+    assert len(rows) == 12 and {r["task_id"]: r["task_key"] for r in rows} == before
+    assert all(r["created_month"] is not None for r in rows)
+
+
+def test_log_counts_beyond_32_bits(spark, tmp_path):
+    log = oplog.LoadLog(spark, str(tmp_path))
+    batch = log.start("BIG")
+    log.audit(batch, "t", "LOAD", "COMPLETED", 3_000_000_000, oplog.now(), oplog.now())
+    log.end(batch, "COMPLETED", processed=3_000_000_000, inserted=3_000_000_000, updated=0, failed=0)
+    assert [r["records_affected"] for r in log.audits().collect()] == [3_000_000_000]
+
+
+def test_failing_landing_is_logged(spark, tmp_path):
+    tables = sources(spark)
+    cfg = config(spark, tmp_path / "wh", tables, "2024-03-09 12:00:00")
+    (tmp_path / "landed").mkdir()
+    (tmp_path / "landed" / "a.parquet").write_bytes(b"not a parquet file")
+    land = Landing("users", str(tmp_path / "landed"), "user_id string, version int", "user_id", ("version",))
+    with pytest.warns(UserWarning, match="landing of users failed"):
+        batch = scheduled_run(cfg, [land])
+    assert [(r["batch_id"], r["error_severity"]) for r in cfg.log.errors().collect()] == [(batch, "CRITICAL")]

@@ -35,8 +35,9 @@ def _with_people(tasks: DataFrame, users: DataFrame, valid_at: str | None) -> Da
 
     With few users both lookups are broadcasts and nothing moves. Otherwise
     each lookup shuffles its left side; then only the ids go through them and
-    come back by task id, so that whole task rows (title, description, labels)
-    shuffle once, on the key the fact join needs anyway.
+    come back by all the columns they depend on, so that whole task rows (title,
+    description, labels) shuffle once. The task id is among those columns to
+    spread a user with very many tasks; it need not be unique or present.
     """
 
     def keys(rows: DataFrame) -> DataFrame:
@@ -45,9 +46,12 @@ def _with_people(tasks: DataFrame, users: DataFrame, valid_at: str | None) -> Da
 
     if broadcastable(users):
         return keys(tasks)
-    ids = keys(tasks.select("task_id", "assigned_to", "reporter_id", *([valid_at] if valid_at else [])))
-    people = ids.select("task_id", "assigned_to_key", "reporter_key").dropDuplicates(["task_id"])
-    return tasks.join(people, "task_id", "left")
+    by = ["task_id", "assigned_to", "reporter_id", *([valid_at] if valid_at else [])]
+    people = keys(tasks.select(*by).distinct()).withColumnsRenamed({c: f"__{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & tasks[c].eqNullSafe(people[f"__{c}"])
+    return tasks.join(people, same, "left").drop(*[f"__{c}" for c in by])
 
 
 def _find(

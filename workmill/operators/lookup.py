@@ -90,10 +90,14 @@ def lookup_as_of(df: DataFrame, dim: DataFrame, on: str, ts: str, key: str, take
 
     The equi key keeps this a hash or merge join; the validity range is a
     residual condition. A version that ended without a successor (deleted
-    entity) is valid up to its expiry date.
+    entity) is valid up to its expiry date. Rows without a key are spread as in
+    `lookup`.
     """
+    noise = f"CAST(pmod(xxhash64(`{df.columns[0]}`), {_NULL_SPREAD}) AS INT)"
+    salted = df.withColumn("__salt", F.expr(f"CASE WHEN `{on}` IS NULL THEN {noise} ELSE 0 END"))
     spans = gap_free(dim, key).select(
         F.col(key).alias("__dim_key"),
+        F.expr(f"CAST(pmod(xxhash64(`{key}`), 1) AS INT)").alias("__dim_salt"),
         F.col("effective_date").alias("__from"),
         F.col("valid_to").alias("__to"),
         F.col("expiry_date").alias("__expiry"),
@@ -103,7 +107,8 @@ def lookup_as_of(df: DataFrame, dim: DataFrame, on: str, ts: str, key: str, take
     before_end = F.when(F.col("__to").isNotNull(), when < F.col("__to")).otherwise(
         F.col("__expiry").isNull() | (when <= F.col("__expiry"))
     )
-    valid = (F.col(on) == F.col("__dim_key")) & (F.col("__from") <= when) & before_end
-    return df.join(spans, valid, "left").select(
+    same = (F.col(on) == F.col("__dim_key")) & (F.col("__salt") == F.col("__dim_salt"))
+    valid = same & (F.col("__from") <= when) & before_end
+    return salted.join(spans, valid, "left").select(
         *[F.col(c) for c in df.columns], *[F.col(f"__take{i}").alias(name) for i, name in enumerate(take)]
     )

@@ -46,15 +46,16 @@ def fold_batches(events: DataFrame) -> DataFrame:
     """One row per batch from its start and end rows.
 
     A counter is the last non-NULL one; status and message are those of the
-    last row even where the message is NULL. Aggregates only: combined before
-    the shuffle, whatever the number of rows of one batch.
+    last row even where the message is NULL. An end row comes after a start row
+    whatever their clocks say. Aggregates only: combined before the shuffle,
+    whatever the number of rows of one batch.
     """
 
     def last(c: str, only_set: bool = False) -> Column:
         seq = F.col("seq")
         return F.max_by(c, F.when(F.col(c).isNotNull(), seq) if only_set else seq).alias(c)
 
-    rows = events.withColumn("seq", F.struct(F.coalesce("batch_end_time", "batch_start_time"), F.col("batch_end_time").isNotNull()))
+    rows = events.withColumn("seq", F.struct(F.col("batch_end_time").isNotNull(), F.coalesce("batch_end_time", "batch_start_time")))
     sums = [c for c in COUNTERS if c in events.columns]
     # max_by ignores rows whose ordering value is NULL.
     return rows.groupBy("batch_id").agg(

@@ -122,13 +122,14 @@ def build_index(docs: DataFrame, key: str, title: Column, body: Column, buckets:
 
     Positions count through title then body. Write it with
     `write_index`, partitioned by `bucket`, so a query reads only the buckets
-    of its words.
+    of its words. The number of buckets travels with the column `token`, also
+    through a written index.
     """
     split = docs.select(key, *also, words(title).alias("__a"), words(body).alias("__b"))
     rows = split.select(key, *also, F.size("__a").alias("__len"), F.posexplode(F.concat("__a", "__b")).alias("pos", "token"))
     weight = F.when(F.col("pos") < F.col("__len"), "A").otherwise("B")
     return rows.filter(~F.col("token").isin(*STOP_WORDS)).select(
-        "token", key, *also, "pos", weight.alias("weight"), F.pmod(F.hash("token"), F.lit(buckets)).alias("bucket")
+        F.col("token").alias("token", metadata={"buckets": buckets}), key, *also, "pos", weight.alias("weight"), F.pmod(F.hash("token"), F.lit(buckets)).alias("bucket")
     )
 
 
@@ -144,19 +145,23 @@ def write_index(index: DataFrame, path: str, key: str, files_per_bucket: int = 8
     )
 
 
-def search_index(index: DataFrame, query: str, key: str, buckets: int = 64) -> DataFrame:
+def search_index(index: DataFrame, query: str, key: str) -> DataFrame:
     """The same result as `search`, read from the index.
 
     A query with only barred words has no postings to start from; use `search`.
+    An index that does not tell its number of buckets is read without pruning.
     """
     alternatives = parse(query)
     if any(not a.needed for a in alternatives):
         raise ValueError("a search in the index needs a wanted word in each alternative")
     vocabulary = sorted({w for a in alternatives for entry in (*a.needed, *a.barred) for _, w in entry})
     wanted = sorted({w for a in alternatives for entry in a.needed for _, w in entry})
-    numbers = index.sparkSession.createDataFrame([(w,) for w in vocabulary], "w string")
-    ids = [r[0] for r in numbers.select(F.pmod(F.hash("w"), F.lit(buckets))).distinct().collect()]
-    post = index.filter(F.col("bucket").isin(*ids) & F.col("token").isin(*vocabulary))
+    post = index.filter(F.col("token").isin(*vocabulary))
+    buckets = index.schema["token"].metadata.get("buckets")
+    if buckets:
+        numbers = index.sparkSession.createDataFrame([(w,) for w in vocabulary], "w string")
+        ids = [r[0] for r in numbers.select(F.pmod(F.hash("w"), F.lit(buckets))).distinct().collect()]
+        post = post.filter(F.col("bucket").isin(*ids))
 
     points = F.when(F.col("weight") == "A", 10).otherwise(4)
     entries = list(dict.fromkeys(e for a in alternatives for e in (*a.needed, *a.barred)))

@@ -116,8 +116,9 @@ def user_workload(
     zero = F.lit(0)
     times_logs = F.lit(1) if exact else F.greatest(F.coalesce("__logs", zero), F.lit(1))
     times_tasks = F.lit(1) if exact else F.greatest(F.coalesce("__tasks", zero), F.lit(1))
-    estimated = F.coalesce("__estimated", zero).cast("decimal(20,2)") * times_logs.cast("decimal(12,0)")
-    minutes = F.coalesce("__minutes", zero) * times_tasks
+    estimated = F.coalesce("__estimated", zero).cast("decimal(20,2)") * times_logs.cast("decimal(18,0)")
+    # A product of two totals can exceed 64 bits.
+    minutes = F.coalesce("__minutes", zero).cast("decimal(19,0)") * times_tasks.cast("decimal(19,0)")
     return rows.select(
         "organization_id",
         "user_id",
@@ -125,8 +126,8 @@ def user_workload(
         "first_name",
         "last_name",
         *[F.coalesce(c, zero).cast("bigint").alias(c) for c in ("total_tasks", "active_tasks", "overdue_tasks")],
-        estimated.cast("decimal(24,2)").alias("total_estimated_hours"),
-        (minutes.cast("decimal(20,0)") / F.lit(60)).cast("decimal(20,4)").alias("total_logged_hours"),
+        estimated.cast("decimal(38,2)").alias("total_estimated_hours"),
+        (minutes.cast("decimal(30,0)") / F.lit(60)).cast("decimal(30,4)").alias("total_logged_hours"),
     )
 
 

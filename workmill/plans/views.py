@@ -48,7 +48,7 @@ def register(spark: SparkSession, as_of, email_key: bytes | None = None) -> list
             "check_etl_status",
             "hours_back INT DEFAULT 24",
             "TABLE(batch_id STRING, batch_start_time TIMESTAMP_NTZ, batch_end_time TIMESTAMP_NTZ, status STRING, "
-            "duration_minutes DECIMAL(24,10), records_processed INT, error_message STRING)",
+            "duration_minutes DECIMAL(24,10), records_processed BIGINT, error_message STRING)",
             f"SELECT batch_id, batch_start_time, batch_end_time, status, {minutes}, records_processed, error_message "
             f"FROM etl_batch_log WHERE batch_start_time >= {moment} - make_dt_interval(0, check_etl_status.hours_back)",
         )

@@ -18,6 +18,8 @@ from workmill.session import cut
 from workmill.sources.tables import Versions, overwrite, replace_partitions
 
 MONTH = "created_month"
+# Fixed value: how Spark names the directory of a NULL partition.
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
 class WorkflowError(RuntimeError):
@@ -69,15 +71,15 @@ def _step(cfg: Config, parent: str | None, table: str, operation: str, work: Cal
     began = oplog.now()
     try:
         done = work(batch)
+        details = {"inserted": done.inserted, "updated": done.updated, "unchanged": done.unchanged}
+        cfg.log.audit(batch, table, operation, "COMPLETED", done.inserted + done.updated, began, oplog.now(), details=details)
+        cfg.log.end(batch, "COMPLETED", processed=done.processed, inserted=done.inserted, updated=done.updated, failed=0)
     except Exception as problem:
         code, text = type(problem).__name__, str(problem)
         cfg.log.error(batch, "ERROR", code, text, table, data={"error_context": f"load of {table}", "trace": traceback.format_exc()})
         cfg.log.audit(batch, table, operation, "FAILED", None, began, oplog.now(), text)
         cfg.log.end(batch, "FAILED", text, processed=0, inserted=0, updated=0, failed=1)
         raise
-    details = {"inserted": done.inserted, "updated": done.updated, "unchanged": done.unchanged}
-    cfg.log.audit(batch, table, operation, "COMPLETED", done.inserted + done.updated, began, oplog.now(), details=details)
-    cfg.log.end(batch, "COMPLETED", processed=done.processed, inserted=done.inserted, updated=done.updated, failed=0)
     return done
 
 
@@ -156,7 +158,10 @@ def _incremental(
         top = fact.agg(F.max(surrogate)).first()[0] or 0
         fresh = assign_keys(load.of("new").drop(surrogate), surrogate, [key], start=top + 1)
         changed = load.of("changed")
-        stays = fact.filter(F.col(month).isin(months)).join(changed.select(key), key, "left_anti")
+        in_touched = F.col(month).isin([m for m in months if m is not None])
+        if None in months:  # rows without a time have a partition of their own
+            in_touched = in_touched | F.col(month).isNull()
+        stays = fact.filter(in_touched).join(changed.select(key), key, "left_anti")
         cols = fact.columns
         merged = stays.unionByName(changed.select(*cols)).unionByName(fresh.select(*cols))
         _replace_months(cfg, merged, path, month, months)
@@ -182,7 +187,8 @@ def _replace_months(cfg: Config, merged: DataFrame, path: str, month: str, month
     # leaves as it was; its directory goes away here.
     left = {r[0] for r in merged.select(month).distinct().collect()}
     for gone in set(months) - left:
-        target = cfg.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{month}={gone}")
+        name = _NO_VALUE if gone is None else gone
+        target = cfg.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{month}={name}")
         target.getFileSystem(cfg.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 

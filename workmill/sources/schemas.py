@@ -99,14 +99,14 @@ WAREHOUSE = {
 
 CONTROL = {
     "etl_batch_log": "batch_id string, batch_start_time timestamp_ntz, batch_end_time timestamp_ntz, "
-    "status string, source_system string, records_processed int, records_inserted int, records_updated int, "
-    "records_failed int, error_message string, created_by string, created_timestamp timestamp_ntz, "
+    "status string, source_system string, records_processed bigint, records_inserted bigint, records_updated bigint, "
+    "records_failed bigint, error_message string, created_by string, created_timestamp timestamp_ntz, "
     "parent_batch_id string, details string",
     "etl_error_log": "error_id string, batch_id string, error_timestamp timestamp_ntz, error_severity string, "
     "error_code string, error_message string, source_table string, source_key string, error_data string, "
     "resolved boolean, resolved_by string, resolved_timestamp timestamp_ntz, resolution_notes string",
     "etl_audit_log": "audit_id string, batch_id string, table_name string, operation_type string, "
-    "records_affected int, start_time timestamp_ntz, end_time timestamp_ntz, status string, "
+    "records_affected bigint, start_time timestamp_ntz, end_time timestamp_ntz, status string, "
     "error_message string, execution_time_seconds decimal(10,2), details string",
 }
 

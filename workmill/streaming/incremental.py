@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -92,11 +93,17 @@ def scheduled_run(cfg: Config, landings: Sequence[Landing]) -> str:
     failure is logged and warned about, not raised.
     """
     given = cfg.source
-    tables = {}
+    tables = {land.name: Versions(cfg.spark, f"{cfg.root}/source/{land.name}") for land in landings}
     for land in landings:
-        tables[land.name] = Versions(cfg.spark, f"{cfg.root}/source/{land.name}")
-        state = f"{cfg.root}/source/_state/{land.name}"
-        run_available(cfg.spark, land.folder, land.schema, state, upsert_into(tables[land.name], land.key, land.order))
+        try:
+            state = f"{cfg.root}/source/_state/{land.name}"
+            run_available(cfg.spark, land.folder, land.schema, state, upsert_into(tables[land.name], land.key, land.order))
+        except Exception as problem:
+            batch, text = cfg.log.start(f"{land.name.upper()}_LANDING"), str(problem)
+            cfg.log.error(batch, "CRITICAL", type(problem).__name__, text, land.name, data={"error_context": f"landing of {land.name}"})
+            cfg.log.end(batch, "FAILED", text, failed=1)
+            warnings.warn(f"landing of {land.name} failed: {text}", stacklevel=2)
+            return batch
 
     def source(name: str) -> DataFrame:
         return tables[name].read() if name in tables and tables[name].exists() else given(name)
