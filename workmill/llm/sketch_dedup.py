@@ -8,7 +8,9 @@ aggregate of a partition is that partition's sketch, and the shuffle adds them
 up. As only occupied cells are kept, its size follows the input and no cell
 fills up as data grows. The second row counts what the first row let pass. A
 second pass over the texts takes out only windows whose anchor was met at least
-twice and groups those exactly, by 128 bits of hash. No window is lost.
+twice, written once, and groups those exactly, by 128 bits of hash. The grouping
+goes over all of them in `passes` shares of the hashes, which bounds the shuffle
+files on disk. No window is lost.
 
 Memory: a task holds about two megabytes of text at a time (or one longer
 text). Hot windows: minima combine before the shuffle, and the join back has
@@ -18,6 +20,7 @@ one row per window on its small side, so that AQE can split the large one.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -121,13 +124,28 @@ def _uncovered(own: list[bytes], mark: np.ndarray, width: int) -> tuple[list[byt
 def _repeated(rows: DataFrame) -> DataFrame:
     """Anchors whose cell, in each row of the sketch, was met at least twice."""
     for cell in (F.shiftrightunsigned("anchor", 64 - _CELL_BITS), F.col("anchor").bitwiseAND(F.lit((1 << _CELL_BITS) - 1))):
-        rows = rows.withColumn("cell", cell)
-        sketch = rows.groupBy("cell").agg(F.count("*").alias("n")).where("n >= 2").select("cell")
-        rows = cut(rows.join(sketch, "cell", "left_semi").drop("cell"))
+        sketch = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).where("n >= 2").select("cell")
+        rows = cut(rows.join(sketch, cell == F.col("cell"), "left_semi"))
     return rows
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, texts: bool = True) -> DataFrame:
+def _marks(windows: DataFrame, passes: int) -> DataFrame:
+    """(doc_id, __marks): the windows of each document that an earlier one has.
+
+    One pass groups the windows of one share of the hashes, so that the shuffles
+    of one share at a time lie on disk.
+    """
+    spark, found = windows.sparkSession, []
+    for k in range(passes):
+        part = windows.where(F.pmod("h1", F.lit(passes)) == k)
+        first = part.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+        mark = F.shiftleft("pos", 32).bitwiseOR(F.col("h1").bitwiseAND(F.lit(0xFFFFFFFF)))
+        found.append(cut(part.join(first, ["h1", "h2"]).where("first < doc_id").select("doc_id", mark.alias("mark"))))
+        release(spark)
+    return cut(reduce(DataFrame.unionAll, found).groupBy("doc_id").agg(F.collect_list("mark").alias("__marks")))
+
+
+def remove_repeats(docs: DataFrame, width: int = 13, texts: bool = True, passes: int = 4) -> DataFrame:
     """Take out words that lie in a window an earlier document has too.
 
     Words stand between ASCII white space and are compared unchanged. A window
@@ -149,11 +167,9 @@ def remove_repeats(docs: DataFrame, width: int = 13, texts: bool = True) -> Data
     rows = _repeated(anchors.select("doc_id", F.explode("anchors").alias("anchor")))
     release(spark)
     flagged = rows.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    windows = narrow.join(flagged.hint("shuffle_hash"), "doc_id").mapInArrow(_windows(width), "h1 long, h2 long, doc_id long, pos long")
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-    mark = F.shiftleft("pos", 32).bitwiseOR(F.col("h1").bitwiseAND(F.lit(0xFFFFFFFF)))
-    marks = windows.join(first, ["h1", "h2"]).where("first < doc_id").select("doc_id", mark.alias("mark"))
-    marks = cut(marks.groupBy("doc_id").agg(F.collect_list("mark").alias("__marks")))
+    windows = cut(narrow.join(flagged.hint("shuffle_hash"), "doc_id").mapInArrow(_windows(width), "h1 long, h2 long, doc_id long, pos long"))
+    release(spark)
+    marks = _marks(windows, passes)
     release(spark)
     added = "n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
     both = base.join(marks.withColumnRenamed("doc_id", "__id").hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
