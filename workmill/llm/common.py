@@ -115,6 +115,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `cut` wrote, once what was made of them is written too.
+
+    Only folders right below this application's own are deleted.
+    """
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            if folder.split("/")[-2] == sc.applicationId:
+                path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def rows_at_most(df: DataFrame, bound: int) -> list:
     """Collect a result whose size is bounded; more rows than that is a bug."""
     rows = df.limit(bound + 1).collect()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from workmill.llm.common import blobs_of, chunks, lists, release, replaced, rolling, with_columns, within, word_hashes, words
+from workmill.llm.common import blobs_of, chunks, discard, lists, release, replaced, rolling, with_columns, within, word_hashes, words
 from workmill.session import cut
 
 _SHORT = 6  # words of an anchor
@@ -122,10 +122,16 @@ def _uncovered(own: list[bytes], mark: np.ndarray, width: int) -> tuple[list[byt
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """Anchors whose cell, in each row of the sketch, was met at least twice."""
+    """Anchors whose cell, in each row of the sketch, was met at least twice.
+
+    The sketch is written before the join, which then has a shuffle of its own
+    on both sides: only such joins are split where a cell is hot.
+    """
     for cell in (F.shiftrightunsigned("anchor", 64 - _CELL_BITS), F.col("anchor").bitwiseAND(F.lit((1 << _CELL_BITS) - 1))):
-        sketch = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).where("n >= 2").select("cell")
-        rows = cut(rows.join(sketch, cell == F.col("cell"), "left_semi"))
+        sketch = cut(rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).where("n >= 2").select("cell"))
+        release(rows.sparkSession)
+        rows = cut(rows.join(sketch.hint("merge"), cell == F.col("cell"), "left_semi"))
+        discard(sketch)
     return rows
 
 
@@ -138,11 +144,15 @@ def _marks(windows: DataFrame, passes: int) -> DataFrame:
     spark, found = windows.sparkSession, []
     for k in range(passes):
         part = windows.where(F.pmod("h1", F.lit(passes)) == k)
-        first = part.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+        first = cut(part.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
+        release(spark)
         mark = F.shiftleft("pos", 32).bitwiseOR(F.col("h1").bitwiseAND(F.lit(0xFFFFFFFF)))
-        found.append(cut(part.join(first, ["h1", "h2"]).where("first < doc_id").select("doc_id", mark.alias("mark"))))
+        found.append(cut(part.join(first.hint("merge"), ["h1", "h2"]).where("first < doc_id").select("doc_id", mark.alias("mark"))))
         release(spark)
-    return cut(reduce(DataFrame.unionAll, found).groupBy("doc_id").agg(F.collect_list("mark").alias("__marks")))
+        discard(first)
+    marks = cut(reduce(DataFrame.unionAll, found).groupBy("doc_id").agg(F.collect_list("mark").alias("__marks")))
+    discard(*found)
+    return marks
 
 
 def remove_repeats(docs: DataFrame, width: int = 13, texts: bool = True, passes: int = 4) -> DataFrame:
@@ -166,11 +176,14 @@ def remove_repeats(docs: DataFrame, width: int = 13, texts: bool = True, passes:
     anchors = cut(narrow.mapInArrow(_anchor_lists(width), "doc_id long, anchors array<long>").where(F.size("anchors") > 0))
     rows = _repeated(anchors.select("doc_id", F.explode("anchors").alias("anchor")))
     release(spark)
+    discard(anchors)
     flagged = rows.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     windows = cut(narrow.join(flagged.hint("shuffle_hash"), "doc_id").mapInArrow(_windows(width), "h1 long, h2 long, doc_id long, pos long"))
     release(spark)
+    discard(rows)
     marks = _marks(windows, passes)
     release(spark)
+    discard(windows)
     added = "n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
     both = base.join(marks.withColumnRenamed("doc_id", "__id").hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
     return with_columns(both, added, lambda schema: _remove(width, schema), ["__marks"])
