@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from workmill.llm.common import chunks, release
+from workmill.llm.common import chunks, release, tidy
 from workmill.session import cut
 
 # The characters Unicode calls white space.
@@ -224,7 +224,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2) ->
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long"
-    pieces = cut(narrow.mapInArrow(_pieces(tokenizer, capacity, end), schema))
+    pieces = cut(narrow.mapInArrow(tidy(_pieces(tokenizer, capacity, end)), schema))
     release(spark)
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = counts.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("base"))

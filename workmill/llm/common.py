@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -93,6 +94,24 @@ def replaced(batch: pa.RecordBatch, schema: pa.Schema, values: dict[str, pa.Arra
     return pa.RecordBatch.from_arrays([values[f.name] if f.name in values else batch.column(f.name) for f in schema], schema=schema)
 
 
+def tidy(run: Callable) -> Callable:
+    """A batch function after which its worker gives free memory back.
+
+    Workers live on from step to step; without this each keeps the most that
+    any step before has needed.
+    """
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # a C library without it
+            pass
+
+    return whole
+
+
 def with_columns(df: DataFrame, added: str, make: Callable, dropped: tuple[str, ...] = ()) -> DataFrame:
     """Run a batch function that adds columns and passes the others through.
 
@@ -102,7 +121,7 @@ def with_columns(df: DataFrame, added: str, make: Callable, dropped: tuple[str,
     new = StructType.fromDDL(added).fields
     old = df.drop(*dropped, *[f.name for f in new])
     schema = StructType([*old.schema.fields, *new])
-    return df.mapInArrow(make(to_arrow_schema(schema)), schema)
+    return df.mapInArrow(tidy(make(to_arrow_schema(schema))), schema)
 
 
 def release(spark: SparkSession) -> None:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from workmill.llm.common import ALNUM, blobs_of, chunks, replaced, with_columns, word_hashes
+from workmill.llm.common import ALNUM, blobs_of, chunks, replaced, tidy, with_columns, word_hashes
 from workmill.session import cut
 
 _SAMPLE = 16  # distance of sampled suffix positions
@@ -157,7 +157,7 @@ def _blocks(benchmark: DataFrame, width: int, size: int):
     What the driver holds at once is one block.
     """
     own = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
-    entries = cut(own.mapInArrow(_windows(width), "item_id string, window array<long>").distinct())
+    entries = cut(own.mapInArrow(tidy(_windows(width)), "item_id string, window array<long>").distinct())
     count = -(-entries.count() // size)
     for k in range(count):
         yield count, entries.where(F.pmod(F.xxhash64("window"), F.lit(count)) == k).collect()

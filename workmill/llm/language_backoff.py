@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workmill.llm.common import chunks, rows_at_most, with_columns
+from workmill.llm.common import chunks, rows_at_most, tidy, with_columns
 from workmill.session import cut
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -63,7 +63,7 @@ def fit(docs: DataFrame, sample: int = 400, kept: int = 40_000) -> dict:
         return {"langs": [], "tables": []}
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))]), F.col("lang"))
     drawn = known.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30))
-    counts = drawn.mapInArrow(_count, "lang string, n int, item string, times long").groupBy("n", "item", "lang").agg(F.sum("times").alias("times"))
+    counts = drawn.mapInArrow(tidy(_count), "lang string, n int, item string, times long").groupBy("n", "item", "lang").agg(F.sum("times").alias("times"))
     items = counts.groupBy("n", "item").agg(F.sum("times").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "times"))).alias("by")).where("all > 1")
     items = cut(items)
     langs = sorted(sizes)
@@ -119,15 +119,9 @@ class _Scorer:
         return self.langs[best], float(power[best] / power.sum())
 
 
-_scorers: dict[int, _Scorer] = {}
-
-
 def _predict(model, evidence, schema):
     def run(batches):
-        if model.id not in _scorers:  # one a Python worker
-            _scorers.clear()
-            _scorers[model.id] = _Scorer(model.value)
-        scorer = _scorers[model.id]
+        scorer = model.value
         for batch in batches:
             texts = batch.column("text").cast(pa.string()).to_pylist()
             found = [scorer.judge(t, evidence) for i, j in chunks(texts) for t in texts[i:j]]
@@ -137,27 +131,14 @@ def _predict(model, evidence, schema):
     return run
 
 
-class _Shared:
-    """A broadcast with a name that workers can cache by."""
-
-    def __init__(self, broadcast, name: str):
-        self.broadcast, self.id = broadcast, name
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
-
 def identify(docs: DataFrame, model: dict, evidence: int = 30) -> DataFrame:
     """Add lang_pred and score (0 to 1) to every row; other columns stay.
 
     `und` and 0 for a null text, a text without a letter, or an empty model.
     Of languages that score alike, the first by name. Long texts are read whole.
     """
-    import uuid
-
-    # Bounded by the model's parameters.
-    shared = _Shared(docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex)
+    # Bounded by the model's parameters. A worker's cache lives in the broadcast and goes with it.
+    shared = docs.sparkSession.sparkContext.broadcast(_Scorer(model))
     return with_columns(docs, "lang_pred string, score double", lambda schema: _predict(shared, evidence, schema))
 
 

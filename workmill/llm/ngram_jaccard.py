@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workmill.llm.common import LOWER, blobs_of, chunks, lists, release, rolling, word_hashes
+from workmill.llm.common import LOWER, blobs_of, chunks, lists, release, rolling, tidy, word_hashes
 from workmill.llm.components import components
 from workmill.session import cut
 
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut(narrow.mapInArrow(_prefixes(width, percent), "doc_id long, n long, digest binary, need long, prefix array<long>"))
+    rows = cut(narrow.mapInArrow(tidy(_prefixes(width, percent)), "doc_id long, n long, digest binary, need long, prefix array<long>"))
     named = rows.where("doc_id IS NOT NULL AND n > 0")
     token = named.select("doc_id", "digest", "need", F.xxhash64("digest").alias("text"), F.explode("prefix").alias("tok"))
     shared = token.groupBy("tok").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo < hi").select("tok")
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     classes = cut(able.groupBy("digest").agg(F.min("doc_id").alias("node")))
     release(spark)
     texts = narrow.join(classes.select(F.col("node").alias("doc_id"), "node", "digest").hint("shuffle_hash"), "doc_id")
-    sets = cut(texts.select("node", "digest", "text").mapInArrow(_whole_sets(width, percent), "node long, n long, tokens array<long>, third array<long>"))
+    sets = cut(texts.select("node", "digest", "text").mapInArrow(tidy(_whole_sets(width, percent)), "node long, n long, tokens array<long>, third array<long>"))
     release(spark)
     groups = cut(_rare_first(sets, percent))
     release(spark)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from workmill.llm.common import blobs_of, chunks, discard, lists, release, replaced, rolling, with_columns, within, word_hashes, words
+from workmill.llm.common import blobs_of, chunks, discard, lists, release, replaced, rolling, tidy, with_columns, within, word_hashes, words
 from workmill.session import cut
 
 _SHORT = 6  # words of an anchor
@@ -173,12 +173,12 @@ def remove_repeats(docs: DataFrame, width: int = 13, texts: bool = True, passes:
     spark = docs.sparkSession
     base = docs.drop("n_words", "n_removed", "kept_sha256", "kept", "__marks")
     narrow = base.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    anchors = cut(narrow.mapInArrow(_anchor_lists(width), "doc_id long, anchors array<long>").where(F.size("anchors") > 0))
+    anchors = cut(narrow.mapInArrow(tidy(_anchor_lists(width)), "doc_id long, anchors array<long>").where(F.size("anchors") > 0))
     rows = _repeated(anchors.select("doc_id", F.explode("anchors").alias("anchor")))
     release(spark)
     discard(anchors)
     flagged = rows.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    windows = cut(narrow.join(flagged.hint("shuffle_hash"), "doc_id").mapInArrow(_windows(width), "h1 long, h2 long, doc_id long, pos long"))
+    windows = cut(narrow.join(flagged.hint("shuffle_hash"), "doc_id").mapInArrow(tidy(_windows(width)), "h1 long, h2 long, doc_id long, pos long"))
     release(spark)
     discard(rows)
     marks = _marks(windows, passes)
