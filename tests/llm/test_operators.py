@@ -293,6 +293,30 @@ def test_text_density(spark):
     assert text_density.extract(pages(spark, [])).count() == 0
 
 
+LONG = "A paragraph of the text with quite a number of words, so that it is dense. " * 4
+LIST = "".join(f'<li><a href="/{k}">Menu entry {k}</a></li>' for k in range(6))
+ITEMS = "".join(f"<li>Item {k}</li>" for k in range(6))
+
+
+def test_text_density_without_lists():
+    got = lambda html: [" ".join(line.split()) for line in text_density.main_text(html).splitlines()]
+    long = LONG.strip()
+    for inner in (f"<div><ul>{LIST}</ul></div>", f"<ul>{LIST}</ul>", f"<div>{ITEMS}</div>", '<p><a href="/a">One</a> | <a href="/b">Two</a> | <a href="/c">Three</a></p>'):
+        for wrap in ("article", "div"):  # sparse blocks inside the text
+            assert got(f"<body><{wrap}><h1>Title</h1><p>{LONG}</p><p>Short.</p>{inner}<p>{LONG}</p><p>End.</p></{wrap}></body>") == ["Title", long, "Short.", long, "End."]
+    # No article, no nav: menus in plain divs; two content blocks with a short one between.
+    page = f"<body><div><ul>{LIST}</ul></div><div><h1>Title</h1><p>{LONG}</p></div><div><p>Short.</p></div><div><p>{LONG}</p></div><div>{ITEMS}</div></body>"
+    assert got(page) == ["Title", long, "Short.", long]
+    # Two articles of one page.
+    assert got(f"<body><article><p>{LONG}</p></article><article><p>{LONG}{LONG}</p></article></body>") == [long, f"{long} {long}"]
+    # Wrappers of an article and parts of tokens do not leave text out; whole tokens do.
+    for wrap in ('<div class="header">', "<form>", "<aside>", '<div role="dialog">'):
+        assert got(f"<body>{wrap}<article><p>{LONG}</p></article></{wrap[1:].split()[0].strip('>')}></body>") == [long]
+    assert got(f'<body><div class="share-price form-factor" id="comment-free"><p>{LONG}</p></div></body>') == [long]
+    assert got(f'<body><article><p>{LONG}</p><div class="x Comments"><p>{LONG}</p><article><p>{LONG}</p></article></div></article></body>') == [long]
+    assert got(f"<body><ul>{LIST}</ul></body>") == []
+
+
 def test_language(spark):
     rng = random.Random(8)
     stock = {"aa": ["kala", "miru", "tosa", "neko"], "bb": ["straf", "grund", "zwerg", "pflug"]}

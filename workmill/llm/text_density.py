@@ -2,12 +2,20 @@
 
 Method: the standard library's streaming parser gives events; a block element's
 begin or end closes the current line. Each line has a text-to-tag ratio: its
-characters outside links over its tags. The ratios are smoothed by a Gaussian
-over neighbouring lines and clustered in two by a threshold (the mean of the two
-means, to a fixed point). Dense lines vote for the sectioning element they are
-in; the lines of the elected one are the content region, so short paragraphs
-between dense ones stay. Lines inside menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and comments weigh nothing and are left out.
+characters outside links over its tags. The logarithms of the ratios are smoothed
+by a Gaussian over neighbouring lines and clustered in two by a threshold (the
+mean of the two means, to a fixed point; clusters less than four times apart are
+one). A sectioning element that directly
+holds a line dense by itself and with its neighbours is a content block: its
+lines stay, short ones too, but for runs of links. Gaps of at most two lines
+between content are filled, and headings that lead to content are taken. Where
+articles and main elements hold most of the dense text, blocks outside them go;
+elsewhere blocks before the first and after the last one that is also dense by
+the plain ratio go, if they are less than a quarter of the text.
+
+Menus, headers, footers, sidebars, notices, adverts, forms and comments that an
+element, a role or a whole class or id token names are left out, unless they wrap
+an article or main element; scripts, styles and hidden elements always are.
 
 Pages are parsed one by one; the largest page bounds a task's memory.
 """
@@ -15,8 +23,8 @@ Pages are parsed one by one; the largest page bounds a task's memory.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +36,8 @@ _BLOCKS = frozenset(
     "head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_LEFT_OUT = frozenset("nav header footer aside form script style noscript template head title button select textarea iframe svg menu dialog object canvas".split())
+_NO_TEXT = frozenset("script style noscript template head title button select textarea iframe svg object canvas".split())
+_LEFT_OUT = frozenset("nav header footer aside form menu dialog".split())  # unless they wrap an article or main
 _SECTIONS = frozenset("article main section div td body".split())
 _NAMES = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside notice notices cookie cookies consent banner ad ads advert adverts advertisement "
@@ -36,58 +45,95 @@ _NAMES = frozenset(
     "related breadcrumb breadcrumbs pagination pager popup modal toolbar skip".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
-_PART = re.compile(r"[^a-z]+")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_GAP = 2  # lines between content that are filled
+_LIST = 3  # links that make a list
+_APART = 4  # of the mean ratios of two clusters
+_END = 4  # text over text at one end that may go
 _BLANK = re.compile(r"\s+")
 
 
+class _Line(NamedTuple):
+    text: str
+    plain: int  # characters outside links
+    tags: int
+    links: int
+    section: int
+    heading: bool
+
+    @property
+    def linked(self) -> bool:
+        return 2 * self.plain < len(self.text)
+
+
 class _Lines(HTMLParser):
     """Blocks of text with their tags, links and enclosing sections."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, left out, section
+        self.stack: list[tuple[str, bool, tuple[int, ...], int]] = []  # tag, without text, left-out elements around, section
         self.sections, self.parent = 0, {0: 0}
-        self.lines: list[tuple[str, int, int, int]] = []  # text, plain characters, tags, section
-        self.text: list[str] = []
-        self.tags = self.linked = 0
+        self.named = 0  # left-out elements so far
+        self.wraps: set[int] = set()  # those of them with an article or main inside
+        self.closed: list[tuple] = []  # pieces of text, tags, links, section, heading
+        self.text: list[tuple[str, bool, tuple[int, ...]]] = []  # piece, in a link, left-out elements around
+        self.tags = self.links = 0
         self.kind = {0: "body"}
 
-    def _left_out(self) -> bool:
-        return bool(self.stack) and self.stack[-1][1]
+    def _top(self) -> tuple[str, bool, tuple[int, ...], int]:
+        return self.stack[-1] if self.stack else ("", False, (), 0)
 
-    def _section(self) -> int:
-        return self.stack[-1][2] if self.stack else 0
+    def _in(self, *tags: str) -> bool:
+        return any(t[0] in tags for t in self.stack)
 
     def close_line(self) -> None:
-        text = _BLANK.sub(" ", "".join(self.text)).strip()
-        if text and not self._left_out():
-            self.lines.append((text, max(0, len(text) - self.linked), self.tags, self._section()))
-        self.text, self.tags, self.linked = [], 0, 0
+        if self.text:
+            self.closed.append((self.text, self.tags, self.links, self._top()[3], self._in(*_HEADINGS)))
+        self.text, self.tags, self.links = [], 0, 0
+
+    def lines(self) -> list[_Line]:
+        """Lines that are not left out; to be called at the end."""
+        found = []
+        for pieces, tags, links, section, heading in self.closed:
+            own = [(t, link) for t, link, around in pieces if self.wraps.issuperset(around)]
+            if text := _BLANK.sub(" ", "".join(t for t, _ in own)).strip():
+                plain = max(0, len(text) - sum(len(t) for t, link in own if link))
+                found.append(_Line(text, plain, tags, links, section, heading))
+        return found
 
     def handle_starttag(self, tag, attrs):
         if tag in _BLOCKS:
             self.close_line()
-            if tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", *_SECTIONS) and any(t == "p" for t, _, _ in self.stack):
+            if tag in ("p", "li", *_HEADINGS, *_SECTIONS) and self._in("p"):
                 self._pop("p", within=True)
         self.tags += 1
+        self.links += tag == "a"
+        _, without, around, section = self._top()
         if tag == "br":
-            self.text.append(" ")
+            self.text.append((" ", False, around))
         if tag in _VOID:
             return
-        out = self._left_out() or (tag in _LEFT_OUT and not (tag == "header" and any(t == "article" for t, _, _ in self.stack)))
+        without = without or tag in _NO_TEXT
+        out = tag in _LEFT_OUT and not (tag == "header" and self._in("article"))
         for name, value in attrs:
             if name in ("class", "id") and value and tag not in ("html", "body", "article", "main"):
-                out = out or not _NAMES.isdisjoint(_PART.split(value.lower()))
-            elif (name == "role" and (value or "").lower() in _ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
+                out = out or not _NAMES.isdisjoint(value.lower().split())
+            elif name == "role" and (value or "").lower() in _ROLES:
                 out = True
+            elif name == "hidden" or (name == "aria-hidden" and value == "true"):
+                without = True
             elif name == "style" and value and "display:none" in value.replace(" ", "").lower():
-                out = True
-        section = self._section()
+                without = True
+        if tag in ("article", "main") and not self._in("article"):  # an article in an article is a comment or a teaser
+            self.wraps.update(around)
+        if out:
+            self.named += 1
+            around = (*around, self.named)
         if tag in _SECTIONS:
             self.sections += 1
             self.parent[self.sections], self.kind[self.sections] = section, tag
             section = self.sections
-        self.stack.append((tag, out, section))
+        self.stack.append((tag, without, around, section))
 
     def handle_endtag(self, tag):
         if tag in _BLOCKS:
@@ -100,14 +146,13 @@ class _Lines(HTMLParser):
             if self.stack[k][0] == tag:
                 del self.stack[k:]
                 return
-            if self.stack[k][0] in _SECTIONS and tag not in _SECTIONS and tag not in _LEFT_OUT:
+            if self.stack[k][0] in _SECTIONS and tag not in _SECTIONS and tag not in _LEFT_OUT and tag not in _NO_TEXT:
                 return  # an end tag does not close what encloses it
 
     def handle_data(self, data):
-        if not self._left_out():
-            self.text.append(data)
-            if any(t == "a" for t, _, _ in self.stack):
-                self.linked += len(data)
+        _, without, around, _ = self._top()
+        if not without:
+            self.text.append((data, self._in("a"), around))
 
 
 def _smooth(values: np.ndarray, sigma: float) -> np.ndarray:
@@ -135,40 +180,79 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     parser.feed(html)
     parser.close()
     parser.close_line()
-    lines = parser.lines
-    if not lines:
+    lines = parser.lines()
+    if not any(line.plain for line in lines):
         return ""
-    ratio = _smooth(np.array([plain / max(1, tags) for _, plain, tags, _ in lines]), sigma)
-    dense = ratio >= _threshold(ratio)
-    weight: dict[int, float] = defaultdict(float)
-    for (_, plain, _, section), good in zip(lines, dense, strict=True):
-        weight[_region(section, parser)] += plain * bool(good)
-    best = max(weight, key=lambda s: (weight[s], -s))
-    inside = [_inside(section, best, parser.parent) for *_, section in lines]
-    return "\n".join(line[0] for line, keep in zip(lines, inside, strict=True) if keep)
-
-
-def _region(section: int, parser: _Lines) -> int:
-    """The section that votes are counted for: article or main above, or body."""
-    at, named = section, 0
-    while at:
-        if parser.kind[at] in ("article", "main"):
-            named = at
-        at = parser.parent[at]
-    return named or _top(section, parser)
-
-
-def _top(section: int, parser: _Lines) -> int:
-    """Outside of an article: the outermost section below body."""
-    while section and parser.parent[section] and parser.kind[parser.parent[section]] != "body":
+    ratio = np.array([line.plain / max(1, line.tags) for line in lines])
+    seeds = _dense(ratio, sigma, np.log1p)
+    article = {s: _article(s, parser) for s in {line.section for line in lines}}
+    weight = [0, 0]
+    for k in seeds:
+        weight[article[lines[k].section]] += lines[k].plain
+    only = weight[1] > weight[0]
+    blocks = {lines[k].section for k in seeds}
+    if only:
+        lines = [line for line in lines if article[line.section]]
+    else:
+        blocks -= _ends(lines, blocks, {lines[k].section for k in _dense(ratio, sigma)})
+    return "\n".join(lines[k].text for k in _content(lines, blocks))
+
+
+def _dense(ratio: np.ndarray, sigma: float, scale=np.asarray) -> list[int]:
+    """Lines in the upper cluster by themselves and with their neighbours.
+
+    Clusters of ratios less than four times apart are one, of dense lines."""
+    own = scale(ratio)
+    smooth = _smooth(own, sigma)
+    border = _threshold(smooth)
+    good = (smooth >= border) & (own >= border)
+    if not good.any() or good.all() or ratio[good].mean() < _APART * ratio[~good].mean():
+        good = ratio > 0
+    return np.flatnonzero(good).tolist()
+
+
+def _ends(lines: list[_Line], blocks: set[int], core: set[int]) -> set[int]:
+    """Blocks wholly before or after the core that are a small part of the text."""
+    at = [k for k, line in enumerate(lines) if line.section in core]
+    total = sum(line.plain for line in lines if line.section in blocks)
+    inner = {line.section for line in lines[at[0] : at[-1] + 1]}
+    gone = set()
+    for side in (lines[: at[0]], lines[at[-1] + 1 :]):
+        outer = [line for line in side if line.section in blocks and line.section not in inner]
+        if _END * sum(line.plain for line in outer) < total:
+            gone.update(line.section for line in outer)
+    return gone
+
+
+def _content(lines: list[_Line], blocks: set[int]) -> list[int]:
+    """Lines of content blocks, of short gaps between them and headings before them."""
+    keep = [line.section in blocks for line in lines]
+    k = 0
+    while k < len(lines):  # runs of links in one section
+        end = k + 1
+        while end < len(lines) and lines[k].linked and lines[end].linked and lines[end].section == lines[k].section:
+            end += 1
+        lists = lines[k].linked and sum(line.links for line in lines[k:end]) >= _LIST
+        if lists:
+            keep[k:end] = [False] * (end - k)
+        k = end
+    kept = [-1, *(k for k in range(len(lines)) if keep[k])]
+    for before, after in zip(kept, kept[1:], strict=False):
+        gap = range(before + 1, after)
+        if before >= 0 and len(gap) <= _GAP and not any(lines[k].linked for k in gap):
+            start = before + 1
+        else:  # a heading and what is between it and the content
+            heads = [k for k in gap[-_GAP - 1 :] if lines[k].heading and not any(line.linked and not line.heading for line in lines[k:after])]
+            start = min(heads, default=after)
+        keep[start:after] = [True] * (after - start)
+    return [k for k in range(len(lines)) if keep[k]]
+
+
+def _article(section: int, parser: _Lines) -> bool:
+    """Whether an article or main is around."""
+    while section and parser.kind[section] not in ("article", "main"):
         section = parser.parent[section]
-    return parser.parent[section] if section and parser.kind[section] == "body" else section
-
-
-def _inside(section: int, region: int, parent: dict[int, int]) -> bool:
-    while section and section != region:
-        section = parent[section]
-    return section == region
+    return section > 0
 
 
 def _extract(batches):
