@@ -352,6 +352,24 @@ def test_toxicity(spark):
     assert {r.score for r in compression_toxicity.classify(odd, compression_toxicity.fit(docs.limit(0))).collect()} == {0.0}
 
 
+def test_toxicity_of_rare_words(spark):
+    """Each marked word is in few toxic texts: none has the support of a marked run."""
+    rng = random.Random(10)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    plain, marked = [word(5, "abcdefgh") for _ in range(200)], [word(14, "qrstuvwxyz") for _ in range(40)]
+    rows = []
+    for i in range(800):
+        own = rng.choices(plain, k=40)
+        if i % 8 == 0:
+            own[10:12] = [marked[i // 8 % 40]] * 2
+        rows.append((i, " ".join(own), int(i % 8 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    got = compression_toxicity.classify(docs, compression_toxicity.fit(docs.where(~compression_toxicity.held_out(F.col("doc_id"))))).collect()
+    mean = {y: np.mean([r.score for r in got if r.toxic == y and r.doc_id in held]) for y in (0, 1)}
+    assert mean[1] > mean[0] + 0.2
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     centre = rng.normal(size=(12, 16))

@@ -1,16 +1,18 @@
 """Toxicity by compression distance, with zstandard dictionaries.
 
-Two dictionaries are trained, one on toxic and one on ordinary text. A text is
-cut into windows of words. A window's margin is the length it compresses to with
-the ordinary dictionary alone, less that with the toxic one before it: what
-toxic text explains and ordinary text does not. Both are used as plain content,
-so ordinary matches cost the same either way and margins of clean windows stay
-near zero. The document's score is a logistic function of its largest margins,
-calibrated on labelled documents that the dictionaries have not seen.
-
-Labels belong to documents, of which most words are ordinary. So the toxic
-dictionary is trained on words of toxic documents with a run of characters that
-is far more usual in toxic documents than in ordinary ones.
+Dictionaries are trained on ordinary text, on the windows of toxic documents, and
+on their marked words. A text is cut into windows of words. A window's margin is
+the length it compresses to with the ordinary dictionary alone, less that with a
+toxic one before it: what toxic text explains and ordinary text does not. All are
+used as plain content, so ordinary matches cost the same either way and margins
+of clean windows stay near zero. The document's score is a logistic function of
+its largest margins by both toxic dictionaries, calibrated on labelled documents
+that the dictionaries have not seen.
+
+Labels belong to documents, of which most words are ordinary and drown the others
+in the dictionary of windows. So the second one is trained on words of toxic
+documents with a run of characters that is far more usual in toxic documents than
+in ordinary ones; words too rare for that are left to the first.
 
 The model is fitted on a bounded sample; every text is scored whole.
 """
@@ -49,25 +51,28 @@ def _grams(word: bytes) -> set[bytes]:
 
 
 class Margins:
-    """Compression lengths with and without the toxic dictionary."""
+    """Compression lengths with and without each toxic dictionary."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        make = zstandard.ZstdCompressionParameters.from_level(6, source_size=64, dict_size=len(toxic) + len(ordinary), write_content_size=False, write_dict_id=False, write_checksum=False, min_match=4)
-        self.pair = []
-        for data in (ordinary, toxic + ordinary):
+    def __init__(self, toxic: list[bytes], ordinary: bytes):
+        make = zstandard.ZstdCompressionParameters.from_level(6, source_size=64, dict_size=max(map(len, toxic)) + len(ordinary), write_content_size=False, write_dict_id=False, write_checksum=False, min_match=4)
+        self.lengths = []
+        for data in (ordinary, *(x + ordinary for x in toxic)):
             book = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             book.precompute_compress(compression_params=make)
-            self.pair.append(zstandard.ZstdCompressor(dict_data=book, compression_params=make).compress)
+            self.lengths.append(zstandard.ZstdCompressor(dict_data=book, compression_params=make).compress)
 
-    def of(self, window: bytes) -> int:
-        ordinary, toxic = self.pair
-        return len(ordinary(window)) - len(toxic(window))
+    def of(self, window: bytes) -> tuple[int, ...]:
+        ordinary, *toxic = (len(compress(window)) for compress in self.lengths)
+        return tuple(ordinary - n for n in toxic)
 
     def features(self, own: list[bytes]) -> list[float]:
-        """The largest margins of windows, how many are large, how many there are."""
-        found = sorted(map(self.of, set(own)), reverse=True)
-        top = found[:_TOP] + [0] * (_TOP - len(found))
-        return [*map(float, top), math.log1p(sum(m >= _LARGE for m in found)), math.log1p(len(found))]
+        """By dictionary the largest margins and how many are large; how many windows."""
+        margins = list(map(self.of, set(own)))
+        out = []
+        for k in range(len(self.lengths) - 1):
+            found = sorted((m[k] for m in margins), reverse=True)
+            out += [*map(float, found[:_TOP] + [0] * (_TOP - len(found))), math.log1p(sum(m >= _LARGE for m in found))]
+        return [*out, math.log1p(len(margins))]
 
 
 def _train(samples: list[bytes], size: int) -> bytes:
@@ -121,7 +126,7 @@ def fit(docs: DataFrame, sample: int = 4000, toxic_size: int = 10_000, ordinary_
     part = {(y, h): [list(map(bytes, r.windows)) for r in rows if r.toxic == y and r.half == h] for y in (0, 1) for h in (0, 1)}
     if not all(part.values()):
         return {"constant": float(sizes[1] > sizes[0])}
-    toxic = _train(_odd_words(part[1, 0], part[0, 0]) * 3, toxic_size)
+    toxic = [_train([w for own in part[1, 0] for w in own], toxic_size), _train(_odd_words(part[1, 0], part[0, 0]) * 3, toxic_size)]
     ordinary = _train([w for own in part[0, 0] for w in own], ordinary_size)
     margins = Margins(toxic, ordinary)
     x = np.array([margins.features(own) for y in (0, 1) for own in part[y, 1]])
@@ -162,7 +167,7 @@ def classify(docs: DataFrame, model: dict) -> DataFrame:
     Null and empty texts have no windows: all margins are 0. A model of one
     class, or of none, gives that class (or 0) to all. Other columns stay.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # dictionaries of fixed size
     return with_columns(docs, "score double, predicted int", lambda schema: _score(shared, schema))
 
 
