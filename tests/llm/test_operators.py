@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from workmill.llm import best_fit_packing, compression_toxicity, fm_decontamination, language_backoff, ngram_jaccard, pruned_graph, redirect_blocks, sketch_dedup, text_density, warc_index
+from workmill.llm.common import distinct_sample
 from workmill.llm.components import components
 from workmill.llm.queries import RULES, tokenizer_path
 
@@ -370,6 +371,29 @@ def test_toxicity_of_rare_words(spark):
     assert mean[1] > mean[0] + 0.2
 
 
+def test_sample_of_distinct_texts(spark):
+    """Copies neither take places of the sample nor count as evidence."""
+    texts = [(f"text {k}", k % 2) for k in range(400)]
+    copies = spark.createDataFrame(texts + [(f"text {k}", 1) for k in (1, 3, 5, 7, 9)] * 3000, "text string, toxic int")
+    once = spark.createDataFrame(texts, "text string, toxic int")
+    for sample in (50, 1000):
+        (n, drawn), (m, want) = (distinct_sample(df, "toxic", sample, seed=11, bound=2) for df in (copies, once))
+        assert n == m == {0: 200, 1: 200} and sorted(drawn.collect()) == sorted(want.collect())
+        assert drawn.count() == 400 if sample == 1000 else 60 < drawn.count() < 140
+    # The models do not depend on copies.
+    rows = [(f"{a} kala {b}", y) for k in range(60) for y in (0, 1) for a, b in [(f"wa{k % 7}x" + "q" * y, f"mi{k}" + "zz" * y)]]
+    for fit, name, kind in ((compression_toxicity.fit, "toxic", "int"), (language_backoff.fit, "lang", "string")):
+        fits = [fit(spark.createDataFrame(own, f"text string, {name} {kind}").repartition(3), sample=20) for own in ([(t, y if kind == "int" else str(y)) for t, y in more] for more in (rows, rows + rows[1::2][:4] * 500))]
+        assert set(fits[0]) == set(fits[1])
+        for key in fits[0]:
+            if key == "weights":
+                assert np.allclose(fits[0][key], fits[1][key])
+            elif key == "tables":
+                assert all(a == b and np.array_equal(x, y) for (a, x), (b, y) in zip(fits[0][key], fits[1][key], strict=True))
+            else:
+                assert fits[0][key] == fits[1][key]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     centre = rng.normal(size=(12, 16))

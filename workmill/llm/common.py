@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -147,6 +148,22 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def distinct_sample(docs: DataFrame, by: str, sample: int, seed: int, bound: int) -> tuple[dict, DataFrame]:
+    """Distinct texts of each value of `by`, and about `sample` of them by value.
+
+    Rows have `text` and `by`, no nulls. Texts are told apart by a hash and drawn by
+    it, so copies count once whether drawn or not; copies of drawn texts combine
+    before the shuffle. More than `bound` values are an error.
+    """
+    known = docs.select("text", by, F.xxhash64("text", F.lit(seed)).alias("_h"))
+    sizes = {r[0]: r[1] for r in rows_at_most(known.select(by, "_h").distinct().groupBy(by).count(), bound)}
+    if not sizes:
+        return sizes, docs.limit(0)
+    share = F.element_at(F.create_map(*[F.lit(x) for value, n in sizes.items() for x in (value, min(1.0, sample / n))]), F.col(by))
+    drawn = known.where(F.pmod("_h", F.lit(1 << 30)) < share * (1 << 30))
+    return sizes, drawn.groupBy(by, "_h").agg(F.first("text").alias("text")).select("text", by)
+
+
 def rows_at_most(df: DataFrame, bound: int) -> list:
     """Collect a result whose size is bounded; more rows than that is a bug."""
     rows = df.limit(bound + 1).collect()

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workmill.llm.common import chunks, with_columns
+from workmill.llm.common import chunks, distinct_sample, rows_at_most, with_columns
 
 _WORDS = 16  # of a window
 _BREAK = re.compile(r"[^\W\d_]+")
@@ -112,17 +112,17 @@ def _odd_words(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[by
 def fit(docs: DataFrame, sample: int = 4000, toxic_size: int = 10_000, ordinary_size: int = 50_000) -> dict:
     """A model from rows with text and toxic (0 or 1).
 
-    About `sample` texts of each class are drawn by a hash of the text and
-    fitted on the driver: this is the documented bound. Half of them train the
-    dictionaries, the others calibrate; classes weigh as they occur.
+    About `sample` distinct texts of each class are drawn by a hash of the text
+    and fitted on the driver: this is the documented bound. Half of them train
+    the dictionaries, the others calibrate; classes weigh as distinct texts do.
     """
     known = docs.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")).where("text IS NOT NULL AND toxic IN (0, 1)")
-    sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
+    sizes, drawn = distinct_sample(known, "toxic", sample, seed=11, bound=2)
     if len(sizes) < 2:
         return {"constant": float(max(sizes, default=0))}
     share = {y: min(1.0, sample / n) for y, n in sizes.items()}
-    drawn = known.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]) * (1 << 30))
-    rows = drawn.mapInArrow(_sampled, "toxic int, half int, windows array<binary>").collect()
+    most = 2 * (sample + int(10 * math.sqrt(sample)) + 10)  # ten standard deviations of the draw
+    rows = sorted(rows_at_most(drawn.mapInArrow(_sampled, "toxic int, half int, windows array<binary>"), most))
     part = {(y, h): [list(map(bytes, r.windows)) for r in rows if r.toxic == y and r.half == h] for y in (0, 1) for h in (0, 1)}
     if not all(part.values()):
         return {"constant": float(sizes[1] > sizes[0])}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workmill.llm.common import chunks, rows_at_most, tidy, with_columns
+from workmill.llm.common import chunks, distinct_sample, tidy, with_columns
 from workmill.session import cut
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -54,15 +54,13 @@ def _count(batches):
 
 
 def fit(docs: DataFrame, sample: int = 400, kept: int = 40_000) -> dict:
-    """A model from rows with text and lang: about `sample` texts a language,
-    drawn by a hash of the text, and the `kept` most frequent words and as many
+    """A model from rows with text and lang: about `sample` distinct texts a
+    language, drawn by a hash of the text, and the `kept` most frequent words and as many
     n-grams of each length."""
     known = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r[0]: r[1] for r in rows_at_most(known.groupBy("lang").count(), LANGUAGES)}
+    sizes, drawn = distinct_sample(known, "lang", sample, seed=7, bound=LANGUAGES)
     if not sizes:
         return {"langs": [], "tables": []}
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))]), F.col("lang"))
-    drawn = known.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30))
     counts = drawn.mapInArrow(tidy(_count), "lang string, n int, item string, times long").groupBy("n", "item", "lang").agg(F.sum("times").alias("times"))
     items = counts.groupBy("n", "item").agg(F.sum("times").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "times"))).alias("by")).where("all > 1")
     items = cut(items)
