@@ -2,7 +2,7 @@
 
 import re
 
-from test_operators import contamination, corpus, jaccard_groups, removed
+from test_llm_operators import contamination, corpus, jaccard_groups, removed
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
@@ -10,7 +10,7 @@ import corpus_pipeline
 
 def test_registered():
     names = entry_module.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
 
 
 def test_stages(spark, tmp_path):

@@ -145,6 +145,66 @@ def op7_pruned_graph(read):
     return nearest(table, table.where("vec_id % 20 = 0"), top=20)
 
 
+@query()
+def op11_kneser_ney(read):
+    """Base rules and perplexity bands over all documents."""
+    from workmill.llm.kneser_ney import judge
+
+    found = judge(read("documents").select("doc_id", "text", "lang"), texts=False)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits_per_byte")
+
+
+_WORDS = "filter(split(text, '[ \\t-\\r]+'), w -> w != '')"
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """The texts op12 is judged on: every tenth, by hash of the id, goes over into a repeat."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    made = docs.withColumns({"_w": F.when(h % 10 == 0, F.expr(_WORDS)), "_g": F.floor(h / 10)}).withColumn("_n", F.size("_w").cast("long"))
+    made = made.withColumn("_a", F.expr("if(_n > 0, _g % _n, null)")).withColumn("_p", F.expr("1 + (_n - _a) div (3 + _g % 8)"))
+    word = "if(i >= _a, _w[cast(_a + (i - _a) % _p as int)], _w[cast(i as int)])"
+    text = F.expr(f"array_join(transform(sequence(0L, _n - 1), i -> {word}), ' ')")
+    return made.withColumn("text", F.when(F.col("_n") > 0, text).otherwise(F.col("text"))).drop("_w", "_g", "_n", "_a", "_p")
+
+
+@query()
+def op12_periodic_runs(read):
+    """Periodic runs of words of every document, and the text without repeats."""
+    from workmill.llm.periodic_runs import find_runs
+
+    found = find_runs(planted(read("documents").select("doc_id", "text")), texts=False)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+_OP13 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), b AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), uses AS (SELECT item_id, term, count(*) AS uses FROM b GROUP BY item_id, term),
+sizes AS (SELECT count(*) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d WHERE len(ts) > 0),
+tf AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM uses) GROUP BY doc_id, term
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, sizes GROUP BY term, n_docs
+), m AS (SELECT doc_id, 75 + (25 * len(ts) * n_docs) // n_terms AS m FROM d, sizes WHERE len(ts) > 0),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(uses * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM tf JOIN uses USING (term) JOIN weight USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+@query(_OP13)
+def op13_term_scan(read):
+    """The 20 best documents of every benchmark item."""
+    from workmill.llm.term_scan import rank
+
+    return rank(read("documents"), read("benchmark"), top=20)
+
+
 def _pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
