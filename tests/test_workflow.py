@@ -56,10 +56,10 @@ def test_two_runs(spark, tmp_path):
     tables = sources(spark)
     cfg = config(spark, tmp_path, tables, "2024-03-09 12:00:00")
     first = run_workflow(cfg)
-    fact = spark.read.parquet(f"{tmp_path}/fact_tasks")
+    fact = cfg.fact("fact_tasks").read()
     assert sorted(r[0] for r in fact.select("task_key").collect()) == list(range(1, 13))
     assert fact.filter("is_overdue").count() == 12
-    logs = spark.read.parquet(f"{tmp_path}/fact_time_logs")
+    logs = cfg.fact("fact_time_logs").read()
     assert logs.agg(F.sum("billing_amount")).first()[0] == Decimal("900.00")
     work = spark.read.parquet(f"{tmp_path}/agg_user_workload")
     assert work.agg(F.sum("total_hours_logged")).first()[0] == Decimal("36.00")
@@ -82,7 +82,7 @@ def test_two_runs(spark, tmp_path):
     tables = {**tables, "tasks": t2.unionByName(extra), "users": u2}
     cfg = config(spark, tmp_path, tables, "2024-03-10 12:00:00")
     second = run_workflow(cfg)
-    fact = spark.read.parquet(f"{tmp_path}/fact_tasks")
+    fact = cfg.fact("fact_tasks").read()
     assert fact.count() == 13
     assert fact.filter("task_id = 't99'").first()["task_key"] == 13
     four = fact.filter("task_id = 't4'").first()
@@ -104,7 +104,7 @@ def test_two_runs(spark, tmp_path):
 
     # A third run on the same sources changes nothing.
     run_workflow(cfg)
-    assert spark.read.parquet(f"{tmp_path}/fact_tasks").count() == 13
+    assert cfg.fact("fact_tasks").read().count() == 13
     assert cfg.table("dim_users").read().count() == 4
 
 
@@ -177,12 +177,12 @@ def test_rows_without_a_creation_time_survive_later_loads(spark, tmp_path):
     tables["tasks"] = dated.withColumn("created_at", F.when(~undated, F.col("created_at")))
     cfg = config(spark, tmp_path, tables, "2024-03-09 12:00:00")
     run_workflow(cfg)
-    before = {r["task_id"]: r["task_key"] for r in spark.read.parquet(f"{tmp_path}/fact_tasks").collect()}
+    before = {r["task_id"]: r["task_key"] for r in cfg.fact("fact_tasks").read().collect()}
 
     tables["tasks"] = tables["tasks"].withColumn("title", F.when(F.col("task_id") == "t0", "renamed").otherwise(F.col("title")))
     cfg.as_of = "2024-03-10 12:00:00"
     load_tasks(cfg)
-    rows = spark.read.parquet(f"{tmp_path}/fact_tasks").collect()
+    rows = cfg.fact("fact_tasks").read().collect()
     assert len(rows) == 12 and {r["task_id"]: r["task_key"] for r in rows} == before
     assert [r["title"] for r in rows if r["task_id"] == "t0"] == ["renamed"]
 
@@ -190,7 +190,7 @@ def test_rows_without_a_creation_time_survive_later_loads(spark, tmp_path):
     tables["tasks"] = dated.withColumn("title", F.when(undated, "dated").otherwise(F.col("title")))
     cfg.as_of = "2024-03-11 12:00:00"
     load_tasks(cfg)
-    rows = spark.read.parquet(f"{tmp_path}/fact_tasks").collect()
+    rows = cfg.fact("fact_tasks").read().collect()
     assert len(rows) == 12 and {r["task_id"]: r["task_key"] for r in rows} == before
     assert all(r["created_month"] is not None for r in rows)
 

@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from workmill.session import cut
 
 
-def assign_keys(df: DataFrame, name: str, order_by: list[str], start: int = 1) -> DataFrame:
-    """Number rows start, start+1, ... in the order of `order_by` (runs a job).
+def assign_keys(df: DataFrame, name: str, order_by: Sequence[str] = (), start: int = 1) -> DataFrame:
+    """Number rows start, start+1, ... in the order of `order_by`, or where they
+    are if no order is asked (runs a job).
 
-    Rows are range-partitioned, sorted, marked with partition and place, and
-    written to the shared folder once, so boundaries cannot move between the
-    counting pass and the numbering pass. A row's key is its partition's offset
+    Rows are marked with partition and place and written to the shared folder
+    once, so boundaries cannot move between the counting pass and the numbering
+    pass. Only an order costs a shuffle: rows are then range-partitioned and
+    sorted before. A row's key is its partition's offset
     plus its place in the partition. The offsets are one row per partition, so
     the window and the broadcast below are bounded by the partition count, not
     by the data.
     """
-    # The running id only separates ties, so equal keys can spread over
-    # several range partitions instead of filling one.
-    tie = "__tie"
-    ordered = df.withColumn(tie, F.monotonically_increasing_id())
-    cols = [F.col(c).asc_nulls_last() for c in order_by] + [F.col(tie)]
-    sorted_rows = ordered.repartitionByRange(*cols).sortWithinPartitions(*cols).drop(tie)
+    rows = df
+    if order_by:
+        # The running id only separates ties, so equal keys can spread over
+        # several range partitions instead of filling one.
+        tie = "__tie"
+        ordered = df.withColumn(tie, F.monotonically_increasing_id())
+        cols = [F.col(c).asc_nulls_last() for c in order_by] + [F.col(tie)]
+        rows = ordered.repartitionByRange(*cols).sortWithinPartitions(*cols).drop(tie)
     row = "__row"
     # The running id holds the partition above bit 33 and the place below it.
-    placed = cut(sorted_rows.withColumn(row, F.monotonically_increasing_id()))
+    placed = cut(rows.withColumn(row, F.monotonically_increasing_id()))
     numbered = placed.withColumn("__part", F.shiftright(F.col(row), 33))
     counts = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -39,7 +45,7 @@ def assign_keys(df: DataFrame, name: str, order_by: list[str], start: int = 1) -
     )
 
 
-def fill_keys(df: DataFrame, name: str, order_by: list[str]) -> DataFrame:
+def fill_keys(df: DataFrame, name: str, order_by: Sequence[str] = ()) -> DataFrame:
     """Give rows whose surrogate is NULL the next keys after the largest one."""
     top = df.agg(F.max(name)).first()[0]
     known = df.filter(F.col(name).isNotNull())

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from workmill.functions.moments import at, on
+from workmill.functions.moments import at, on, parse
 from workmill.functions.scalars import amount, mean, ratio, total
+from workmill.sources.tables import in_months
 
 
 def _snapshot_key(time: DataFrame, as_of):
@@ -78,7 +80,8 @@ def user_workload_agg(
     """Per user and project: tasks as they stand, hours of the last `days` days.
 
     Tasks and hours are reduced separately to one row per (user, project) and
-    then joined, so neither multiplies the other.
+    then joined, so neither multiplies the other. Of logs stored by start_month
+    only the months of those days are read.
     """
     key = ["user_key", "project_key"]
     done = F.col("status_id").isin(*completed)
@@ -93,9 +96,8 @@ def user_workload_agg(
             F.count_if("is_overdue").alias("overdue_tasks"),
         )
     )
-    today = on(as_of)
-    started = F.to_date("start_timestamp")
-    recent = logs.filter((started > F.date_sub(today, days)) & (started <= today))
+    midnight = parse(as_of).replace(hour=0, minute=0, second=0, microsecond=0)
+    recent = in_months(logs, "start_timestamp", midnight - timedelta(days=days - 1), midnight + timedelta(days=1), "start_month")
     hours = recent.groupBy(*key).agg(
         F.sum("duration_hours").alias("total_hours_logged"), F.sum("billable_hours").alias("billable_hours")
     )

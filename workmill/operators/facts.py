@@ -202,6 +202,13 @@ def touched_partitions(load: FactLoad, part: str) -> list:
     return [r[0] for r in rows]
 
 
+def rewritten_partitions(load: FactLoad, part: str) -> list:
+    """Partitions that hold the stored form of a changed row; rows of all
+    others only need adding."""
+    moved = load.fact.join(load.of("changed").select(load.key), load.key, "left_semi")
+    return [r[0] for r in moved.select(part).distinct().collect()]
+
+
 def load_fact_time_logs(
     logs: DataFrame, fact_tasks: DataFrame, users: DataFrame, time: DataFrame, batch_id: str | None = None, as_of=None
 ) -> DataFrame:
@@ -359,5 +366,6 @@ __all__ = [
     "load_fact_time_logs",
     "resolve_tasks",
     "task_history",
+    "rewritten_partitions",
     "touched_partitions",
 ]

@@ -108,29 +108,11 @@ def _matched(dim: DataFrame, src: DataFrame, key: str, tracked: Sequence[str]) -
     return d.join(s, F.col(f"d_{key}") == F.col(f"s_{key}"), "full").withColumn("kind", kind)
 
 
-def scd2_merge(
-    dim: DataFrame,
-    src: DataFrame,
-    spec: Dimension,
-    as_of,
-    batch_id: str | None = None,
-    reopen: bool = False,
-    source_system: str = "OLTP",
-    observe: Observation | None = None,
+def _versions(
+    dim: DataFrame, src: DataFrame, spec: Dimension, as_of, batch_id: str | None, reopen: bool, source_system: str, observe: Observation | None
 ) -> DataFrame:
-    """The dimension after one load of `src` at `as_of`.
-
-    - A current version whose entity is gone or changed ends one second before
-      `as_of`.
-    - A changed entity gets the next version, a new one version 1.
-    - An entity deleted earlier that is back gets a version only with
-      `reopen=True`; the loader this follows never reopens one.
-
-    One join decides both the ended and the started version of a key, and each
-    pair is then expanded to its one or two rows. New rows have a NULL
-    surrogate; `functions.keys.fill_keys` numbers them. `observe` receives the
-    keys per kind when the result is written.
-    """
+    """Keys with their `kind` and `rows`, an array of the one or two versions a
+    key has after the load: the stored one, ended or not, and the started one."""
     attributes = set(spec.tracked) | set(spec.payload)
     tracked = [c for c in spec.tracked if c in dim.columns and c in src.columns]
     kind = F.col("kind")
@@ -172,11 +154,57 @@ def scd2_merge(
     pairs = _matched(dim, src, spec.key, tracked)
     if observe is not None:
         pairs = pairs.observe(observe, *[F.count_if(kind == k).alias(k) for k in KINDS])
-    merged = pairs.select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("r.*")
+    return pairs.select("kind", F.filter(rows, lambda r: r.isNotNull()).alias("rows"))
+
+
+def scd2_merge(
+    dim: DataFrame,
+    src: DataFrame,
+    spec: Dimension,
+    as_of,
+    batch_id: str | None = None,
+    reopen: bool = False,
+    source_system: str = "OLTP",
+    observe: Observation | None = None,
+) -> DataFrame:
+    """The dimension after one load of `src` at `as_of`.
+
+    - A current version whose entity is gone or changed ends one second before
+      `as_of`.
+    - A changed entity gets the next version, a new one version 1.
+    - An entity deleted earlier that is back gets a version only with
+      `reopen=True`; the loader this follows never reopens one.
+
+    One join decides both the ended and the started version of a key, and each
+    pair is then expanded to its one or two rows. New rows have a NULL
+    surrogate; `functions.keys.fill_keys` numbers them. `observe` receives the
+    keys per kind when the result is written.
+    """
+    pairs = _versions(dim, src, spec, as_of, batch_id, reopen, source_system, observe)
+    merged = pairs.select(F.explode("rows").alias("r")).select("r.*")
     history = dim.filter(~F.coalesce("is_current", F.lit(False)))
     return history.unionByName(merged)
 
 
+def scd2_changes(
+    dim: DataFrame,
+    src: DataFrame,
+    spec: Dimension,
+    as_of,
+    batch_id: str | None = None,
+    reopen: bool = False,
+    source_system: str = "OLTP",
+    observe: Observation | None = None,
+) -> DataFrame:
+    """Only the versions a load ends or starts, as `scd2_merge` has them.
+
+    Ended ones are not current and keep their surrogate, started ones are
+    current without one. Keys that stay as they are give no row.
+    """
+    pairs = _versions(dim, src, spec, as_of, batch_id, reopen, source_system, observe)
+    return pairs.filter(F.col("kind") != "unchanged").select(F.explode("rows").alias("r")).select("r.*")
+
+
 def scd2_kinds(dim: DataFrame, src: DataFrame, spec: Dimension) -> DataFrame:
     """(key, kind) with kind in new, changed, deleted, unchanged, returned."""
     tracked = [c for c in spec.tracked if c in dim.columns and c in src.columns]

@@ -11,7 +11,6 @@ from workmill.operators import facts, governance, oplog, opmetrics, quality
 from workmill.plans.registry import EVENTS_AS_OF, dec, half_up, query
 from workmill.session import shared_folder
 from workmill.sources.schemas import VOCABULARY
-from workmill.sources.tables import Versions
 
 # -- load logs ---------------------------------------------------------------------
 
@@ -553,11 +552,11 @@ def newest_event_per_user(x):
     """The events folder streamed to its end, newest row per user kept."""
     import uuid
 
-    from workmill.streaming.incremental import run_available, upsert_into
+    from workmill.streaming.incremental import NewestTable, run_available, upsert_into
 
     root = f"{shared_folder(x.spark)}/newest-{uuid.uuid4()}"
-    table = Versions(x.spark, f"{root}/table")
-    keep = upsert_into(table, "user_id", ["ts", "event_id"], lambda df: df.select("user_id", "event_id", "ts", "event_type"))
+    table = NewestTable(x.spark, f"{root}/table", "user_id", ["ts", "event_id"])
+    keep = upsert_into(table, lambda df: df.select("user_id", "event_id", "ts", "event_type"))
     run_available(x.spark, x.folder, x["events"].schema, f"{root}/state", keep, "events.parquet")
     return table.read()
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from workmill.functions.moments import at, minutes_between, month_of, on, seconds_between, since
 from workmill.functions.scalars import asc, desc, total
-from workmill.sources.tables import live
+from workmill.sources.tables import in_months, live
 
 CLOSED = ("done", "cancelled")
 
@@ -202,31 +202,34 @@ def hours_by_project(logs: DataFrame, tasks: DataFrame, projects: DataFrame, org
     return named.groupBy(F.col("name").alias("project_name")).agg(hours.alias("hours_logged"))
 
 
-def _finished(logs: DataFrame) -> DataFrame:
+def _finished(logs: DataFrame, start, end, month: str) -> DataFrame:
     minutes = minutes_between(F.col("start_time"), F.col("end_time")).cast("bigint")
-    return logs.filter(F.col("end_time").isNotNull()).withColumn("__minutes", minutes)
+    return in_months(logs, "start_time", start, end, month).filter(F.col("end_time").isNotNull()).withColumn("__minutes", minutes)
 
 
-def time_by_user_day(logs: DataFrame) -> DataFrame:
+def time_by_user_day(logs: DataFrame, start=None, end=None, month: str = "start_month") -> DataFrame:
+    """Logs that started from `start` to before `end`; of a table stored by
+    `month` only those months are read. So for the two reports below."""
     return (
-        _finished(logs)
+        _finished(logs, start, end, month)
         .groupBy("user_id", F.to_date("start_time").alias("day"))
         .agg(F.count(F.lit(1)).alias("log_count"), F.sum("__minutes").alias("total_minutes"))
     )
 
 
-def billable_by_month(logs: DataFrame) -> DataFrame:
+def billable_by_month(logs: DataFrame, start=None, end=None, month: str = "start_month") -> DataFrame:
     minutes = minutes_between(F.col("start_time"), F.col("end_time")).cast("bigint")
     return (
-        logs.filter(F.col("billable"))
+        in_months(logs, "start_time", start, end, month)
+        .filter(F.col("billable"))
         .groupBy("organization_id", month_of(F.col("start_time")).alias("month"))
         .agg(F.count(F.lit(1)).alias("log_count"), F.coalesce(F.sum(minutes), F.lit(0)).alias("total_minutes"))
     )
 
 
-def time_by_org_day(logs: DataFrame) -> DataFrame:
+def time_by_org_day(logs: DataFrame, start=None, end=None, month: str = "start_month") -> DataFrame:
     return (
-        _finished(logs)
+        _finished(logs, start, end, month)
         .groupBy("organization_id", F.to_date("start_time").alias("day"), "billable")
         .agg(F.count(F.lit(1)).alias("log_count"), F.sum("__minutes").alias("total_minutes"))
     )

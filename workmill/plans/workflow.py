@@ -10,16 +10,20 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from workmill.functions.keys import assign_keys, fill_keys
+from workmill.functions.keys import assign_keys
 from workmill.functions.moments import month_of, on
 from workmill.operators import aggregates, facts, oplog, scd2
 from workmill.operators.calendar import dim_time
 from workmill.session import cut
-from workmill.sources.tables import Versions, overwrite, replace_partitions
+from workmill.sources.dimension import DimensionTable
+from workmill.sources.layout import sorted_within
+from workmill.sources.parts import Parts
+from workmill.sources.tables import Versions, expired, replace_partitions
 
-MONTH = "created_month"
-# Fixed value: how Spark names the directory of a NULL partition.
-_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+# The month column of each stored fact, and the order of its rows in a month.
+MONTHS = {"fact_tasks": "created_month", "fact_time_logs": "start_month"}
+SORTED = {"fact_tasks": ("project_key", "assigned_to_key"), "fact_time_logs": ("user_key", "start_timestamp")}
+DIMENSIONS = {"dim_users": scd2.USERS, "dim_projects": scd2.PROJECTS, "dim_task_status": scd2.TASK_STATUS, "dim_priority": scd2.PRIORITY}
 
 
 class WorkflowError(RuntimeError):
@@ -41,13 +45,19 @@ class Config:
     reopen: bool = False
     workload_days: int = 1
     keep_versions: int = 3
+    dim_buckets: int = 8
     log: oplog.LoadLog = field(init=False)
 
     def __post_init__(self):
         self.log = oplog.LoadLog(self.spark, f"{self.root}/log")
 
-    def table(self, name: str) -> Versions:
-        return Versions(self.spark, f"{self.root}/{name}")
+    def table(self, name: str) -> Versions | DimensionTable:
+        path = f"{self.root}/{name}"
+        return DimensionTable(self.spark, path, DIMENSIONS[name], self.dim_buckets) if name in DIMENSIONS else Versions(self.spark, path)
+
+    def fact(self, name: str) -> Parts:
+        """A stored fact, by month."""
+        return Parts(self.spark, f"{self.root}/{name}", MONTHS[name])
 
     @property
     def statuses(self) -> dict:
@@ -71,15 +81,18 @@ def _step(cfg: Config, parent: str | None, table: str, operation: str, work: Cal
     began = oplog.now()
     try:
         done = work(batch)
-        details = {"inserted": done.inserted, "updated": done.updated, "unchanged": done.unchanged}
-        cfg.log.audit(batch, table, operation, "COMPLETED", done.inserted + done.updated, began, oplog.now(), details=details)
-        cfg.log.end(batch, "COMPLETED", processed=done.processed, inserted=done.inserted, updated=done.updated, failed=0)
     except Exception as problem:
         code, text = type(problem).__name__, str(problem)
         cfg.log.error(batch, "ERROR", code, text, table, data={"error_context": f"load of {table}", "trace": traceback.format_exc()})
         cfg.log.audit(batch, table, operation, "FAILED", None, began, oplog.now(), text)
         cfg.log.end(batch, "FAILED", text, processed=0, inserted=0, updated=0, failed=1)
         raise
+    try:
+        details = {"inserted": done.inserted, "updated": done.updated, "unchanged": done.unchanged}
+        cfg.log.audit(batch, table, operation, "COMPLETED", done.inserted + done.updated, began, oplog.now(), details=details)
+        cfg.log.end(batch, "COMPLETED", processed=done.processed, inserted=done.inserted, updated=done.updated, failed=0)
+    except Exception as problem:
+        raise WorkflowError(f"{table}: data written, its log rows not: {problem}") from problem
     return done
 
 
@@ -96,20 +109,9 @@ def load_time(cfg: Config, parent: str | None = None) -> Counts:
 
 def load_dimension(cfg: Config, name: str, source: str, spec: scd2.Dimension, parent: str | None = None) -> Counts:
     def work(batch: str) -> Counts:
-        src, table = cfg.source(source), cfg.table(name)
-        if not table.exists():
-            first = scd2.first_version(src, None, spec, cfg.as_of, batch)
-            keyed = assign_keys(first.drop(spec.surrogate), spec.surrogate, [spec.key])
-            table.write(keyed.withColumn(spec.surrogate, F.col(spec.surrogate).cast("int")))
-            return Counts(inserted=table.read().count())
-        dim = table.read()
-        seen = Observation()
-        # Numbering reads the merged rows more than once; the counters are
-        # observed while they are written.
-        merged = cut(scd2.scd2_merge(dim, src, spec, cfg.as_of, batch, cfg.reopen, observe=seen))
-        table.write(fill_keys(merged, spec.surrogate, [spec.key]))
+        table = DimensionTable(cfg.spark, f"{cfg.root}/{name}", spec, cfg.dim_buckets)
+        kinds = table.load(cfg.source(source), cfg.as_of, batch, cfg.reopen)
         table.prune(cfg.keep_versions)
-        kinds = seen.get
         started = kinds["new"] + kinds["changed"] + (kinds["returned"] if cfg.reopen else 0)
         return Counts(started, kinds["changed"] + kinds["deleted"], kinds["unchanged"])
 
@@ -122,12 +124,7 @@ def _dims(cfg: Config) -> facts.Dims:
 
 
 def _fact(cfg: Config, name: str) -> DataFrame:
-    return cfg.spark.read.parquet(f"{cfg.root}/{name}")
-
-
-def _written(cfg: Config, name: str) -> bool:
-    path = cfg.spark._jvm.org.apache.hadoop.fs.Path(f"{cfg.root}/{name}/_SUCCESS")
-    return path.getFileSystem(cfg.spark._jsc.hadoopConfiguration()).exists(path)
+    return cfg.fact(name).read()
 
 
 def _incremental(
@@ -138,36 +135,45 @@ def _incremental(
     key: str,
     surrogate: str,
     tracked: Sequence[str],
-    month: str,
     ts: str,
 ) -> Counts:
     """Bring a fact stored by month up to date with resolved source rows.
 
-    Only months that hold a new or changed row are rewritten; new rows get
-    their keys after the largest stored one.
+    One write: months with a changed row are written anew, new rows of other
+    months are added to them, and all become visible together. The highest
+    surrogate lies beside the manifest, so numbering needs no scan.
     """
-    path = f"{cfg.root}/{name}"
+    table, month = cfg.fact(name), MONTHS[name]
     incoming = incoming.withColumn(month, month_of(F.col(ts)))
-    if not _written(cfg, name):
-        overwrite(assign_keys(incoming, surrogate, [key]), path, [month])
-        return Counts(inserted=_fact(cfg, name).count())
-    fact = _fact(cfg, name)
+
+    def layout(rows: DataFrame) -> DataFrame:
+        return sorted_within(rows, [month], SORTED[name])
+
+    if not table.exists():
+        first = assign_keys(incoming, surrogate)
+        n = first.count()
+        table.commit(first, layout=layout, note={"top": n})
+        return Counts(inserted=n)
+    fact, note = table.read(), table.note()
     load, kinds = facts.classify(fact, incoming, key, surrogate, tracked, ids).settled()
-    months = facts.touched_partitions(load, month)
-    if months:
-        top = fact.agg(F.max(surrogate)).first()[0] or 0
-        fresh = assign_keys(load.of("new").drop(surrogate), surrogate, [key], start=top + 1)
+    if kinds["new"] + kinds["changed"]:
+        months = facts.rewritten_partitions(load, month)
+        fresh = assign_keys(load.of("new").drop(surrogate), surrogate, start=note["top"] + 1)
         changed = load.of("changed")
-        in_touched = F.col(month).isin([m for m in months if m is not None])
-        if None in months:  # rows without a time have a partition of their own
-            in_touched = in_touched | F.col(month).isNull()
-        stays = fact.filter(in_touched).join(changed.select(key), key, "left_anti")
-        cols = fact.columns
-        merged = stays.unionByName(changed.select(*cols)).unionByName(fresh.select(*cols))
-        _replace_months(cfg, merged, path, month, months)
+        stays = table.read(only=months).join(changed.select(key), key, "left_anti")
+        rows = stays.unionByName(changed.select(*fact.columns)).unionByName(fresh.select(*fact.columns))
+        table.commit(rows, replaced=months, layout=layout, note={"top": note["top"] + kinds["new"]})
+        table.compact()
+        table.prune(cfg.keep_versions)
     return Counts(kinds["new"], kinds["changed"], kinds["unchanged"])
 
 
+def drop_expired(cfg: Config, name: str, days: int) -> list[str]:
+    """Take months out of a stored fact that ended before the last `days` days;
+    no row is read or written."""
+    return cfg.fact(name).drop(expired(MONTHS[name], days, cfg.as_of))
+
+
 def load_tasks(cfg: Config, parent: str | None = None) -> Counts:
     """Incremental task fact, stored by creation month."""
 
@@ -175,23 +181,11 @@ def load_tasks(cfg: Config, parent: str | None = None) -> Counts:
         tasks = cfg.source("tasks")
         rows = facts.resolve_tasks(tasks, _dims(cfg), cfg.as_of, batch, **cfg.statuses)
         ids = tasks.select("task_id")
-        return _incremental(cfg, "fact_tasks", rows, ids, "task_id", "task_key", facts.TRACKED, MONTH, "created_timestamp")
+        return _incremental(cfg, "fact_tasks", rows, ids, "task_id", "task_key", facts.TRACKED, "created_timestamp")
 
     return _step(cfg, parent, "fact_tasks", "INCREMENTAL_LOAD", work)
 
 
-def _replace_months(cfg: Config, merged: DataFrame, path: str, month: str, months: list) -> None:
-    merged = cut(merged)
-    replace_partitions(merged, path, [month])
-    # A changed creation date can empty a month, which a dynamic overwrite
-    # leaves as it was; its directory goes away here.
-    left = {r[0] for r in merged.select(month).distinct().collect()}
-    for gone in set(months) - left:
-        name = _NO_VALUE if gone is None else gone
-        target = cfg.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{month}={name}")
-        target.getFileSystem(cfg.spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def load_time_logs(cfg: Config, parent: str | None = None) -> Counts:
     """Incremental time-log fact, stored by start month."""
 
@@ -206,7 +200,6 @@ def load_time_logs(cfg: Config, parent: str | None = None) -> Counts:
             "time_log_id",
             "time_log_key",
             facts.LOG_TRACKED,
-            "start_month",
             "start_timestamp",
         )
 
@@ -294,4 +287,4 @@ def run_workflow(cfg: Config, raise_on_error: bool = True) -> str:
     return batch
 
 
-__all__ = ["Config", "Counts", "WorkflowError", "load_dimension", "load_tasks", "load_time", "load_time_logs", "run_workflow"]
+__all__ = ["Config", "Counts", "WorkflowError", "drop_expired", "load_dimension", "load_tasks", "load_time", "load_time_logs", "run_workflow"]

@@ -149,15 +149,34 @@ def month_partition(df: DataFrame, ts: str, name: str = "month") -> DataFrame:
     return df.withColumn(name, month_of(F.col(ts)))
 
 
-def in_months(df: DataFrame, ts: str, start, end, name: str = "month") -> DataFrame:
-    """Range filter on `ts` that also prunes month directories.
+def in_months(df: DataFrame, ts: str, start=None, end=None, name: str = "month") -> DataFrame:
+    """Rows with `start` <= ts < `end` (either may be open), of the month
+    directories that can hold any.
 
     Catalyst does not derive the month predicate from the timestamp, so both
-    are stated.
+    are stated: months from that of `start` to that of the last moment before
+    `end`. Where a stored table has no column `name`, only the time counts.
     """
-    first, last = parse(start).replace(day=1), parse(end)
-    months = (F.col(name) >= on(first)) & (F.col(name) <= on(last))
-    return df.filter(months & (F.col(ts) >= at(start)) & (F.col(ts) < at(end)))
+    out = df
+    if start is not None:
+        out = out.filter(F.col(ts) >= at(start))
+        if name in df.columns:
+            out = out.filter(F.col(name) >= on(parse(start).replace(day=1)))
+    if end is not None:
+        out = out.filter(F.col(ts) < at(end))
+        if name in df.columns:
+            out = out.filter(F.col(name) <= on((parse(end) - timedelta(microseconds=1)).replace(day=1)))
+    return out
+
+
+def in_calendar(df: DataFrame, calendar: DataFrame, name: str = "month") -> DataFrame:
+    """Rows of the months in which `calendar` (rows of the date dimension) has a day.
+
+    The months are known only at run time: a semi join on the partition column,
+    from which Spark prunes directories once the calendar side is read.
+    """
+    months = calendar.select(F.trunc("full_date", "MM").alias("__month")).distinct()
+    return df.join(F.broadcast(months), F.col(name) == F.col("__month"), "left_semi")
 
 
 def quarter_partition(df: DataFrame, ts: str, name: str = "part") -> DataFrame:
@@ -260,9 +279,17 @@ def _text(df: DataFrame, c: str) -> Column:
     return F.to_json(c) if kind in ("array", "struct", "map") else F.col(c).cast("string")
 
 
-def retention(df: DataFrame, ts: str, days: int, as_of) -> DataFrame:
-    """Keep rows of the last `days` days; whole directories drop when aligned."""
-    return df.filter(F.col(ts) >= at(parse(as_of) - timedelta(days=days)))
+def retention(df: DataFrame, ts: str, days: int, as_of, month: str | None = None) -> DataFrame:
+    """Keep rows of the last `days` days. With `month`, the partition column of
+    a table stored by month, directories before the first kept month are not
+    listed; `Parts.drop` with `expired` removes them from such a table."""
+    return in_months(df, ts, parse(as_of) - timedelta(days=days), None, month or "")
+
+
+def expired(part: str, days: int, as_of):
+    """A test of directory names: months that end before the last `days` days."""
+    first = f"{part}={(parse(as_of) - timedelta(days=days)).replace(day=1):%Y-%m-%d}"
+    return lambda name: name.startswith(f"{part}=") and name < first and name != f"{part}=__HIVE_DEFAULT_PARTITION__"
 
 
 def live(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from workmill.plans.workflow import Config, run_workflow
 from workmill.session import cut
-from workmill.sources.tables import Versions
+from workmill.sources.parts import Parts, bucket_of
 
 
 def newest_per_key(rows: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -62,13 +62,53 @@ def run_available(
     query.awaitTermination()
 
 
-def upsert_into(table: Versions, key: str, order: Sequence[str], prepare: Callable[[DataFrame], DataFrame] | None = None):
-    """A batch handler that keeps the newest row per key in a versioned table."""
+class NewestTable:
+    """The newest row per key, stored by key bucket.
+
+    An upsert keeps of a batch only rows newer than the stored ones and rewrites
+    only buckets in which a stored row is replaced; buckets that only gain keys
+    are appended to. A batch seen before, late or replayed, writes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str | Sequence[str], order: Sequence[str], buckets: int = 32):
+        self.keys, self.order, self.buckets = [key] if isinstance(key, str) else list(key), list(order), buckets
+        self.parts = Parts(spark, path, "bucket")
+
+    def exists(self) -> bool:
+        return self.parts.exists()
+
+    def read(self) -> DataFrame:
+        return self.parts.read().drop("bucket")
+
+    def upsert(self, batch: DataFrame, keep: int = 3, most: int = 8) -> int:
+        """Take a batch in; returns the rows that were new or newer."""
+        fresh = newest_per_key(batch, self.keys, self.order)
+        note = self.parts.note() or {"buckets": self.buckets}
+        fresh = cut(fresh.withColumn("bucket", bucket_of(self.keys, note["buckets"])))
+        if not self.exists():
+            self.parts.commit(fresh, note=note)
+            return fresh.count()
+        known = self.parts.read().select("bucket", *self.keys, F.struct(*self.order).alias("__old"))
+        # The bucket is part of the join: stored partitions without a fresh row are not read.
+        same = [fresh["bucket"] == known["bucket"], *[fresh[k].eqNullSafe(known[k]) for k in self.keys]]
+        wins = fresh.join(known, same, "left").filter(F.col("__old").isNull() | (F.struct(*[fresh[c] for c in self.order]) > F.col("__old")))
+        wins = cut(wins.select(*[fresh[c] for c in fresh.columns], F.col("__old").isNotNull().alias("__replaces")))
+        number = wins.count()
+        if number:
+            touched = [r[0] for r in wins.filter("__replaces").select("bucket").distinct().collect()]  # at most the buckets
+            stored, gone = self.parts.read(only=touched), wins.filter("__replaces")
+            stays = stored.join(gone, [stored[k].eqNullSafe(gone[k]) for k in self.keys], "left_anti")
+            self.parts.commit(stays.unionByName(wins.drop("__replaces")), replaced=touched, note=note)
+            self.parts.compact(most)
+            self.parts.prune(keep)
+        return number
+
+
+def upsert_into(table: NewestTable, prepare: Callable[[DataFrame], DataFrame] | None = None):
+    """A batch handler that keeps the newest row per key in `table`."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = prepare(batch) if prepare else batch
-        stored = table.read() if table.exists() else None
-        table.write(merge_newest(stored, rows, key, order))
+        table.upsert(prepare(batch) if prepare else batch)
 
     return handle
 
@@ -93,11 +133,11 @@ def scheduled_run(cfg: Config, landings: Sequence[Landing]) -> str:
     failure is logged and warned about, not raised.
     """
     given = cfg.source
-    tables = {land.name: Versions(cfg.spark, f"{cfg.root}/source/{land.name}") for land in landings}
+    tables = {land.name: NewestTable(cfg.spark, f"{cfg.root}/source/{land.name}", land.key, land.order) for land in landings}
     for land in landings:
         try:
             state = f"{cfg.root}/source/_state/{land.name}"
-            run_available(cfg.spark, land.folder, land.schema, state, upsert_into(tables[land.name], land.key, land.order))
+            run_available(cfg.spark, land.folder, land.schema, state, upsert_into(tables[land.name]))
         except Exception as problem:
             batch, text = cfg.log.start(f"{land.name.upper()}_LANDING"), str(problem)
             cfg.log.error(batch, "CRITICAL", type(problem).__name__, text, land.name, data={"error_context": f"landing of {land.name}"})
