@@ -265,7 +265,7 @@ _LOG_FACT = f"""
     FROM {{f_time_logs}} l JOIN {{f_tasks}} t ON l.task_id = t.task_id"""
 
 
-def _log_facts(x):
+def log_facts(x):
     tasks = x["f_tasks"].select("task_id", (F.col("task_id") + 1).alias("task_key"), (F.col("project_id") + 1).cast("int").alias("project_key"))
     return facts.load_fact_time_logs(x["f_time_logs"], tasks, x.dims.users, x.dims.time)
 
@@ -282,7 +282,7 @@ def _log_facts(x):
     FROM f""",
 )
 def fact_time_logs(x):
-    return _log_facts(x).select(
+    return log_facts(x).select(
         "task_key",
         "user_key",
         "project_key",
@@ -366,7 +366,7 @@ def agg_daily_task_metrics(x):
 )
 def agg_user_workload(x):
     fact = facts.resolve_tasks(x["f_tasks"], x.dims, AS_OF, **DONE)
-    rows = aggregates.user_workload_agg(fact, _log_facts(x), x.dims.status, x.dims.time, AS_OF, days=30, **DONE)
+    rows = aggregates.user_workload_agg(fact, log_facts(x), x.dims.status, x.dims.time, AS_OF, days=30, **DONE)
     return rows.drop("etl_batch_id", "etl_timestamp")
 
 

@@ -62,4 +62,4 @@ def half_up(num: str, den: str) -> str:
 
 def load() -> None:
     """Fill the registry."""
-    from workmill.plans import registered_logs, registered_reports, registered_warehouse  # noqa: F401
+    from workmill.plans import registered_logs, registered_reports, registered_stored, registered_warehouse  # noqa: F401
