@@ -1,11 +1,15 @@
 """Search, hierarchy, checks, governance and log questions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from workmill.operators import governance, opmetrics, quality
 from workmill.operators.facts import keyed_history, task_history
+from workmill.operators import hierarchy
 from workmill.operators.hierarchy import descendants, forest, reachable
+from workmill.session import cut
 from workmill.operators.search import build_index, parse, search, search_index, write_index
 from workmill.sources.projection import Inputs
 
@@ -93,6 +97,36 @@ def test_cycle_stops_and_chain_is_followed(spark):
     assert sorted(r["id"] for r in near.collect()) == [3, 4, 5]
 
 
+def test_rounds_grow_with_the_logarithm_of_depth(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(hierarchy, "cut", lambda df: rounds.append(1) or cut(df))
+    nodes = spark.range(1000).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    tree = forest(nodes, "id", "parent")
+    assert tree.agg(F.count("*"), F.max("depth"), F.sum("depth"), F.max("root_id")).first()[:] == (1000, 999, 999 * 500, 0)
+    assert len(rounds) <= 14
+
+
+def test_nested_roots_equal_a_walk(spark):
+    rng = random.Random(3)
+    for _ in range(3):
+        parent = {i: rng.choice([None, *range(40)]) if rng.random() < 0.9 else 1000 for i in range(40)}  # cycles and missing parents
+        roots = set(rng.sample(range(40), 9))
+        expected = set()
+        for i in range(40):
+            at, depth, seen = i, 0, set()
+            while at in parent and at not in seen:
+                seen.add(at)
+                if at in roots:
+                    expected.add((at, i, depth))
+                at, depth = parent[at], depth + 1
+        nodes = spark.createDataFrame([(i, p, i % 3) for i, p in parent.items()], "id int, parent int, c int")
+        found = descendants(nodes, nodes.filter(F.col("id").isin(list(roots))), "id", "parent", ["c"]).collect()
+        assert sorted((r["root_id"], r["id"], r["depth"]) for r in found) == sorted(expected)
+        assert all(r["c"] == r["id"] % 3 for r in found)
+        below = reachable(nodes, spark.createDataFrame([(r,) for r in (*roots, 77)], "r int"), "id", "parent")
+        assert sorted(r[0] for r in below.collect()) == sorted({i for _, i, _ in expected} | {77})
+
+
 def test_reachable_lists_each_row_once(spark):
     nodes = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 2), (7, 9), (8, 7), (9, 8)], "id int, parent int")
     ids = spark.createDataFrame([(2,), (3,), (8,)], "id int")

@@ -5,11 +5,14 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from workmill.functions import keys
 from workmill.operators import facts, lookup, scd2
+from workmill.operators.lookup import lookup_as_of, lookup_as_of_merge
 from workmill.operators.merge import merge_update
 from workmill.plans import reports
 from workmill.plans.registry import AS_OF, DONE
 from workmill.sources.projection import Inputs
+from workmill.session import cut
 from workmill.sources.tables import touch
 
 from compare import TESTDATA
@@ -209,3 +212,28 @@ def test_people_keys_where_task_ids_repeat_or_are_missing(spark):
         assert rows() == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_as_of_by_merge_equals_the_join(spark):
+    days = F.make_dt_interval(F.col("n"))
+    dim = spark.sql("SELECT k, v AS version_number, k * 100 + v AS sk, timestamp_ntz'2024-01-01' + make_dt_interval(3 * v + k % 3) AS effective_date "
+                    "FROM (SELECT explode(sequence(0, 40)) AS k) JOIN (SELECT explode(sequence(1, 30)) AS v) WHERE k % 7 <> 6 AND (v <= 2 OR k % 2 = 0)")
+    dim = dim.withColumn("expiry_date", F.when(F.col("k") % 5 == 0, F.col("effective_date") + F.expr("INTERVAL 1 DAY")))
+    # A third of the rows have one key, some have none or no time.
+    rows = spark.range(6000).select("id", F.lit(1).alias("tenant"), F.when(F.col("id") % 3 == 0, 4).when(F.col("id") % 11 == 1, None).otherwise(F.col("id") % 43).cast("int").alias("k"), (F.col("id") % 120 - 5).cast("int").alias("n"))
+    rows = rows.select("id", "tenant", "k", F.when(F.col("id") % 17 != 3, F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz") + days).alias("t"))
+    take = {"sk": "sk", "v": "version_number"}
+    joined = lookup_as_of(rows, dim, "k", "t", "k", take)
+    merged = lookup_as_of_merge(rows, dim, "k", "t", "k", take)
+    assert merged.columns == joined.columns
+    assert merged.exceptAll(joined).count() == 0 and merged.count() == 6000 and joined.filter("sk IS NOT NULL").count() > 2000
+
+
+def test_numbering_without_an_order_does_not_shuffle(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(keys, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    rows = spark.range(0, 5000, 1, 7).filter("id % 3 <> 0")
+    got = sorted(r[0] for r in keys.assign_keys(rows, "key", start=11).select("key").collect())
+    assert got == list(range(11, 11 + len(got))) and len(got) == rows.count()
+    keys.assign_keys(rows, "key", ["id"])
+    assert "Exchange" not in plans[0] and "Exchange" in plans[1]

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from workmill.session import cut
+
 UNKNOWN = -1
 _NULL_SPREAD = 64
 
@@ -93,8 +95,9 @@ def lookup_as_of(df: DataFrame, dim: DataFrame, on: str, ts: str, key: str, take
     entity) is valid up to its expiry date. Rows without a key are spread as in
     `lookup`.
     """
-    noise = f"CAST(pmod(xxhash64(`{df.columns[0]}`), {_NULL_SPREAD}) AS INT)"
-    salted = df.withColumn("__salt", F.expr(f"CASE WHEN `{on}` IS NULL THEN {noise} ELSE 0 END"))
+    # All columns, since one alone may hold the same value in every row.
+    noise = F.pmod(F.xxhash64(*df.columns), F.lit(_NULL_SPREAD)).cast("int")
+    salted = df.withColumn("__salt", F.when(F.col(on).isNull(), noise).otherwise(0))
     spans = gap_free(dim, key).select(
         F.col(key).alias("__dim_key"),
         F.expr(f"CAST(pmod(xxhash64(`{key}`), 1) AS INT)").alias("__dim_salt"),
@@ -112,3 +115,39 @@ def lookup_as_of(df: DataFrame, dim: DataFrame, on: str, ts: str, key: str, take
     return salted.join(spans, valid, "left").select(
         *[F.col(c) for c in df.columns], *[F.col(f"__take{i}").alias(name) for i, name in enumerate(take)]
     )
+
+
+def lookup_as_of_merge(df: DataFrame, dim: DataFrame, on: str, ts: str, key: str, take: Mapping[str, str]) -> DataFrame:
+    """The same as `lookup_as_of`, by merging rows and versions in time order.
+
+    Rows and versions are cut together into ranges of (key, time), and within a
+    range each row takes the last version before it. A key that goes on in the
+    next range hands its last version over: of such keys there are fewer than
+    ranges, so what is handed over is bounded by their number. A key with any
+    share of the rows is split over ranges by time, and no row meets more than
+    one version, however many a key has; the price is that rows are written
+    and shuffled twice. For versions whose starts grow with their numbers.
+    """
+    names = list(take)
+    spans = gap_free(dim, key).filter(F.col(key).isNotNull() & F.col("effective_date").isNotNull())
+    version = F.struct("effective_date", "valid_to", "expiry_date", *[F.col(c).alias(f"take{i}") for i, c in enumerate(take.values())])
+    known = spans.select(F.col(key).alias("k"), F.col("effective_date").alias("t"), F.lit(0).alias("kind"), version.alias("version"))
+    timed = F.col(on).isNotNull() & F.col(ts).isNotNull()
+    rows = df.filter(timed).select(F.col(on).alias("k"), F.col(ts).alias("t"), F.lit(1).alias("kind"), F.struct(*df.columns).alias("row"))
+    order = ["k", "t", "kind"]
+    both = known.unionByName(rows, allowMissingColumns=True).withColumn("tie", F.monotonically_increasing_id())
+    # Written, so that ranges cannot move between the two readings below.
+    placed = cut(both.repartitionByRange(*order, "tie").drop("tie").withColumn("part", F.spark_partition_id()))
+    last = F.last("version", ignorenulls=True)
+    inside = Window.partitionBy("part", "k").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    merged = placed.withColumn("carried", last.over(inside)).filter("kind = 1")
+    long = placed.groupBy("k").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
+    steps = long.select("k", F.explode(F.sequence("lo", "hi")).alias("part"))
+    ends = placed.filter("kind = 0").join(F.broadcast(long.select("k")), "k", "left_semi").groupBy("k", "part").agg(F.max_by("version", "t").alias("version"))
+    before = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    handed = steps.join(ends, ["k", "part"], "left").withColumn("handed", last.over(before)).select("k", "part", "handed")
+    found = merged.join(F.broadcast(handed), ["k", "part"], "left").withColumn("v", F.coalesce("carried", "handed"))
+    ended = F.when(F.col("v.valid_to").isNotNull(), F.col("t") < F.col("v.valid_to")).otherwise(F.col("v.expiry_date").isNull() | (F.col("t") <= F.col("v.expiry_date")))
+    out = found.select("row.*", *[F.when(ended, F.col(f"v.take{i}")).alias(name) for i, name in enumerate(names)])
+    none = df.filter(~timed).select("*", *[F.lit(None).cast(out.schema[name].dataType).alias(name) for name in names])
+    return out.unionByName(none)

@@ -8,7 +8,7 @@ from workmill.functions.keys import assign_keys
 from workmill.functions.measures import MEASURES, task_measures
 from workmill.operators import aggregates, facts, scd2
 from workmill.operators.calendar import dim_time_covering
-from workmill.operators.lookup import lookup_as_of
+from workmill.operators.lookup import lookup_as_of, lookup_as_of_merge
 from workmill.operators.merge import diff_kinds, merge_update
 from workmill.plans.registry import AS_OF, DONE, dec, half_up, query
 from workmill.sources import tables
@@ -461,17 +461,17 @@ def scd2_projects(x):
     )
 
 
-@query(
-    "scd2_as_of",
-    """
+_AS_OF_SQL = """
     WITH v AS (SELECT *, (SELECT min(n.effective_date) FROM {f_dim_users} n
                           WHERE n.user_id = d.user_id AND n.version_number = d.version_number + 1) AS valid_to
                FROM {f_dim_users} d)
     SELECT t.task_id, t.created_at, v.user_key AS assigned_to_key, v.role AS role_then
     FROM {f_tasks} t LEFT JOIN v ON t.assigned_to = v.user_id AND v.effective_date <= t.created_at
      AND CASE WHEN v.valid_to IS NOT NULL THEN t.created_at < v.valid_to
-              ELSE v.expiry_date IS NULL OR t.created_at <= v.expiry_date END""",
-)
+              ELSE v.expiry_date IS NULL OR t.created_at <= v.expiry_date END"""
+
+
+@query("scd2_as_of", _AS_OF_SQL)
 def scd2_as_of(x):
     """The assignee's version when each task was created."""
     take = {"assigned_to_key": "user_key", "role_then": "role"}
@@ -479,6 +479,14 @@ def scd2_as_of(x):
     return found.select("task_id", "created_at", "assigned_to_key", "role_then")
 
 
+@query("scd2_as_of_merge", _AS_OF_SQL)
+def scd2_as_of_merge(x):
+    """The same by merging tasks and versions in time order."""
+    take = {"assigned_to_key": "user_key", "role_then": "role"}
+    found = lookup_as_of_merge(x["f_tasks"], x["f_dim_users"], "assigned_to", "created_at", "user_id", take)
+    return found.select("task_id", "created_at", "assigned_to_key", "role_then")
+
+
 @query(
     "scd2_problems",
     """
@@ -508,6 +516,20 @@ def surrogate_keys(x):
     return assign_keys(x["f_tasks"].select("organization_id", "task_id"), "task_key", ["organization_id", "task_id"], start=101)
 
 
+@query(
+    "dense_keys",
+    """SELECT count(*) AS row_count, CAST(101 AS BIGINT) AS first_key, 100 + count(*) AS last_key, count(*) AS distinct_keys,
+              CAST(sum(task_id) AS BIGINT) AS task_ids FROM {f_tasks}""",
+)
+def dense_keys(x):
+    """Keys without an order: the rows are numbered where they are."""
+    keyed = assign_keys(x["f_tasks"].select("organization_id", "task_id"), "task_key", start=101)
+    return keyed.agg(
+        F.count(F.lit(1)).alias("row_count"), F.min("task_key").alias("first_key"), F.max("task_key").alias("last_key"),
+        F.count_distinct("task_key").alias("distinct_keys"), F.sum("task_id").alias("task_ids"),
+    )
+
+
 # -- layout and maintenance -----------------------------------------------------------
 
 
