@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from workmill.operators import oplog
+from workmill.operators.governance import TenantScope
 from workmill.plans import reports
 from workmill.plans.workflow import Config, WorkflowError, load_tasks, run_workflow
 from workmill.streaming.incremental import Landing, scheduled_run
@@ -212,3 +213,66 @@ def test_failing_landing_is_logged(spark, tmp_path):
     with pytest.warns(UserWarning, match="landing of users failed"):
         batch = scheduled_run(cfg, [land])
     assert [(r["batch_id"], r["error_severity"]) for r in cfg.log.errors().collect()] == [(batch, "CRITICAL")]
+
+
+def test_history_bridge_and_tenants_are_loaded_as_steps(spark, tmp_path):
+    tables = sources(spark)
+    tables["tasks"] = tables["tasks"].withColumn("organization_id", F.when(F.col("project_id") == "p1", "o1").otherwise("o2"))
+    tables["time_logs"] = tables["time_logs"].withColumn("organization_id", F.lit("o1"))
+    pairs = [(f"t{i}", f"u{1 + (i + j) % 3}", DAY(2024, 2, 1)) for i in range(12) for j in range(2)]
+    tables["task_assignments"] = spark.createDataFrame(pairs, "task_id string, user_id string, assigned_at timestamp_ntz")
+    cfg = config(spark, tmp_path, tables, "2024-03-09 12:00:00")
+    cfg.assignments = "task_assignments"
+    run_workflow(cfg)
+    history = cfg.fact("fact_task_history")
+    first = history.read()
+    assert first.filter("change_type = 'INSERT' AND field_changed = 'title'").count() == 12
+    keys = sorted(r[0] for r in first.select("history_key").collect())
+    assert keys == list(range(1, len(keys) + 1))
+    bridge = cfg.fact("bridge_task_assignees")
+    assert bridge.read().count() == 24 and bridge.read().filter("is_primary").count() == 12
+
+    change = F.col("task_id") == "t4"
+    tables["tasks"] = tables["tasks"].withColumns({"title": F.when(change, "renamed").otherwise(F.col("title")), "priority": F.when(change, "high").otherwise(F.col("priority"))})
+    gone = (F.col("task_id") == "t3") & (F.col("user_id") == "u1")
+    tables["task_assignments"] = tables["task_assignments"].filter(~gone).unionByName(spark.createDataFrame([("t5", "u2", DAY(2024, 3, 9))], "task_id string, user_id string, assigned_at timestamp_ntz"))
+    cfg.as_of = "2024-03-10 12:00:00"
+    second = run_workflow(cfg)
+    new = history.read().filter(F.col("history_key") > len(keys))
+    got = {r["field_changed"]: r for r in new.collect()}
+    assert set(got) == {"title", "priority_key"} and (got["title"]["old_value"], got["title"]["new_value"]) == ("Task 4", "renamed")
+    four = cfg.fact("fact_tasks").read().filter("task_id = 't4'").first()
+    assert all((r["change_type"], r["task_key"], r["organization_id"], r["changed_date_key"]) == ("UPDATE", four["task_key"], "o2", 70) for r in got.values())
+    batch = cfg.log.batches().filter((F.col("parent_batch_id") == second) & (F.col("source_system") == "BRIDGE_TASK_ASSIGNEES_LOAD")).first()
+    pair = {(r["task_key"], r["user_key"]) for r in bridge.read().collect()}
+    assert len(pair) == bridge.read().count() == 24 - 1 + (("t5", "u2", DAY(2024, 2, 1)) not in pairs)
+    assert batch["records_updated"] >= 1
+    assert bridge.read().filter(F.col("etl_batch_id") == batch["batch_id"]).count() <= 2
+
+    # Nothing new: no row is added anywhere.
+    versions = [cfg.fact(n).number() for n in ("fact_tasks", "fact_task_history", "bridge_task_assignees")]
+    run_workflow(cfg)
+    assert [cfg.fact(n).number() for n in ("fact_tasks", "fact_task_history", "bridge_task_assignees")] == versions
+
+    scope = TenantScope("o1")
+    for name in ("fact_tasks", "fact_time_logs", "fact_task_history", "bridge_task_assignees"):
+        rows = cfg.fact(name).read()
+        seen = scope.apply(name, rows)
+        assert 0 < seen.count() <= rows.count() and seen.filter("organization_id <> 'o1'").count() == 0, name
+    daily = spark.read.parquet(f"{tmp_path}/agg_daily_task_metrics")
+    assert scope.apply("agg_daily_task_metrics", daily).agg(F.sum("task_count")).first()[0] == 6 * 2
+
+
+def test_history_makes_up_for_a_run_that_died(spark, tmp_path, monkeypatch):
+    tables = sources(spark)
+    cfg = config(spark, tmp_path, tables, "2024-03-09 12:00:00")
+    cfg.keep_versions = 1
+    run_workflow(cfg)
+    n = cfg.fact("fact_task_history").read().count()
+    for day, title in ((10, "a"), (11, "b")):
+        tables["tasks"] = tables["tasks"].withColumn("title", F.when(F.col("task_id") == "t4", title).otherwise(F.col("title")))
+        cfg.as_of = f"2024-03-{day} 12:00:00"
+        load_tasks(cfg)  # the history step never ran
+    run_workflow(cfg)
+    new = cfg.fact("fact_task_history").read().filter(F.col("history_key") > n).collect()
+    assert [(r["field_changed"], r["old_value"], r["new_value"]) for r in new] == [("title", "Task 4", "b")]

@@ -31,8 +31,10 @@ def daily_task_metrics(
     completed: Sequence[str] = ("completed",),
     closed: Sequence[str] = ("completed", "cancelled"),
     batch_id: str | None = None,
+    tenant: Sequence[str] = (),
 ) -> DataFrame:
-    """Snapshot of the task fact by project, status and priority.
+    """Snapshot of the task fact by project, status and priority, and by the
+    `tenant` columns if asked.
 
     open: status known and not closed. Days to complete: calendar days from the
     created to the completed date key, over completed tasks. Ratio: completed
@@ -45,7 +47,7 @@ def daily_task_metrics(
     rows = _with_status(fact, status).join(day["created"], "created_date_key", "left").join(day["completed"], "completed_date_key", "left")
     done = F.col("status_id").isin(*completed)
     is_open = ~F.col("status_id").isin(*closed)
-    out = rows.groupBy("project_key", "status_key", "priority_key").agg(
+    out = rows.groupBy(*tenant, "project_key", "status_key", "priority_key").agg(
         F.count(F.lit(1)).cast("int").alias("task_count"),
         F.count_if(is_open).cast("int").alias("open_tasks"),
         F.count_if(F.col("status_id") == "in_progress").cast("int").alias("in_progress_tasks"),
@@ -76,18 +78,19 @@ def user_workload_agg(
     completed: Sequence[str] = ("completed",),
     closed: Sequence[str] = ("completed", "cancelled"),
     batch_id: str | None = None,
+    tenant: Sequence[str] = (),
 ) -> DataFrame:
-    """Per user and project: tasks as they stand, hours of the last `days` days.
+    """Per user and project (and `tenant` columns): tasks as they stand, hours of the last `days` days.
 
     Tasks and hours are reduced separately to one row per (user, project) and
     then joined, so neither multiplies the other. Of logs stored by start_month
     only the months of those days are read.
     """
-    key = ["user_key", "project_key"]
+    key = [*tenant, "user_key", "project_key"]
     done = F.col("status_id").isin(*completed)
     tasks = (
         _with_status(fact, status)
-        .groupBy(F.col("assigned_to_key").alias("user_key"), "project_key")
+        .groupBy(*tenant, F.col("assigned_to_key").alias("user_key"), "project_key")
         .agg(
             F.count(F.lit(1)).alias("assigned_tasks"),
             F.count_if(done).alias("completed_tasks"),
@@ -102,12 +105,13 @@ def user_workload_agg(
         F.sum("duration_hours").alias("total_hours_logged"), F.sum("billable_hours").alias("billable_hours")
     )
     t, h = tasks.alias("t"), hours.alias("h")
-    same = F.col("t.user_key").eqNullSafe(F.col("h.user_key")) & F.col("t.project_key").eqNullSafe(F.col("h.project_key"))
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"h.{c}")) for c in key]
     both = t.join(h, same, "full").filter(F.coalesce("t.user_key", "h.user_key").isNotNull())
     count = {c: F.coalesce(c, F.lit(0)) for c in ("assigned_tasks", "completed_tasks", "open_tasks", "in_progress_tasks", "overdue_tasks")}
     logged, billed = F.coalesce("total_hours_logged", F.lit(0)), F.coalesce("billable_hours", F.lit(0))
     return both.select(
         _snapshot_key(time, as_of).alias("date_key"),
+        *[F.coalesce(f"t.{c}", f"h.{c}").alias(c) for c in tenant],
         F.coalesce("t.user_key", "h.user_key").alias("user_key"),
         F.coalesce("t.project_key", "h.project_key").alias("project_key"),
         *[c.cast("int").alias(n) for n, c in count.items()],

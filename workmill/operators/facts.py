@@ -256,6 +256,7 @@ def load_fact_time_logs(
         F.lit(None).cast("timestamp_ntz").alias("approval_timestamp"),
         F.lit(batch_id).cast("string").alias("etl_batch_id"),
         (F.lit(None).cast("timestamp_ntz") if as_of is None else at(as_of)).alias("etl_timestamp"),
+        *[c for c in ("organization_id",) if c in logs.columns],
     )
 
 
@@ -269,7 +270,8 @@ def load_bridge(
     """
     owner = tasks.select("task_id", F.col("assigned_to").alias("__owner"))
     rows = assignments.join(owner, "task_id", "left")
-    rows = rows.join(fact_tasks.select("task_id", "task_key"), "task_id")
+    tenant = [c for c in ("organization_id",) if c in fact_tasks.columns]
+    rows = rows.drop(*tenant).join(fact_tasks.select("task_id", "task_key", *tenant), "task_id")
     rows = rows.join(current(users).select("user_id", "user_key"), "user_id")
     rows = date_lookup(rows, time, "assigned_at", "assignment_date_key")
     return rows.select(
@@ -280,17 +282,19 @@ def load_bridge(
         F.col("assigned_at").alias("assignment_timestamp"),
         F.lit(batch_id).cast("string").alias("etl_batch_id"),
         (F.lit(None).cast("timestamp_ntz") if as_of is None else at(as_of)).alias("etl_timestamp"),
+        *tenant,
     )
 
 
-def task_history(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str], as_of) -> DataFrame:
-    """Field-level changes between two snapshots.
+def task_history(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str], as_of, carry: Sequence[str] = ()) -> DataFrame:
+    """Field-level changes between two snapshots, in one pass over both.
 
     INSERT rows list the fields a new task has values in, DELETE rows those a
-    gone task had, UPDATE rows those that differ null-safely.
+    gone task had, UPDATE rows those that differ null-safely. Columns in `carry`
+    come along, from the newer snapshot that has the row.
     """
-    a = old.select(F.col(key).alias("__a"), *[F.col(f).cast("string").alias(f"a_{f}") for f in fields])
-    b = new.select(F.col(key).alias("__b"), *[F.col(f).cast("string").alias(f"b_{f}") for f in fields])
+    a = old.select(F.col(key).alias("__a"), *[F.col(f).cast("string").alias(f"a_{f}") for f in fields], *[F.col(c).alias(f"__a_{c}") for c in carry])
+    b = new.select(F.col(key).alias("__b"), *[F.col(f).cast("string").alias(f"b_{f}") for f in fields], *[F.col(c).alias(f"__b_{c}") for c in carry])
     pairs = a.join(b, F.col("__a") == F.col("__b"), "full")
     kind = F.when(F.col("__a").isNull(), "INSERT").when(F.col("__b").isNull(), "DELETE").otherwise("UPDATE")
     cells = F.array(
@@ -308,10 +312,37 @@ def task_history(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]
     )
     rows = pairs.select(
         F.coalesce("__a", "__b").alias(key),
+        *[F.coalesce(f"__b_{c}", f"__a_{c}").alias(c) for c in carry],
         kind.alias("change_type"),
         F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("cell"),
     )
-    return rows.select(key, "cell.*", "change_type", at(as_of).alias("changed_timestamp"))
+    return rows.select(key, *carry, "cell.*", "change_type", at(as_of).alias("changed_timestamp"))
+
+
+# Columns of the task fact whose changes are kept.
+HISTORY = (*TRACKED, "project_key", "assigned_to_key")
+
+
+def fact_history(old: DataFrame, new: DataFrame, time: DataFrame, as_of, batch_id: str | None = None, fields: Sequence[str] = HISTORY) -> DataFrame:
+    """Changes between two states of the task fact as rows of fact_task_history,
+    without the surrogate. Who changed a row is not in the sources: NULL."""
+    tenant = [c for c in ("organization_id",) if c in new.columns]
+    rows = task_history(old, new, "task_id", fields, as_of, ["task_key", *tenant])
+    rows = date_lookup(rows, time, "changed_timestamp", "changed_date_key")
+    return rows.select(
+        "task_key",
+        F.lit(None).cast("int").alias("changed_by_key"),
+        "changed_date_key",
+        "changed_timestamp",
+        "field_changed",
+        "old_value",
+        "new_value",
+        "change_type",
+        F.concat_ws(" ", F.initcap("change_type"), F.lit("of"), "field_changed").alias("change_description"),
+        F.lit(batch_id).cast("string").alias("etl_batch_id"),
+        at(as_of).alias("etl_timestamp"),
+        *tenant,
+    )
 
 
 def history_from_audit(audit: DataFrame, fields: Mapping[str, str] | Sequence[str]) -> DataFrame:
@@ -353,12 +384,14 @@ def keyed_history(history: DataFrame, fact_tasks: DataFrame, users: DataFrame, t
 
 
 __all__ = [
+    "HISTORY",
     "LOG_TRACKED",
     "TRACKED",
     "UNKNOWN",
     "Dims",
     "FactLoad",
     "classify",
+    "fact_history",
     "history_from_audit",
     "keyed_history",
     "load_bridge",

@@ -37,9 +37,9 @@ class TenantScope:
 
     def apply(self, name: str, df: DataFrame) -> DataFrame:
         """`df` as the current tenant sees table `name`; unset raises."""
-        if name not in SCOPED and "organization_id" in df.columns and name.startswith(("dim_", "fact_", "agg_")):
-            pass  # warehouse tables that carry the tenant are scoped too
-        elif name not in SCOPED:
+        # Warehouse tables that carry the tenant are scoped too.
+        warehouse = "organization_id" in df.columns and name.startswith(("dim_", "fact_", "agg_", "bridge_"))
+        if name not in SCOPED and not warehouse:
             return df.filter(F.lit(False))
         if self._organization is None:
             raise NoTenant(f"no organization set for a read of {name}")

@@ -17,12 +17,13 @@ from workmill.operators.calendar import dim_time
 from workmill.session import cut
 from workmill.sources.dimension import DimensionTable
 from workmill.sources.layout import sorted_within
-from workmill.sources.parts import Parts
+from workmill.sources.parts import Parts, bucket_of
 from workmill.sources.tables import Versions, expired, replace_partitions
 
 # The month column of each stored fact, and the order of its rows in a month.
-MONTHS = {"fact_tasks": "created_month", "fact_time_logs": "start_month"}
+MONTHS = {"fact_tasks": "created_month", "fact_time_logs": "start_month", "fact_task_history": "changed_month"}
 SORTED = {"fact_tasks": ("project_key", "assigned_to_key"), "fact_time_logs": ("user_key", "start_timestamp")}
+BRIDGE, BUCKET = "bridge_task_assignees", "bucket"
 DIMENSIONS = {"dim_users": scd2.USERS, "dim_projects": scd2.PROJECTS, "dim_task_status": scd2.TASK_STATUS, "dim_priority": scd2.PRIORITY}
 
 
@@ -46,6 +47,9 @@ class Config:
     workload_days: int = 1
     keep_versions: int = 3
     dim_buckets: int = 8
+    # Name of the source of task assignments; without one there is no bridge.
+    assignments: str | None = None
+    bridge_buckets: int = 16
     log: oplog.LoadLog = field(init=False)
 
     def __post_init__(self):
@@ -56,8 +60,8 @@ class Config:
         return DimensionTable(self.spark, path, DIMENSIONS[name], self.dim_buckets) if name in DIMENSIONS else Versions(self.spark, path)
 
     def fact(self, name: str) -> Parts:
-        """A stored fact, by month."""
-        return Parts(self.spark, f"{self.root}/{name}", MONTHS[name])
+        """A stored fact, by month (the bridge: by key bucket)."""
+        return Parts(self.spark, f"{self.root}/{name}", MONTHS.get(name, BUCKET))
 
     @property
     def statuses(self) -> dict:
@@ -164,7 +168,8 @@ def _incremental(
         rows = stays.unionByName(changed.select(*fact.columns)).unionByName(fresh.select(*fact.columns))
         table.commit(rows, replaced=months, layout=layout, note={"top": note["top"] + kinds["new"]})
         table.compact()
-        table.prune(cfg.keep_versions)
+        # What the history has not been taken from yet is kept.
+        table.prune(cfg.keep_versions, cfg.fact("fact_task_history").note().get("seen") if name == "fact_tasks" else None)
     return Counts(kinds["new"], kinds["changed"], kinds["unchanged"])
 
 
@@ -206,6 +211,69 @@ def load_time_logs(cfg: Config, parent: str | None = None) -> Counts:
     return _step(cfg, parent, "fact_time_logs", "INCREMENTAL_LOAD", work)
 
 
+def load_history(cfg: Config, parent: str | None = None) -> Counts:
+    """Append the changes of the task fact since the history was last loaded.
+
+    Only partitions whose files changed are compared. What was seen is kept
+    beside the rows it led to, so a run that died is made up for by the next.
+    """
+
+    def work(batch: str) -> Counts:
+        fact, table, month = cfg.fact("fact_tasks"), cfg.fact("fact_task_history"), MONTHS["fact_task_history"]
+        note, number = table.note() or {"seen": 0, "top": 0}, fact.number()
+        if note["seen"] == number:
+            return Counts()
+        old, new = fact.changes(note["seen"])
+        changes = facts.fact_history(new.limit(0) if old is None else old, new, _dims(cfg).time, cfg.as_of, batch)
+        rows = assign_keys(changes.withColumn(month, month_of(F.col("changed_timestamp"))), "history_key", start=note["top"] + 1)
+        n = rows.count()
+        table.commit(rows, note={"seen": number, "top": note["top"] + n})
+        table.compact()
+        table.prune(cfg.keep_versions)
+        return Counts(inserted=n)
+
+    return _step(cfg, parent, "fact_task_history", "INCREMENTAL_LOAD", work)
+
+
+def load_assignments(cfg: Config, parent: str | None = None) -> Counts:
+    """The task/user bridge; only buckets in which a pair came, went or changed
+    are written anew."""
+
+    def work(batch: str) -> Counts:
+        table, key = cfg.fact(BRIDGE), ["task_key", "user_key"]
+        rows = facts.load_bridge(cfg.source(cfg.assignments), cfg.source("tasks"), _fact(cfg, "fact_tasks"), cfg.table("dim_users").current(), _dims(cfg).time, batch, cfg.as_of)
+        buckets = table.note().get("buckets", cfg.bridge_buckets)
+        rows = cut(rows.withColumn(BUCKET, bucket_of(key, buckets)))
+        if not table.exists():
+            table.commit(rows, note={"buckets": buckets})
+            return Counts(inserted=rows.count())
+        stored = table.read()
+        told = [c for c in rows.columns if not c.startswith("etl_") and c not in (*key, BUCKET)]
+        a = stored.select(BUCKET, *key, F.struct(*told).alias("was"))
+        b = rows.select(BUCKET, *key, F.struct(*told).alias("is"))
+        pairs = a.join(b, [BUCKET, *key], "full").withColumn(
+            "kind",
+            F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "gone").when(F.col("was") != F.col("is"), "changed").otherwise("same"),
+        )
+        kinds = cut(pairs.groupBy(BUCKET, "kind").agg(F.count(F.lit(1)).alias("n")))
+        touched = [r[0] for r in kinds.filter("kind <> 'same'").select(BUCKET).distinct().collect()]  # at most the buckets
+        if touched:
+            # Pairs that stay as they are keep the batch that brought them.
+            same = pairs.filter("kind = 'same'").select(BUCKET, *key)
+            stays = stored.filter(F.col(BUCKET).isin(touched)).join(same, [BUCKET, *key], "left_semi")
+            fresh = rows.filter(F.col(BUCKET).isin(touched)).join(same, [BUCKET, *key], "left_anti")
+            table.commit(stays.select(*rows.columns).unionByName(fresh), replaced=touched, note={"buckets": buckets})
+            table.prune(cfg.keep_versions)
+        n = {r[0]: r[1] for r in kinds.groupBy("kind").agg(F.sum("n")).collect()}
+        return Counts(n.get("new", 0), n.get("changed", 0) + n.get("gone", 0), n.get("same", 0))
+
+    return _step(cfg, parent, BRIDGE, "INCREMENTAL_LOAD", work)
+
+
+def _tenant(rows: DataFrame) -> list[str]:
+    return [c for c in ("organization_id",) if c in rows.columns]
+
+
 def _load_snapshot(cfg: Config, name: str, rows: DataFrame) -> Counts:
     """Aggregates are stored by snapshot day; a rerun replaces that day."""
     rows = cut(rows.withColumn("snapshot_date", on(cfg.as_of)))
@@ -216,9 +284,8 @@ def _load_snapshot(cfg: Config, name: str, rows: DataFrame) -> Counts:
 def load_daily_metrics(cfg: Config, parent: str | None = None) -> Counts:
     def work(batch: str) -> Counts:
         dims = _dims(cfg)
-        rows = aggregates.daily_task_metrics(
-            _fact(cfg, "fact_tasks"), dims.status, dims.time, cfg.as_of, batch_id=batch, **cfg.statuses
-        )
+        fact = _fact(cfg, "fact_tasks")
+        rows = aggregates.daily_task_metrics(fact, dims.status, dims.time, cfg.as_of, batch_id=batch, tenant=_tenant(fact), **cfg.statuses)
         return _load_snapshot(cfg, "agg_daily_task_metrics", rows)
 
     return _step(cfg, parent, "agg_daily_task_metrics", "LOAD", work)
@@ -227,14 +294,16 @@ def load_daily_metrics(cfg: Config, parent: str | None = None) -> Counts:
 def load_workload(cfg: Config, parent: str | None = None) -> Counts:
     def work(batch: str) -> Counts:
         dims = _dims(cfg)
+        fact, logs = _fact(cfg, "fact_tasks"), _fact(cfg, "fact_time_logs")
         rows = aggregates.user_workload_agg(
-            _fact(cfg, "fact_tasks"),
-            _fact(cfg, "fact_time_logs"),
+            fact,
+            logs,
             dims.status,
             dims.time,
             cfg.as_of,
             cfg.workload_days,
             batch_id=batch,
+            tenant=_tenant(fact) if _tenant(fact) == _tenant(logs) else [],
             **cfg.statuses,
         )
         return _load_snapshot(cfg, "agg_user_workload", rows)
@@ -250,6 +319,8 @@ def _standard(cfg: Config, parent: str) -> list[Callable[[], Counts]]:
         lambda: load_dimension(cfg, "dim_priority", "priority", scd2.PRIORITY, parent),
         lambda: load_tasks(cfg, parent),
         lambda: load_time_logs(cfg, parent),
+        lambda: load_history(cfg, parent),
+        *([lambda: load_assignments(cfg, parent)] if cfg.assignments else []),
         lambda: load_daily_metrics(cfg, parent),
         lambda: load_workload(cfg, parent),
     ]

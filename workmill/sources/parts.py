@@ -100,6 +100,18 @@ class Parts:
         """Directory name of each partition and the loads it is made of."""
         return self._manifest()["parts"]
 
+    def number(self) -> int:
+        """The number of the newest manifest, 0 before the first."""
+        return self._manifest()["number"]
+
+    def changes(self, since: int) -> tuple[DataFrame | None, DataFrame]:
+        """The partitions whose loads differ from manifest `since`: as they were
+        (None for 0) and as they are. Partitions that did not change are not read."""
+        now = self._manifest()
+        then = self._manifest(since)["parts"] if since else {}
+        names = {n for n in {*then, *now["parts"]} if then.get(n) != now["parts"].get(n)}
+        return (self._rows(then, names, now["schema"]) if since else None), self._rows(now["parts"], names, now["schema"])
+
     def read(self, only: Iterable | None = None, number: int | None = None) -> DataFrame:
         """The table, or the partitions of the given values, as of a manifest.
 
@@ -110,12 +122,15 @@ class Parts:
         if manifest["schema"] is None:
             raise FileNotFoundError(f"nothing was written to {self.path}")
         wanted = None if only is None else {self.directory(v) for v in only}
-        paths = [f"{self.path}/data/load={load}/{name}" for name, loads in manifest["parts"].items() if wanted is None or name in wanted for load in loads]
-        schema = StructType.fromJson(json.loads(manifest["schema"]))
+        return self._rows(manifest["parts"], wanted, manifest["schema"])
+
+    def _rows(self, parts: dict[str, list[str]], wanted: set[str] | None, schema: str) -> DataFrame:
+        paths = [f"{self.path}/data/load={load}/{name}" for name, loads in parts.items() if wanted is None or name in wanted for load in loads]
+        kind = StructType.fromJson(json.loads(schema))
         if not paths:
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*paths)
-        return rows.select(*schema.names)
+            return self.spark.createDataFrame([], kind)
+        rows = self.spark.read.schema(kind).option("basePath", f"{self.path}/data").parquet(*paths)
+        return rows.select(*kind.names)
 
     # -- writing ----------------------------------------------------------------
 
@@ -153,10 +168,7 @@ class Parts:
         manifest = self._manifest()
         many = sorted(name for name, loads in manifest["parts"].items() if len(loads) > most)
         if many:
-            schema = StructType.fromJson(json.loads(manifest["schema"]))
-            paths = [f"{self.path}/data/load={load}/{name}" for name in many for load in manifest["parts"][name]]
-            rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*paths)
-            self.commit(rows.select(*schema.names), replaced=set(many).__contains__)
+            self.commit(self._rows(manifest["parts"], set(many), manifest["schema"]), replaced=set(many).__contains__)
         return many
 
     def drop(self, gone: Callable[[str], bool]) -> list[str]:
@@ -168,11 +180,13 @@ class Parts:
             self._publish({**base, "number": base["number"] + 1, "parts": parts})
         return names
 
-    def prune(self, keep: int = 2) -> int:
-        """Delete what only manifests before the newest `keep` name; returns the
-        directories deleted. A write that is not published yet is not touched."""
+    def prune(self, keep: int = 2, since: int | None = None) -> int:
+        """Delete what only manifests before the newest `keep` (and before `since`)
+        name; returns the directories deleted. A write that is not published
+        yet is not touched."""
         numbers = self._numbers()
-        old, kept = numbers[:-keep], numbers[-keep:]
+        old = [n for n in numbers[:-keep] if since is None or n < since]
+        kept = [n for n in numbers if n not in set(old)]
         used = {(load, name) for n in kept for name, loads in self._manifest(n)["parts"].items() for load in loads}
         dead = {(load, name) for n in old for name, loads in self._manifest(n)["parts"].items() for load in loads} - used
         for load, name in sorted(dead):
