@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workmill.llm.common import chunks, distinct_sample, rows_at_most, with_columns
+from workmill.session import cut
 
 _WORDS = 16  # of a window
 _BREAK = re.compile(r"[^\W\d_]+")
@@ -109,15 +110,39 @@ def _odd_words(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[by
     return [b" " + x + b" " for own in texts[1] for x in sorted(own) if not marks.isdisjoint(_grams(x))]
 
 
-def fit(docs: DataFrame, sample: int = 4000, toxic_size: int = 10_000, ordinary_size: int = 50_000) -> dict:
-    """A model from rows with text and toxic (0 or 1).
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[dict, DataFrame]:
+    """Distinct texts of each label, and about `sample` of them by label.
+
+    Only ids and hashes of the texts meet the labels; the texts of the hashes
+    drawn, which the sample bounds, are then picked out of a scan.
+    """
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("_h", F.xxhash64("text", F.lit(11)))
+    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1)")
+    known = cut(texts.select("doc_id", "_h").join(marks, "doc_id").select("toxic", "_h").distinct())
+    sizes = {r[0]: r[1] for r in rows_at_most(known.groupBy("toxic").count(), 2)}
+    share = F.lit(0.0)
+    for value, n in sizes.items():
+        share = F.when(F.col("toxic") == value, min(1.0, sample / n)).otherwise(share)
+    drawn = known.where(F.pmod("_h", F.lit(1 << 30)) < share * (1 << 30))
+    found = texts.join(F.broadcast(drawn), "_h").groupBy("toxic", "_h").agg(F.first("text").alias("text"))
+    return sizes, found.select("text", "toxic")
+
+
+def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = 4000, toxic_size: int = 10_000, ordinary_size: int = 50_000) -> dict:
+    """A model from rows with text and toxic (0 or 1), or with doc_id and text
+    and `labels` with doc_id and toxic.
 
     About `sample` distinct texts of each class are drawn by a hash of the text
     and fitted on the driver: this is the documented bound. Half of them train
     the dictionaries, the others calibrate; classes weigh as distinct texts do.
+    Null ids, texts and labels teach nothing, rows that repeat count once, and
+    without labelled texts the model is constant.
     """
-    known = docs.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")).where("text IS NOT NULL AND toxic IN (0, 1)")
-    sizes, drawn = distinct_sample(known, "toxic", sample, seed=11, bound=2)
+    if labels is None:
+        known = docs.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")).where("text IS NOT NULL AND toxic IN (0, 1)")
+        sizes, drawn = distinct_sample(known, "toxic", sample, seed=11, bound=2)
+    else:
+        sizes, drawn = labelled_sample(docs, labels, sample)
     if len(sizes) < 2:
         return {"constant": float(max(sizes, default=0))}
     share = {y: min(1.0, sample / n) for y, n in sizes.items()}

@@ -132,7 +132,7 @@ def op8_compression_toxicity(read):
 
     docs = read("documents").select("doc_id", "text")
     labels = read("labels").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    model = fit(docs.join(labels, "doc_id"))
+    model = fit(docs, labels)
     return classify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
