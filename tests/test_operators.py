@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from workmill.operators import governance, opmetrics, quality
 from workmill.operators.facts import keyed_history, task_history
-from workmill.operators import hierarchy
+from workmill.operators import hierarchy, inverted
 from workmill.operators.hierarchy import descendants, forest, reachable
 from workmill.session import cut
+from workmill.operators.inverted import WordIndex
 from workmill.operators.search import build_index, parse, search, search_index, write_index
 from workmill.sources.projection import Inputs
 
@@ -68,11 +69,40 @@ def test_search_rules(spark):
 @pytest.mark.parametrize("text", ["urgent bug", "bug -urgent", '"login page"', '"bug of the page"', "layout or fails login", "page"])
 def test_index_gives_the_same_result(spark, tmp_path, text):
     path = f"{tmp_path}/index"
-    write_index(build_index(docs(spark), "id", F.col("title"), F.col("body"), buckets=8), path, "id", 2)
+    write_index(build_index(docs(spark), "id", F.col("title"), F.col("body"), buckets=8), path)
     got = search_index(spark.read.parquet(path), text, "id")
     assert [(r["id"], float(r["rank"])) for r in got.collect()] == find(spark, text)
     with pytest.raises(ValueError):
         search_index(spark.read.parquet(path), "-urgent", "id")
+    index = WordIndex(spark, f"{tmp_path}/stored", "id", width=2)
+    index.build(docs(spark), F.col("title"), F.col("body"))
+    assert [(r["id"], float(r["rank"])) for r in index.search(text).collect()] == find(spark, text)
+    without = find(spark, "-urgent or layout")
+    assert [(r["id"], float(r["rank"])) for r in index.search("-urgent or layout").collect()] == without
+    assert [(r["id"], float(r["rank"])) for r in search_index(spark.read.parquet(path), "-urgent or layout", "id", docs(spark)).collect()] == without
+
+
+def test_stored_index_skips_directories_and_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inverted, "_CHARS", 20_000)
+    # One word in all documents, one in every 500th, one in a few neighbours.
+    rows = spark.range(0, 4000, 1, 4).select("id", F.when(F.col("id") % 500 == 7, "seldom words").otherwise("some words").alias("t"), F.when(F.col("id").between(507, 510), "near text").otherwise("other text").alias("b"))
+    index = WordIndex(spark, f"{tmp_path}/w", "id", width=100)
+    index.build(rows, F.col("t"), F.col("b"))
+    assert index.postings.note()["buckets"] > 3
+    blocks = index.blocks().select("token", "first", "low", "high", F.size("pairs").alias("n")).collect()
+    assert max(r["n"] for r in blocks) == 100 and sum(r["token"] == "words" for r in blocks) == 40
+    assert all(r["first"] <= r["low"] <= r["high"] < r["first"] + 100 for r in blocks)
+    found = index.search("seldom near words")
+    assert [(r["id"], float(r["rank"])) for r in found.collect()] == [(507, 2.4)]
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in text and "PushedFilters" in text
+    few = index.blocks(["seldom", "near"])
+    assert {f.split("bucket=")[1].split("/")[0] for f in (r[0] for r in few.select(F.input_file_name()).collect())} <= {str(r[0]) for r in few.select("bucket").distinct().collect()}
+    counts = {(r["token"], r["weight"]): (r["word_count"], r["doc_count"]) for r in index.counts().collect()}
+    assert counts == {("words", "A"): (4000, 4000), ("seldom", "A"): (8, 8), ("text", "B"): (4000, 4000), ("near", "B"): (4, 4)}  # "some" and "other" are stop words
+    assert index.search("-words").count() == 0 and index.search("-near").count() == 3996
+    index.build(rows.filter("id < 10"), F.col("t"), F.col("b"))
+    assert index.search("words").count() == 10
 
 
 def test_search_does_not_shuffle(spark):

@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from workmill.sources.layout import clustered
+
 # The usual English stop words.
 STOP_WORDS = tuple(
     """
@@ -133,36 +135,39 @@ def build_index(docs: DataFrame, key: str, title: Column, body: Column, buckets:
     )
 
 
-def write_index(index: DataFrame, path: str, key: str, files_per_bucket: int = 8) -> None:
-    """Save the index by token bucket, a common word spread over several files."""
-    spread = F.pmod(F.hash(key), F.lit(files_per_bucket))
-    (
-        index.repartition("bucket", spread)
-        .sortWithinPartitions("bucket", "token")
-        .write.mode("overwrite")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+def write_index(index: DataFrame, path: str) -> None:
+    """Save the index by token bucket. Rows are cut into ranges of (bucket,
+    token), as many as the shuffle's size asks for, so a common word fills
+    several files and a rare one shares its file."""
+    clustered(index, ["token"], ["bucket"]).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def search_index(index: DataFrame, query: str, key: str) -> DataFrame:
+def search_index(index: DataFrame, query: str, key: str, documents: DataFrame | None = None) -> DataFrame:
     """The same result as `search`, read from the index.
 
-    A query with only barred words has no postings to start from; use `search`.
-    An index that does not tell its number of buckets is read without pruning.
+    An alternative of barred words only has no postings to start from; it needs
+    `documents`, which has every key. An index that does not tell its number of
+    buckets is read without pruning.
     """
     alternatives = parse(query)
-    if any(not a.needed for a in alternatives):
-        raise ValueError("a search in the index needs a wanted word in each alternative")
+    if documents is None and any(not a.needed for a in alternatives):
+        raise ValueError("a search in the index needs a wanted word in each alternative, or the list of documents")
     vocabulary = sorted({w for a in alternatives for entry in (*a.needed, *a.barred) for _, w in entry})
-    wanted = sorted({w for a in alternatives for entry in a.needed for _, w in entry})
     post = index.filter(F.col("token").isin(*vocabulary))
     buckets = index.schema["token"].metadata.get("buckets")
     if buckets:
         numbers = index.sparkSession.createDataFrame([(w,) for w in vocabulary], "w string")
         ids = [r[0] for r in numbers.select(F.pmod(F.hash("w"), F.lit(buckets))).distinct().collect()]
         post = post.filter(F.col("bucket").isin(*ids))
+    everything = documents.select(key) if documents is not None and any(not a.needed for a in alternatives) else None
+    return answer(post, alternatives, key, everything).orderBy(F.desc("rank"), F.asc(key))
 
+
+def answer(post: DataFrame, alternatives: list[Terms], key: str, documents: DataFrame | None = None) -> DataFrame:
+    """(key, rank) of the documents that meet an alternative, from the rows
+    (token, key, pos, weight) of its words; with `documents` also those that
+    have none of them."""
+    wanted = sorted({w for a in alternatives for entry in a.needed for _, w in entry})
     points = F.when(F.col("weight") == "A", 10).otherwise(4)
     entries = list(dict.fromkeys(e for a in alternatives for e in (*a.needed, *a.barred)))
     flag = {e: f"__e{i}" for i, e in enumerate(entries)}
@@ -174,6 +179,8 @@ def search_index(index: DataFrame, query: str, key: str) -> DataFrame:
     for e in entries:
         if len(e) > 1:
             rows = rows.join(_phrase(post, e, key).withColumn(flag[e], F.lit(True)), key, "left")
+    if documents is not None:
+        rows = documents.join(rows, key, "left")
 
     def holds(e: tuple) -> Column:
         return F.coalesce(flag[e], F.lit(False))
@@ -181,8 +188,7 @@ def search_index(index: DataFrame, query: str, key: str) -> DataFrame:
     hit = F.lit(False)
     for a in alternatives:
         hit = hit | _all([holds(e) for e in a.needed] + [~holds(e) for e in a.barred])
-    ranked = rows.filter(hit).select(key, (F.col("__points") / F.lit(10)).cast("decimal(12,1)").alias("rank"))
-    return ranked.orderBy(F.desc("rank"), F.asc(key))
+    return rows.filter(hit).select(key, (F.coalesce("__points", F.lit(0)) / F.lit(10)).cast("decimal(12,1)").alias("rank"))
 
 
 def _phrase(post: DataFrame, entry: tuple, key: str) -> DataFrame:

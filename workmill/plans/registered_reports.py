@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from workmill.operators.hierarchy import forest, subtree_counts
-from workmill.operators.search import build_index, search, search_index
+from workmill.operators.inverted import WordIndex
+from workmill.operators.search import STOP_WORDS, build_index, search, search_index
 from workmill.plans import reports
 from workmill.plans.registry import AS_OF, EVENTS_AS_OF, dec, query
+from workmill.session import shared_folder
 
 NOW = "TIMESTAMP '2000-01-01 10:00:00'"
 MIDNIGHT = "TIMESTAMP '2000-01-01 00:00:00'"
@@ -365,18 +369,40 @@ def search_index_query(x):
     return search_index(build_index(docs, key, title, body), "license released", key)
 
 
+def _stored_index(x) -> WordIndex:
+    docs, key, title, body = _docs(x)
+    index = WordIndex(x.spark, f"{shared_folder(x.spark)}/{x.spark.sparkContext.applicationId}/{uuid.uuid4()}", key, width=256)
+    index.build(docs, title, body)
+    return index
+
+
+@query(
+    "search_stored",
+    _SPACED
+    + f""" SELECT doc_id, {_rank('license', 'thing', 'licensed', 'apache')} AS rank FROM d
+    WHERE (contains(w, ' license ') AND NOT contains(w, ' released ')) OR (contains(w, ' thing ') AND regexp_matches(w, ' licensed [^ ]+ [^ ]+ apache '))""",
+)
+def search_stored(x):
+    """Words, a phrase, an alternative and a barred word in a written index."""
+    return _stored_index(x).search('license -released or thing "licensed under the Apache"')
+
+
+@query("search_without", _SPACED + " SELECT doc_id, CAST(0 AS DOUBLE) AS rank FROM d WHERE NOT contains(w, ' license ')")
+def search_without(x):
+    """Documents without a word: only the list of documents names them."""
+    return _stored_index(x).search("-license")
+
+
 @query(
     "text_index",
     _SPACED
     + """, t AS (SELECT doc_id, unnest(list_filter(string_split(a, ' '), lambda w: w <> '')) AS token, 'A' AS weight FROM d
                 UNION ALL SELECT doc_id, unnest(list_filter(string_split(b, ' '), lambda w: w <> '')), 'B' FROM d)
     SELECT token, weight, count(*) AS word_count, count(DISTINCT doc_id) AS doc_count FROM t
-    WHERE token IN ('license', 'released', 'apache', 'thing', 'der', 'les') GROUP BY 1, 2""",
+    WHERE token NOT IN ("""
+    + ", ".join(f"'{w}'" for w in STOP_WORDS)
+    + ") GROUP BY 1, 2",
 )
 def text_index(x):
-    """Word and document counts read from the index."""
-    docs, key, title, body = _docs(x)
-    index = build_index(docs, key, title, body)
-    picked = index.filter(F.col("token").isin("license", "released", "apache", "thing", "der", "les"))
-    per_doc = picked.groupBy("token", "weight", key).agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("token", "weight").agg(F.sum("n").alias("word_count"), F.count(F.lit(1)).alias("doc_count"))
+    """Word and document counts of every word, read from a written index."""
+    return _stored_index(x).counts()
