@@ -219,6 +219,40 @@ def test_delete_cascades_nulls_and_restricts(spark):
     assert [r["task_id"] for r in gone["task_tags"].collect()] == ["t1"]
 
 
+def test_delete_equals_a_walk_over_all_references(spark):
+    rng = random.Random(6)
+    ref = quality.Ref
+    refs = [ref("a", "up", "a", "id", "cascade"), ref("b", "a1", "a", "id", "cascade"), ref("b", "a2", "a", "id", "cascade"), ref("b", "up", "b", "id", "cascade"),
+            ref("c", "b1", "b", "id", "cascade"), ref("c", "a1", "a", "id", "set_null"), ref("c", "c1", "c", "id", "set_null"), ref("link", "b1", "b", "id", "cascade"), ref("link", "c1", "c", "id", "set_null")]
+    pick = lambda n: rng.choice([None, *range(n)])
+    rows = {
+        "a": [(i, rng.choice([None, max(0, i - 1), pick(i + 1)])) for i in range(30)],
+        "b": [(i, pick(40), pick(30), pick(i + 1)) for i in range(40)],
+        "c": [(i, pick(40), pick(30), pick(40)) for i in range(40)],
+        "link": [(pick(40), pick(40)) for _ in range(40)],
+    }
+    columns = {"a": ["id", "up"], "b": ["id", "a1", "a2", "up"], "c": ["id", "b1", "a1", "c1"], "link": ["b1", "c1"]}
+    tables = {n: spark.createDataFrame(r, ", ".join(f"{c} int" for c in columns[n])) for n, r in rows.items()}
+    gone = {("a", 3), ("a", 11)}
+    while True:
+        more = {(r.child, row[0]) for r in refs if r.action == "cascade" and r.child != "link" for row in rows[r.child] if (r.parent, row[columns[r.child].index(r.fk)]) in gone}
+        if more <= gone:
+            break
+        gone |= more
+    expected = {}
+    for name, own in rows.items():
+        kept = []
+        for row in own:
+            point = {r: (r.parent, row[columns[name].index(r.fk)]) in gone for r in refs if r.child == name}
+            if (name, row[0]) in gone and name != "link" or any(hit for r, hit in point.items() if r.action == "cascade"):
+                continue
+            kept.append(tuple(None if any(hit and r.fk == c and r.action == "set_null" for r, hit in point.items()) else v for c, v in zip(columns[name], row, strict=True)))
+        expected[name] = sorted(map(str, kept))
+    left = quality.delete_with_refs(tables, "a", spark.createDataFrame([(3,), (11,)], "id int"), dict.fromkeys("abc", "id"), refs)
+    assert {n: sorted(str(tuple(r)) for r in df.collect()) for n, df in left.items()} == expected
+    assert {n: df.columns for n, df in left.items()} == columns
+
+
 # -- governance ----------------------------------------------------------------------------
 
 

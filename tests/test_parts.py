@@ -12,6 +12,7 @@ from workmill.operators import scd2
 from workmill.sources import layout, tables
 from workmill.sources.dimension import DimensionTable
 from workmill.sources.parts import Conflict, Parts
+from workmill.sources.profile import Profile
 from workmill.streaming.incremental import NewestTable
 
 DAY = dt.date
@@ -203,3 +204,26 @@ def test_newest_rows_by_bucket(spark, tmp_path):
     assert table.upsert(spark.createDataFrame([(None, 2, "older"), (None, 4, "newer")], "k long, ts int, v string")) == 1
     got = {r["k"]: (r["ts"], r["v"]) for r in table.read().collect()}
     assert len(got) == 4002 and got[5] == (2, "new") and got[None] == (4, "newer") and got[7][0] == 1
+
+
+def test_profile_reads_each_load_once(spark, tmp_path):
+    table = Parts(spark, f"{tmp_path}/t", "month")
+    profile = Profile(spark, f"{tmp_path}/p", table)
+    table.commit(logs(spark, 3))
+    first = profile.refresh()
+    assert len(first) == 1 and profile.refresh() == []
+    table.commit(logs(spark, 6).filter("log_id >= 400").withColumn("n", F.when(F.col("n") > 0, F.col("n"))))
+    second = profile.refresh()
+    assert len(second) == 1 and second != first
+    rows = {r["column_name"]: r for r in profile.read().collect()}
+    n = rows["n"]
+    assert (n["row_count"], n["null_count"], n["min_value"], n["max_value"]) == (120, 3, "0", "19")
+    assert abs(n["distinct_estimate"] - 20) <= 1 and 8 <= n["quantiles"][1] <= 12
+    assert rows["start_time"]["min_value"] == "2024-01-01 08:00:00" and rows["log_id"]["distinct_estimate"] in range(115, 126)
+    # A month written anew: its old load is read again without it, the new one is added.
+    table.commit(logs(spark, 1).withColumn("n", F.lit(1000)), replaced=[DAY(2024, 1, 1)])
+    assert len(profile.refresh()) == 2
+    after = {r["column_name"]: r for r in profile.read().collect()}["n"]
+    assert (after["row_count"], after["max_value"]) == (120, "1000")
+    table.drop(lambda name: True)
+    assert profile.refresh() == [] and {r["row_count"] for r in profile.read().collect()} in ({None}, set())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -186,69 +187,108 @@ REFS = (
 )
 
 
+def _as_text(c: str) -> Column:
+    return F.col(c).cast("string")
+
+
+def _pointers(df: DataFrame, refs: Sequence[Ref], *keep: Column) -> DataFrame:
+    """(keep..., place, table, id): where each row's references point, one scan
+    for all of them. `place` is the reference's place in `refs`."""
+    cells = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(r.parent).alias("table"), _as_text(r.fk).alias("id")) for i, r in enumerate(refs)])
+    return df.select(*keep, F.inline(F.filter(cells, lambda c: c["id"].isNotNull())))
+
+
+def doomed_rows(tables: Mapping[str, DataFrame], table: str, ids: DataFrame, pks: Mapping[str, str], refs: Sequence[Ref]) -> DataFrame:
+    """(table, id as text): every keyed row that goes when `ids` go from `table`.
+
+    One fixed point over the cascade references of all tables: their edges are
+    written once, and a round joins them with the rows found in the round
+    before. References of a table to itself are followed to their end within a
+    round, by pointer doubling, so long chains cost few rounds.
+    """
+    cascades = [r for r in refs if r.action == "cascade" and r.child in pks]
+    edges = []
+    for name in dict.fromkeys(r.child for r in cascades if r.child != r.parent):
+        own = [r for r in cascades if r.child == name != r.parent]
+        edges.append(_pointers(tables[name], own, F.lit(name).alias("child"), _as_text(pks[name]).alias("child_id")).drop("place"))
+    edges = cut(reduce(DataFrame.union, edges)) if edges else None
+    own_refs = [r for r in cascades if r.child == r.parent]
+
+    def with_own(nodes: DataFrame) -> DataFrame:
+        for r in own_refs:
+            here = nodes.filter(F.col("table") == r.child).select("id")
+            if not here.isEmpty():
+                rows = tables[r.child].select(_as_text(r.pk).alias("id"), _as_text(r.fk).alias("above"))
+                below = reachable(rows, here, "id", "above").select(F.lit(r.child).alias("table"), "id")
+                nodes = nodes.union(below).distinct()
+        return nodes
+
+    start = ids.select(F.lit(table).alias("table"), _as_text(ids.columns[0]).alias("id")).distinct()
+    found = fresh = cut(with_own(start))
+    while edges is not None:
+        step = edges.join(fresh, ["table", "id"]).select(F.col("child").alias("table"), F.col("child_id").alias("id")).distinct()
+        fresh = cut(step.join(found, ["table", "id"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        if own_refs:
+            fresh = cut(with_own(fresh).join(found, ["table", "id"], "left_anti"))
+        found = found.union(fresh)
+    return found
+
+
 def delete_with_refs(
     tables: Mapping[str, DataFrame], table: str, ids: DataFrame, pks: Mapping[str, str], refs: Sequence[Ref] = REFS
 ) -> dict[str, DataFrame]:
     """The tables after deleting `ids` (one column, the key) from `table`.
 
-    Deletes follow cascade references parent first; each table loses its doomed
-    rows by an anti join and gets NULL where it pointed at rows that went. A
-    remaining restrict reference raises. Tables are visited on the driver, rows
-    stay distributed; keys to delete are written to the shared folder between
-    tables.
+    What goes is settled first (`doomed_rows`). Then each table is scanned once
+    for references to rows that go, keeping only the keys of rows that have
+    some, and joined once with those: doomed rows leave, references to be
+    cleared get NULL, a restrict reference raises. A table without a key is
+    joined once a reference.
     """
     refs = [r for r in refs if r.child in tables and r.parent in tables and r.fk in tables[r.child].columns]
-    order, seen = [], set()
-
-    def visit(name: str) -> None:
-        if name not in seen:
-            seen.add(name)
-            for r in refs:
-                if r.child == name and r.parent != name and r.action == "cascade":
-                    visit(r.parent)
-            order.append(name)
-
-    for name in tables:
-        visit(name)
-
-    doomed: dict[str, DataFrame] = {}
-    for name in order:
-        pk = pks.get(name)
-        found = []
-        if name == table:
-            found.append(ids.select(F.col(ids.columns[0]).alias("__gone")))
-        for r in refs:
-            if r.child == name and r.parent != name and r.action == "cascade" and r.parent in doomed and pk:
-                rows = tables[name].join(doomed[r.parent], F.col(r.fk) == F.col("__gone"), "left_semi")
-                found.append(rows.select(F.col(pk).alias("__gone")))
-        if not found:
-            continue
-        gone = found[0]
-        for more in found[1:]:
-            gone = gone.union(more)
-        gone = gone.distinct()
-        for r in refs:
-            if r.child == r.parent == name and r.action == "cascade":
-                gone = reachable(tables[name], gone, pk, r.fk).select(F.col(pk).alias("__gone"))
-        doomed[name] = cut(gone)
-
+    doomed = doomed_rows(tables, table, ids, pks, refs)
+    touched = {r[0] for r in doomed.select("table").distinct().collect()}  # at most the tables
     out = {}
     for name, df in tables.items():
-        left = df
-        if name in doomed:
-            left = left.join(doomed[name], F.col(pks[name]) == F.col("__gone"), "left_anti")
-        for r in refs:
-            if r.child != name or r.parent not in doomed or (name == r.parent and r.action == "cascade"):
-                continue
-            hit = doomed[r.parent].select(F.col("__gone").alias("__hit"))
-            if r.action == "cascade" and name not in pks:
-                left = left.join(hit, F.col(r.fk) == F.col("__hit"), "left_anti")
-            elif r.action == "set_null":
-                # A lookup spreads the rows that point at nothing.
-                marked = lookup(left, hit, r.fk, "__hit", {"__mark": "__hit"}, by=pks.get(name))
-                left = marked.withColumn(r.fk, F.when(F.col("__mark").isNull(), F.col(r.fk))).drop("__mark")
-            elif r.action == "restrict":
-                if not df.join(hit, F.col(r.fk) == F.col("__hit"), "left_semi").isEmpty():
-                    raise RestrictedDelete(f"{name}.{r.fk} still refers to deleted rows of {r.parent}")
-        out[name] = left
+        own = [r for r in refs if r.child == name and r.parent in touched and not (r.parent == name and r.action == "cascade")]
+        if name not in pks:
+            out[name] = _unkeyed(name, df, own, doomed)
+            continue
+        if not own and name not in touched:
+            out[name] = df
+            continue
+        key = _as_text(pks[name]).alias("__id")
+        marks = doomed.filter(F.col("table") == name).select(F.col("id").alias("__id"), F.lit(-1).alias("place"))
+        if own:
+            marks = marks.union(_pointers(df, own, key).join(doomed, ["table", "id"]).select("__id", "place"))
+        marks = cut(marks.groupBy("__id").agg(F.collect_set("place").alias("__places")))  # at most the references
+        barred = [i for i, r in enumerate(own) if r.action == "restrict"]
+        if barred:
+            hit = marks.filter(F.arrays_overlap("__places", F.lit(barred))).first()
+            if hit:
+                r = next(own[i] for i in hit["__places"] if i in barred)
+                raise RestrictedDelete(f"{name}.{r.fk} still refers to deleted rows of {r.parent}")
+        left = df.withColumn("__key", key).join(marks, F.col("__key") == F.col("__id"), "left")
+        leaves = [-1, *[i for i, r in enumerate(own) if r.action == "cascade"]]
+        left = left.filter(F.col("__places").isNull() | ~F.arrays_overlap("__places", F.lit(leaves)))
+        cleared = {r.fk: F.when(~F.coalesce(F.array_contains("__places", i), F.lit(False)), F.col(r.fk)) for i, r in enumerate(own) if r.action == "set_null"}
+        out[name] = left.withColumns(cleared).select(*df.columns)
     return out
+
+
+def _unkeyed(name: str, df: DataFrame, own: Sequence[Ref], doomed: DataFrame) -> DataFrame:
+    """The same for a table whose rows have no key to mark them by."""
+    left = df
+    for r in own:
+        hit = doomed.filter(F.col("table") == r.parent).select(F.col("id").alias("__hit"))
+        points = _as_text(r.fk) == F.col("__hit")
+        if r.action == "cascade":
+            left = left.join(hit, points, "left_anti")
+        elif r.action == "set_null":
+            marked = lookup(left.withColumn("__text", _as_text(r.fk)), hit, "__text", "__hit", {"__mark": "__hit"})
+            left = marked.withColumn(r.fk, F.when(F.col("__mark").isNull(), F.col(r.fk))).select(*df.columns)
+        elif not df.join(hit, points, "left_semi").isEmpty():
+            raise RestrictedDelete(f"{name}.{r.fk} still refers to deleted rows of {r.parent}")
+    return left

@@ -17,6 +17,7 @@ from workmill.session import shared_folder
 from workmill.sources import layout, tables
 from workmill.sources.dimension import DimensionTable
 from workmill.sources.parts import Parts
+from workmill.sources.profile import Profile
 
 _MINUTES = "CAST(round((epoch_us(end_time) - epoch_us(start_time)) / 1000000.0) AS BIGINT) // 60"
 
@@ -166,3 +167,37 @@ def workflow_log(x):
     cfg, last = _two_runs(x)
     steps = cfg.log.batches().filter((F.col("parent_batch_id") == last) & F.col("source_system").isin("FACT_TASKS_LOAD", "DIM_USERS_LOAD"))
     return steps.select("source_system", "status", "records_processed", "records_inserted", "records_updated")
+
+
+_PROFILED = "task_id organization_id project_id parent_task_id title status priority created_at due_date actual_hours assigned_to".split()
+
+
+def _shown(c: str) -> str:
+    if c.endswith("_at") or c == "due_date":
+        return f"strftime({{0}}({c}), '%Y-%m-%d %H:%M:%S')"
+    return f"CAST({{0}}({c}) AS VARCHAR)"
+
+
+@query(
+    "profile_of_loads",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, TRUE AS distinct_close, "
+        f"{_shown(c).format('min')} AS min_value, {_shown(c).format('max')} AS max_value, {'FALSE' if c in ('title', 'status', 'priority') else 'TRUE'} AS median_inside FROM {{f_src_tasks}}"
+        for c in _PROFILED
+    ),
+)
+def profile_of_loads(x):
+    """The merged profile of a table written in two loads, the second seen alone."""
+    rows = tables.month_partition(x["f_src_tasks"].select(*_PROFILED), "created_at", "created_month")
+    table = Parts(x.spark, _folder(x), "created_month")
+    profile = Profile(x.spark, _folder(x), table)
+    for part in ("task_id % 9 <> 0", "task_id % 9 = 0"):
+        table.commit(rows.filter(part))
+        profile.refresh()
+    found = profile.read().filter("column_name <> 'created_month'")
+    exact = tables.table_profile(rows.select(*_PROFILED), exact=True).select("column_name", F.col("distinct_count").alias("exact"))
+    # Sketched distinct counts are off by 5 % at most here, and medians lie between the ends.
+    inside = F.coalesce(F.col("quantiles")[1].between(F.col("quantiles")[0], F.col("quantiles")[2]), F.lit(False))
+    return found.join(exact, "column_name").select(
+        "column_name", "row_count", "null_count", (F.abs(F.col("distinct_estimate") - F.col("exact")) <= 0.05 * F.col("exact")).alias("distinct_close"), "min_value", "max_value", inside.alias("median_inside")
+    )

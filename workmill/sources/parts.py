@@ -100,6 +100,15 @@ class Parts:
         """Directory name of each partition and the loads it is made of."""
         return self._manifest()["parts"]
 
+    def schema(self) -> StructType:
+        return StructType.fromJson(json.loads(self._manifest()["schema"]))
+
+    def load(self, load: str) -> DataFrame:
+        """What the table still has of one load."""
+        manifest = self._manifest()
+        own = {name: [load] for name, loads in manifest["parts"].items() if load in loads}
+        return self._rows(own, None, manifest["schema"])
+
     def number(self) -> int:
         """The number of the newest manifest, 0 before the first."""
         return self._manifest()["number"]
