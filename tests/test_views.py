@@ -1,5 +1,7 @@
 """The views and routines by their SQL names."""
 
+import pytest
+
 from workmill.functions.crypto import encrypt_cols
 from workmill.plans import registry, views
 from workmill.sources.projection import Inputs
@@ -45,3 +47,24 @@ def test_sql_names(spark):
     assert spark.sql(f"SELECT is_valid FROM validate_session('T{token % 4000}')").first()[0]
     for name in tables:
         spark.catalog.dropTempView(name)
+
+
+def test_keys_audit_and_tenant_by_their_sql_names(spark):
+    spark.createDataFrame([("main", bytearray(range(32))), ("other", bytearray(range(1, 33)))], "key_name string, key_value binary").createOrReplaceTempView("encryption_keys")
+    spark.range(500).selectExpr("concat('B', id) AS batch_id", "localtimestamp() - make_dt_interval(0, id) AS batch_start_time", "localtimestamp() AS batch_end_time", "'COMPLETED' AS status", "id AS records_processed", "CAST(NULL AS STRING) AS error_message").createOrReplaceTempView("etl_batch_log")
+    made = views.register(spark)
+    assert {"encrypt_data", "decrypt_data", "security_audit", "check_etl_status"} <= set(made)
+    assert spark.sql("SELECT decrypt_data(encrypt_data('héllo', 'main'), 'main')").first()[0] == "héllo"
+    assert spark.sql("SELECT encrypt_data('a', 'main') = encrypt_data('a', 'other')").first()[0] is False
+    with pytest.raises(Exception, match="no key is stored under the name missing"):
+        spark.sql("SELECT encrypt_data('a', 'missing')").collect()
+    rows = {r["setting_name"]: r for r in spark.sql("SELECT * FROM security_audit()").collect()}
+    assert (rows["encryption_keys_count"]["current_value"], rows["encryption_keys_count"]["status"], rows["ssl"]["status"]) == ("2", "PASS", "FAIL")
+    newest = [r["batch_id"] for r in spark.sql("SELECT * FROM check_etl_status(5)").collect()]
+    assert newest[:5] == ["B0", "B1", "B2", "B3", "B4"] and len(newest) <= 6
+    views.set_organization(spark, "o'7")
+    assert spark.sql("SELECT get_current_organization_id()").first()[0] == "o'7"
+    views.set_organization(spark, None)
+    assert spark.sql("SELECT get_current_organization_id()").first()[0] is None
+    for name in ("encryption_keys", "etl_batch_log"):
+        spark.catalog.dropTempView(name)
