@@ -10,7 +10,9 @@ the shards' lists are merged.
 
 For the inner product vectors are lifted to one norm by a further component, so
 that the nearest by angle is the one of largest product; scores are products of
-the original numbers in double precision.
+the original numbers in double precision. Vectors of a shard are of similar size
+(by their largest component), so that a few long ones neither crowd the others
+together nor overflow.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from workmill.llm.common import rows_at_most
 from workmill.session import cut
 
 _ENTRIES = 24  # nodes a search starts from
 _WIDE = 4  # nodes expanded a step
+_BAND = 4  # powers of two that the sizes of a shard's vectors may span
 
 
 class Graph:
@@ -121,7 +125,7 @@ class Graph:
         return np.square(self.points[ids] - queries[:, None]).sum(axis=2)
 
 
-def _build(degree, beam, relax, top, norm):
+def _build(degree, beam, relax, top):
     def run(key, rows):
         vectors = np.array(rows["vector"].tolist(), np.float64)
         order = np.lexsort((rows["vec_id"].to_numpy(), *vectors.T[::-1]))
@@ -131,28 +135,36 @@ def _build(degree, beam, relax, top, norm):
         begin = np.flatnonzero(new)
         own = [part[: top + 1] for part in np.split(ids, begin[1:])]  # a query may drop one
         nodes = vectors[begin]
-        lifted = np.c_[nodes, np.sqrt(np.maximum(norm - np.square(nodes).sum(axis=1), 0))]
-        scale = np.sqrt(norm)
-        graph = Graph(lifted / scale, degree, beam, relax)
-        return pd.DataFrame({"dims": [key[0]], "shard": [key[1]], "graph": [pickle.dumps((graph, nodes, own, scale))]})
+        # Brought near 1 by a common factor before anything is squared.
+        small = nodes / np.abs(nodes).max()
+        norm = np.square(small).sum(axis=1)
+        lifted = np.c_[small, np.sqrt(norm.max() - norm)]
+        graph = Graph(lifted / np.sqrt(norm.max()), degree, beam, relax)
+        return pd.DataFrame({"dims": [key[0]], "shard": [key[1]], "graph": [pickle.dumps((graph, nodes, own))]})
 
     return run
 
 
+def _order(hit: tuple[float, int]) -> tuple:
+    """Largest product first, one that is no number last."""
+    return hit[0] != hit[0], *hit
+
+
 def _search(beam, top):
     def run(key, graphs, queries):
         if not len(graphs) or not len(queries):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "shard": np.zeros(0, np.int32), "found": np.zeros(0, object)})
-        graph, nodes, own, scale = pickle.loads(graphs["graph"].iloc[0])
+        graph, nodes, own = pickle.loads(graphs["graph"].iloc[0])
         name, vector = queries["vec_id"].to_numpy(), np.array(queries["vector"].tolist(), np.float64)
-        length = np.sqrt(np.square(vector).sum(axis=1, keepdims=True))
-        ids, far, _ = graph.search(np.c_[vector / length, np.zeros(len(vector))].astype(np.float32), beam)
+        small = vector / np.abs(vector).max(axis=1, keepdims=True)
+        small /= np.sqrt(np.square(small).sum(axis=1, keepdims=True))
+        ids, far, _ = graph.search(np.c_[small, np.zeros(len(small))].astype(np.float32), beam)
         found = []
         for k in range(len(name)):
             near = ids[k][np.isfinite(far[k])]
             score = np.einsum("ij,j->i", nodes[near], vector[k])
             hits = [(float(-s), int(i)) for s, node in zip(score, near, strict=True) for i in own[node] if i != name[k]]
-            found.append([{"less": s, "vec_id": i} for s, i in sorted(hits)[:top]])
+            found.append([{"less": s, "vec_id": i} for s, i in sorted(hits, key=_order)[:top]])
         return pd.DataFrame({"query_id": name, "shard": key[1], "found": found})
 
     return run
@@ -177,11 +189,23 @@ def nearest(embeddings: DataFrame, queries: DataFrame, top: int = 20, shard_rows
         return rows.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dims", F.size("vector"))
 
     points, asked = cut(valid(embeddings)), cut(valid(queries))
-    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    count, largest = points.agg(F.count("*"), F.max(norm)).first()
-    shards, blocks = max(1, -(-count // shard_rows)), max(1, -(-asked.count() // block))
-    placed = points.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    graphs = cut(placed.groupBy("dims", "shard").applyInPandas(_build(degree, beam, relax, top, (largest or 0.0) * (1 + 1e-12)), "dims int, shard int, graph binary"))
+    # Vectors of one shard are alike in size, within `_BAND` powers of two: bands are few, whatever the rows.
+    size = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+    banded = points.withColumn("band", F.floor(F.log2(size) / _BAND).cast("int"))
+    bands = dict(rows_at_most(banded.groupBy("band").count(), 600))  # doubles have fewer
+    blocks = max(1, -(-asked.count() // block))
+    # Each band has as many shards as its rows ask for, numbered one after the other.
+    first, many, shards = [], [], 0
+    for band, count in sorted(bands.items()):
+        own = -(-count // shard_rows)
+        first += [F.lit(band), F.lit(shards)]
+        many += [F.lit(band), F.lit(own)]
+        shards += own
+    if not shards:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shard = F.element_at(F.create_map(*first), F.col("band")) + F.pmod(F.xxhash64("vec_id"), F.element_at(F.create_map(*many), F.col("band")))
+    placed = banded.withColumn("shard", shard.cast("int")).drop("band")
+    graphs = cut(placed.groupBy("dims", "shard").applyInPandas(_build(degree, beam, relax, top), "dims int, shard int, graph binary"))
     each_block = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     each_shard = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     keys = ("dims", "shard", "block")
