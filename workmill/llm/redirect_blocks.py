@@ -18,10 +18,15 @@ from workmill.llm.components import components
 from workmill.session import cut
 
 _AFTER = "://([^/?#]*)([^?#]*)"
-_LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+# Tags end before the next one begins, so that markup without an end is read once.
+_LINK = r"(?i)<link\b[^<>]*>"
+_META = r"(?i)<meta\b[^<>]*>"
+# The word canonical in rel, in quotes also among others.
+_WORD = r"(?:[^\"'>]*\s)?canonical(?:\s[^\"'>]*)?"
+_CANONICAL = rf"(?i)\srel\s*=\s*(?:\"{_WORD}\"|'{_WORD}'|canonical(?=[\s/>]))"
+_HREF = r"(?i)\shref\s*=\s*[\"']?([^\"'\s>]+)"
+_REFRESH = r"(?i)\shttp-equiv\s*=\s*[\"']?refresh\b"
+_REFRESH_URL = r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
 def _lower(text: Column) -> Column:
@@ -51,12 +56,14 @@ def _absolute(link: Column, base: Column) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(src, dst) of canonical links and refresh redirects in the pages."""
-    found = [
-        F.regexp_extract(F.regexp_extract("html", tag, 0), target, 1)
-        for tag, target in ((_LINK, _HREF), (_REFRESH, _REFRESH_URL))
-    ]
-    link = pages.where("url IS NOT NULL AND html IS NOT NULL").select("url", F.explode(F.array(*found)).alias("link"))
+    """(src, dst) of all canonical links and refresh redirects in the pages."""
+
+    def target(tags: str, kind: str, inside: str) -> Column:
+        found = F.filter(F.regexp_extract_all("html", F.lit(tags), F.lit(0)), lambda tag: tag.rlike(kind))
+        return F.transform(found, lambda tag: F.regexp_extract(tag, inside, 1))
+
+    found = [target(_LINK, _CANONICAL, _HREF), target(_META, _REFRESH, _REFRESH_URL)]
+    link = pages.where("url IS NOT NULL AND html IS NOT NULL").select("url", F.explode(F.concat(*found)).alias("link"))
     return link.where("link != ''").select(_node(F.col("url")).alias("src"), _node(_absolute(F.col("link"), F.col("url"))).alias("dst"))
 
 
