@@ -38,7 +38,7 @@ from workmill.session import cut
 # The characters Unicode calls white space.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNITS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-_CACHE = 800_000
+_CACHE = 100_000  # parts whose ids a worker keeps
 
 
 # The published splitting rule of this vocabulary.
@@ -141,6 +141,7 @@ def _pieces(path: str, capacity: int, end: int):
                 names = ("doc_id", "piece", "start", "length", "ids_crc32", "task", "place")
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=list(names))
+        encode.cache.clear()  # the worker lives on in later steps
 
     return run
 
