@@ -32,12 +32,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near copies.
 
-    Five-word shingles, Jaccard 0.8. Rows that repeat id and text are one;
-    rows without an id stay.
+    Five-word shingles, Jaccard 0.8. Rows that repeat id and text are one; of
+    rows that repeat an id with other texts each is judged by its own. Rows
+    without an id and rows without a word stay, all of them.
     """
-    groups = ngram_jaccard.near_duplicates(docs, width=5, percent=80)
-    losers = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    groups = cut(ngram_jaccard.near_duplicates(docs, width=5, percent=80, text_hash=True))
+    row = ["doc_id", "text_hash"]
+    losers = groups.where("component_id < doc_id").select(*row).distinct()
+    repeated = cut(groups.where("doc_id IS NOT NULL").groupBy(*row).count().where("count > 1").select(*row))
+    left = docs.withColumn("text_hash", F.xxhash64("text")).join(losers, row, "left_anti")
+    if not repeated.isEmpty():
+        once = left.join(repeated, row, "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(repeated, row, "left_anti").unionByName(once)
+    return left.select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
