@@ -42,3 +42,18 @@ def test_stages(spark, tmp_path):
     assert not any(v[1] for v in contamination(list(steps[3].values()), items, 10).values())
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(steps[3])
+
+
+def test_near_duplicates_judges_each_text_of_an_id(spark, tmp_path):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, b), (8, ""), (9, None), (None, a), (None, a), (None, "")]
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(3, a), (5, b), (8, ""), (9, None), (None, a), (None, a), (None, "")], key=str)
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
