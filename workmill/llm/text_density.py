@@ -15,14 +15,20 @@ the plain ratio go, if they are less than a quarter of the text.
 
 Menus, headers, footers, sidebars, notices, adverts, forms and comments that an
 element, a role or a whole class or id token names are left out, unless they wrap
-an article or main element; scripts, styles and hidden elements always are.
-
-Pages are parsed one by one; the largest page bounds a task's memory.
+an article or main element; scripts, styles and hidden elements always are. Names
+of adverts and comments count as parts of a token too. A header inside an article
+is the article's. Class names that would leave nothing of a page are not heeded.
+Inside an article table cells go with the text around them, and links that close
+it in a section with its text are its sources and stay.
+
+Pages are parsed one by one, in time that grows with their length however tags
+nest; the largest page bounds a task's memory.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -44,6 +50,7 @@ _NAMES = frozenset(
     "sponsor sponsored promo promotion comment comments reply replies disqus form newsletter subscribe signup login search share sharing social "
     "related breadcrumb breadcrumbs pagination pager popup modal toolbar skip".split()
 )
+_PARTS = frozenset("ad ads advert adverts advertisement sponsor sponsored comment comments".split())  # also as parts of a token
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _GAP = 2  # lines between content that are filled
@@ -51,6 +58,7 @@ _LIST = 3  # links that make a list
 _APART = 4  # of the mean ratios of two clusters
 _END = 4  # text over text at one end that may go
 _BLANK = re.compile(r"\s+")
+_PART = re.compile("[-_]")
 
 
 class _Line(NamedTuple):
@@ -71,31 +79,37 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, tuple[int, ...], int]] = []  # tag, without text, left-out elements around, section
-        self.sections, self.parent = 0, {0: 0}
-        self.named = 0  # left-out elements so far
-        self.wraps: set[int] = set()  # those of them with an article or main inside
+        self.stack: list[tuple[str, bool, int, int]] = []  # tag, without text, innermost left-out element, section
+        self.open: Counter = Counter()  # tags on the stack
+        self.kind, self.parent = ["body"], [0]  # of sections
+        self.article = [False]  # whether an article or main is around
+        self.outer = [0]  # of left-out elements, numbered from 1: the next one around
+        self.by_class: set[int] = set()  # those that only a class or id names
+        self.wraps: set[int] = {0}  # those with an article or main inside
         self.closed: list[tuple] = []  # pieces of text, tags, links, section, heading
-        self.text: list[tuple[str, bool, tuple[int, ...]]] = []  # piece, in a link, left-out elements around
+        self.text: list[tuple[str, bool, int]] = []  # piece, in a link, innermost left-out element
         self.tags = self.links = 0
-        self.kind = {0: "body"}
 
-    def _top(self) -> tuple[str, bool, tuple[int, ...], int]:
-        return self.stack[-1] if self.stack else ("", False, (), 0)
+    def _top(self) -> tuple[str, bool, int, int]:
+        return self.stack[-1] if self.stack else ("", False, 0, 0)
 
     def _in(self, *tags: str) -> bool:
-        return any(t[0] in tags for t in self.stack)
+        return any(self.open[t] for t in tags)
 
     def close_line(self) -> None:
         if self.text:
             self.closed.append((self.text, self.tags, self.links, self._top()[3], self._in(*_HEADINGS)))
         self.text, self.tags, self.links = [], 0, 0
 
-    def lines(self) -> list[_Line]:
-        """Lines that are not left out; to be called at the end."""
+    def lines(self, heeded: bool = True) -> list[_Line]:
+        """Lines that are not left out, by class names only if `heeded`; to be
+        called at the end."""
+        out = [False]
+        for k in range(1, len(self.outer)):
+            out.append(out[self.outer[k]] or k not in self.wraps and (heeded or k not in self.by_class))
         found = []
         for pieces, tags, links, section, heading in self.closed:
-            own = [(t, link) for t, link, around in pieces if self.wraps.issuperset(around)]
+            own = [(t, link) for t, link, around in pieces if not out[around]]
             if text := _BLANK.sub(" ", "".join(t for t, _ in own)).strip():
                 plain = max(0, len(text) - sum(len(t) for t, link in own if link))
                 found.append(_Line(text, plain, tags, links, section, heading))
@@ -105,7 +119,7 @@ class _Lines(HTMLParser):
         if tag in _BLOCKS:
             self.close_line()
             if tag in ("p", "li", *_HEADINGS, *_SECTIONS) and self._in("p"):
-                self._pop("p", within=True)
+                self._pop("p")
         self.tags += 1
         self.links += tag == "a"
         _, without, around, section = self._top()
@@ -114,26 +128,38 @@ class _Lines(HTMLParser):
         if tag in _VOID:
             return
         without = without or tag in _NO_TEXT
-        out = tag in _LEFT_OUT and not (tag == "header" and self._in("article"))
+        inside = self._in("article")
+        out, named = tag in _LEFT_OUT and not (tag == "header" and inside), False
         for name, value in attrs:
             if name in ("class", "id") and value and tag not in ("html", "body", "article", "main"):
-                out = out or not _NAMES.isdisjoint(value.lower().split())
+                tokens = value.lower().split()
+                known = _NAMES.intersection(tokens)
+                if inside:
+                    known -= {"header"}
+                named = named or bool(known) or not _PARTS.isdisjoint(part for t in tokens for part in _PART.split(t))
             elif name == "role" and (value or "").lower() in _ROLES:
                 out = True
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                 without = True
             elif name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 without = True
-        if tag in ("article", "main") and not self._in("article"):  # an article in an article is a comment or a teaser
-            self.wraps.update(around)
-        if out:
-            self.named += 1
-            around = (*around, self.named)
+        if tag in ("article", "main") and not inside:  # an article in an article is a comment or a teaser
+            wrapped = around
+            while wrapped not in self.wraps:
+                self.wraps.add(wrapped)
+                wrapped = self.outer[wrapped]
+        if out or named:
+            self.outer.append(around)
+            around = len(self.outer) - 1
+            if not out:
+                self.by_class.add(around)
         if tag in _SECTIONS:
-            self.sections += 1
-            self.parent[self.sections], self.kind[self.sections] = section, tag
-            section = self.sections
+            self.parent.append(section)
+            self.kind.append(tag)
+            self.article.append(self.article[section] or tag in ("article", "main"))
+            section = len(self.kind) - 1
         self.stack.append((tag, without, around, section))
+        self.open[tag] += 1
 
     def handle_endtag(self, tag):
         if tag in _BLOCKS:
@@ -141,9 +167,12 @@ class _Lines(HTMLParser):
         self.tags += 1
         self._pop(tag)
 
-    def _pop(self, tag, within=False):
+    def _pop(self, tag):
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
+                self.open.subtract(t[0] for t in self.stack[k:])
                 del self.stack[k:]
                 return
             if self.stack[k][0] in _SECTIONS and tag not in _SECTIONS and tag not in _LEFT_OUT and tag not in _NO_TEXT:
@@ -181,21 +210,28 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     parser.close()
     parser.close_line()
     lines = parser.lines()
+    if not any(line.plain for line in lines):
+        lines = parser.lines(heeded=False)
     if not any(line.plain for line in lines):
         return ""
     ratio = np.array([line.plain / max(1, line.tags) for line in lines])
     seeds = _dense(ratio, sigma, np.log1p)
-    article = {s: _article(s, parser) for s in {line.section for line in lines}}
     weight = [0, 0]
     for k in seeds:
-        weight[article[lines[k].section]] += lines[k].plain
-    only = weight[1] > weight[0]
+        weight[parser.article[lines[k].section]] += lines[k].plain
     blocks = {lines[k].section for k in seeds}
+    only = weight[1] > weight[0]
     if only:
-        lines = [line for line in lines if article[line.section]]
+        # A cell belongs to the section that its table stands in.
+        around = list(range(len(parser.kind)))
+        for k, kind in enumerate(parser.kind):
+            if kind == "td" and parser.article[k]:
+                around[k] = around[parser.parent[k]]
+        blocks = {around[s] for s in blocks}
+        lines = [line._replace(section=around[line.section]) for line in lines if parser.article[line.section]]
     else:
         blocks -= _ends(lines, blocks, {lines[k].section for k in _dense(ratio, sigma)})
-    return "\n".join(lines[k].text for k in _content(lines, blocks))
+    return "\n".join(lines[k].text for k in _content(lines, blocks, only))
 
 
 def _dense(ratio: np.ndarray, sigma: float, scale=np.asarray) -> list[int]:
@@ -224,15 +260,18 @@ def _ends(lines: list[_Line], blocks: set[int], core: set[int]) -> set[int]:
     return gone
 
 
-def _content(lines: list[_Line], blocks: set[int]) -> list[int]:
-    """Lines of content blocks, of short gaps between them and headings before them."""
+def _content(lines: list[_Line], blocks: set[int], article: bool) -> list[int]:
+    """Lines of content blocks, of short gaps between them and headings before
+    them. Links that close an article, in a section with its text, are its sources."""
     keep = [line.section in blocks for line in lines]
+    last = max((k for k in range(len(lines)) if not lines[k].linked), default=-1)
+    texts = {line.section for line in lines if article and not line.linked}
     k = 0
     while k < len(lines):  # runs of links in one section
         end = k + 1
         while end < len(lines) and lines[k].linked and lines[end].linked and lines[end].section == lines[k].section:
             end += 1
-        lists = lines[k].linked and sum(line.links for line in lines[k:end]) >= _LIST
+        lists = lines[k].linked and not (k > last and lines[k].section in texts) and sum(line.links for line in lines[k:end]) >= _LIST
         if lists:
             keep[k:end] = [False] * (end - k)
         k = end
@@ -248,13 +287,6 @@ def _content(lines: list[_Line], blocks: set[int]) -> list[int]:
     return [k for k in range(len(lines)) if keep[k]]
 
 
-def _article(section: int, parser: _Lines) -> bool:
-    """Whether an article or main is around."""
-    while section and parser.kind[section] not in ("article", "main"):
-        section = parser.parent[section]
-    return section > 0
-
-
 def _extract(batches):
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
@@ -269,6 +301,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Character references are decoded, white space inside a block is one blank,
     blocks are joined by a line feed. Null or empty html: empty text. Null ids
     and urls pass through, repeated rows give repeated results, no rows none.
+    Other columns are not read.
     """
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return narrow.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
