@@ -18,24 +18,30 @@ that do not fall together are compared pair by pair in the end, so no link that
 joins two components is lost. Pivot rounds only save work.
 
 Sets are 64-bit shingle hashes; one set is in a task at a time, beside a batch
-of about two megabytes of text.
+of about two megabytes of text. Shingles are counted in `_SHARES` shares of their
+hashes, one after the other, and tables go once they are used, which bounds the
+disk. Classes that hold a thousandth of all rows, of which there are a thousand at
+most, reach their rows by a broadcast.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workmill.llm.common import LOWER, blobs_of, chunks, lists, release, rolling, tidy, word_hashes
+from workmill.llm.common import LOWER, blobs_of, chunks, discard, lists, release, rolling, tidy, word_hashes
 from workmill.llm.components import components
 from workmill.session import cut
 
 _FACTOR = 0x9E3779B97F4A7C15
 _REMIX = np.uint64(0xD6E8FEB86659FD93)
+_SHARES = 4
+_HOT = 1000
 
 
 def _ceil(n, percent: int):
@@ -65,18 +71,18 @@ def _signed(tokens: np.ndarray) -> np.ndarray:
 def _prefixes(width, percent):
     def run(batches):
         for batch in batches:
-            texts, ids = blobs_of(batch, "text"), batch.column("doc_id")
+            texts, ids, hashes = blobs_of(batch, "text"), batch.column("doc_id"), batch.column("text_hash")
             for i, j in chunks(texts):
                 size, digest, need, parts = [], [], [], []
                 for tokens in _sets(texts[i:j], width):
                     n = len(tokens)
                     size.append(n)
-                    digest.append(_digest(tokens))
+                    digest.append(_digest(tokens) if n else None)
                     need.append(max(1, n // 20))
                     parts.append(_signed(tokens[: n - _ceil(n, percent) + need[-1]]))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(need, pa.int64()), lists(np.concatenate(parts), [len(p) for p in parts], pa.int64())],
-                    names=["doc_id", "n", "digest", "need", "prefix"],
+                    [ids.slice(i, j - i), hashes.slice(i, j - i), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(need, pa.int64()), lists(np.concatenate(parts), [len(p) for p in parts], pa.int64())],
+                    names=["doc_id", "text_hash", "n", "digest", "need", "prefix"],
                 )
 
     return run
@@ -129,7 +135,14 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     for side in ("a", "b"):
         ends = ends.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side)
     moved = components(ends.select("la", "lb"), "la", "lb").select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return cut(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+    new = cut(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+    discard(labels, links)
+    return new
+
+
+def _shares(token: DataFrame) -> list[DataFrame]:
+    """The tokens in shares of their hashes (not of their low bits, by which nothing else goes)."""
+    return [token.where(F.pmod(F.shiftrightunsigned("tok", 7), F.lit(_SHARES)) == k) for k in range(_SHARES)]
 
 
 def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
@@ -143,11 +156,17 @@ def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
     of tokens met in other texts.
     """
     token = sets.select("node", "n", F.explode("tokens").alias("tok"))
-    spread = token.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
-    common = token.join(spread, "tok").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("common"))
+    met = []
+    for share in _shares(token):
+        spread = share.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
+        met.append(cut(share.join(spread, "tok").select("node", "n", "df", "tok")))
+        release(sets.sparkSession)
+    common = reduce(DataFrame.unionAll, met).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("common"))
     rest = _prefix_size("n", percent) - (F.col("n").cast("int") - F.size("common"))
     listed = common.where(rest > 0).select("node", "n", F.size("common").alias("s"), F.posexplode(F.slice("common", F.lit(1), rest)).alias("pos", "c"))
-    return listed.select("c.tok", "node", "n", F.expr("CAST(s - pos AS BIGINT) AS left"), F.expr("1000 * s DIV n AS central"))
+    groups = cut(listed.select("c.tok", "node", "n", F.expr("CAST(s - pos AS BIGINT) AS left"), F.expr("1000 * s DIV n AS central")))
+    discard(*met)
+    return groups
 
 
 def _grouped(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -161,25 +180,29 @@ def _grouped(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         active = cut(group.where("parts > 1").select("tok", "pivot", "least_n", "rows", (F.col("rows") * F.col("rows") - F.col("same")).alias("pairs"), F.col("top.label").alias("top")))
         rows, pairs = active.agg(F.sum("rows"), F.sum("pairs")).first()
         if not rows:
+            discard(active, groups)
             return labels
         # A row goes that could not even link with the group's smallest set.
         met = here.join(active, "tok").where(_compatible("n", "least_n", "left", percent))
         if pairs <= 8 * rows or pairs > 0.7 * before:
             break  # few pairs, or pivots no longer help
         before = pairs
-        groups = cut(met.where("node != pivot.node").select(*groups.columns))
+        old, groups = groups, cut(met.where("node != pivot.node").select(*groups.columns))
         found = met.where("label != pivot.label").where(_compatible("n", "pivot.n", "least(left, pivot.left)", percent)).select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct()
         links = cut(_verified(found, sets, percent))
         labels = _relabel(labels, links)
+        discard(old, active)
         release(sets.sparkSession)
     # Every pair of two components has an end outside its group's largest one.
     sides = [met.where(where).select("tok", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "left", "label")]) for s, where in (("a", "label != top"), ("b", "true"))]
     found = sides[0].join(sides[1], "tok").where("label_a != label_b").where(_compatible("n_a", "n_b", "least(left_a, left_b)", percent))
     found = found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    return _relabel(labels, cut(_verified(found, sets, percent)))
+    labels = _relabel(labels, cut(_verified(found, sets, percent)))
+    discard(groups, active)
+    return labels
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, text_hash: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row.
 
     Words stand between ASCII white space, A-Z lower-cased. A text's set holds
@@ -189,26 +212,41 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
 
     No text or no words: an empty set, linked with nothing. A null doc_id: the
     set is counted, component_id is null and nothing links through the row.
-    Rows that repeat an id are judged each by its own text. No rows: no rows.
+    Rows that repeat an id are judged each by its own text; `text_hash` adds a
+    hash of the text as it is, which tells them apart. No rows: no rows.
     """
     spark = docs.sparkSession
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut(narrow.mapInArrow(tidy(_prefixes(width, percent)), "doc_id long, n long, digest binary, need long, prefix array<long>"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    found = cut(narrow.mapInArrow(tidy(_prefixes(width, percent)), "doc_id long, text_hash long, n long, digest binary, need long, prefix array<long>"))
+    rows = cut(found.select("doc_id", "text_hash", "n", "digest"))
     named = rows.where("doc_id IS NOT NULL AND n > 0")
-    token = named.select("doc_id", "digest", "need", F.xxhash64("digest").alias("text"), F.explode("prefix").alias("tok"))
-    shared = token.groupBy("tok").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo < hi").select("tok")
-    enough = token.select("doc_id", "text", "need", "tok").join(shared, "tok", "left_semi").groupBy("doc_id", "text", "need").agg(F.count("*").alias("common")).where("common >= need").select("doc_id", "text")
+    token = found.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "need", F.xxhash64("digest").alias("text"), F.explode("prefix").alias("tok"))
+    counts = []
+    for share in _shares(token):
+        shared = share.groupBy("tok").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo < hi").select("tok")
+        counts.append(cut(share.join(shared, "tok", "left_semi").groupBy("doc_id", "text", "need").agg(F.count("*").alias("common"))))
+        release(spark)
+    enough = reduce(DataFrame.unionAll, counts).groupBy("doc_id", "text", "need").agg(F.sum("common").alias("common")).where("common >= need").select("doc_id", "text")
     able = named.select("doc_id", "digest", F.xxhash64("digest").alias("text")).join(enough, ["doc_id", "text"], "left_semi")
     classes = cut(able.groupBy("digest").agg(F.min("doc_id").alias("node")))
+    discard(found, *counts)
     release(spark)
     texts = narrow.join(classes.select(F.col("node").alias("doc_id"), "node", "digest").hint("shuffle_hash"), "doc_id")
     sets = cut(texts.select("node", "digest", "text").mapInArrow(tidy(_whole_sets(width, percent)), "node long, n long, tokens array<long>, third array<long>"))
     release(spark)
-    groups = cut(_rare_first(sets, percent))
+    groups = _rare_first(sets, percent)
     release(spark)
     labels = _grouped(groups, sets, percent)
     # Every class of equal sets, also of documents that failed the test above.
-    all_classes = named.groupBy("digest").agg(F.min("doc_id").alias("node")).join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
-    out = rows.select("doc_id", "n", "digest").join(all_classes, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    found = named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("c"))
+    all_classes = cut(found.join(labels, "node", "left").select("digest", "c", F.coalesce("label", "node").alias("label")))
+    discard(labels, sets, classes)
+    release(spark)
+    total = rows.count()
+    hot = all_classes.where(F.col("c") * _HOT > total).select("digest", F.col("label").alias("hot"))
+    out = rows.join(F.broadcast(hot), "digest", "left")  # fewer than _HOT rows
+    # Rows that need no class any more, or have none, are spread by their ids.
+    key = F.when(F.col("hot").isNull(), F.hex("digest"))
+    out = out.withColumn("_key", F.coalesce(key, F.xxhash64("doc_id").cast("string"))).join(all_classes.select(F.hex("digest").alias("_key"), "label"), "_key", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("hot", "label")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *(["text_hash"] if text_hash else []))
