@@ -37,7 +37,7 @@ ORDER = 5
 _PAD = bytes(ORDER - 1)  # before a text; byte 0 does not occur in one
 _ONE = 1 << 16  # a bit, in stored numbers
 _UNSEEN = -8 * _ONE  # a byte of which nothing is known
-_PIECE = 1 << 22
+_PIECE = 1 << 21
 _BUCKETS = 1 << 12
 _FACTOR = 0x9E3779B97F4A7C15
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -100,12 +100,16 @@ def _runs(blobs: list, kind: list[int]):
         data = np.frombuffer(b"".join(p for _, p in held), np.uint8)
         key = np.zeros(len(data) - len(_PAD), np.uint64)
         for k in range(ORDER):
-            key = (key << np.uint64(8)) | data[k : k + len(key)]
-        count = np.array([len(p) - len(_PAD) for _, p in held])
-        first = np.cumsum(count + len(_PAD)) - count - len(_PAD)
-        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        text = np.repeat([i for i, _ in held], count)
-        return key[at] | (np.array(kind, np.uint64)[text] << np.uint64(8 * ORDER)), text
+            key <<= np.uint64(8)
+            key |= data[k : k + len(key)]
+        inside = np.ones(len(key), bool)  # all but the runs that begin in one piece and end in the next
+        ends = np.cumsum([len(p) for _, p in held])[:-1]
+        for k in range(1, len(_PAD) + 1):
+            inside[ends - k] = False
+        key = key[inside]
+        text = np.repeat(np.array([i for i, _ in held], np.int32), [len(p) - len(_PAD) for _, p in held])
+        key |= (np.array(kind, np.uint64) << np.uint64(8 * ORDER))[text]
+        return key, text
 
     for i, blob in enumerate(blobs):
         if not blob:
