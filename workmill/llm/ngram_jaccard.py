@@ -231,9 +231,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, text_has
     classes = cut(able.groupBy("digest").agg(F.min("doc_id").alias("node")))
     discard(found, *counts)
     release(spark)
-    texts = narrow.join(classes.select(F.col("node").alias("doc_id"), "node", "digest").hint("shuffle_hash"), "doc_id")
-    sets = cut(texts.select("node", "digest", "text").mapInArrow(tidy(_whole_sets(width, percent)), "node long, n long, tokens array<long>, third array<long>"))
-    release(spark)
+    parts = []
+    for k in range(_SHARES):  # of the documents: texts shuffle once, a share at a time
+        own = F.pmod(F.xxhash64("doc_id"), F.lit(_SHARES)) == k
+        chosen = classes.select(F.col("node").alias("doc_id"), "node", "digest").where(own)
+        texts = narrow.where(own).join(chosen.hint("shuffle_hash"), "doc_id")
+        parts.append(cut(texts.select("node", "digest", "text").mapInArrow(tidy(_whole_sets(width, percent)), "node long, n long, tokens array<long>, third array<long>")))
+        release(spark)
+    sets = reduce(DataFrame.unionAll, parts)
     groups = _rare_first(sets, percent)
     release(spark)
     labels = _grouped(groups, sets, percent)
