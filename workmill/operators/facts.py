@@ -36,7 +36,7 @@ def _with_people(tasks: DataFrame, users: DataFrame, valid_at: str | None) -> Da
     With few users both lookups are broadcasts and nothing moves. Otherwise
     each lookup shuffles its left side; then only the ids go through them and
     come back by all the columns they depend on, so that whole task rows (title,
-    description, labels) shuffle once. The task id is among those columns to
+    description, labels) shuffle once here. The task id is among those columns to
     spread a user with very many tasks; it need not be unique or present.
     """
 
