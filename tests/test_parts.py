@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from workmill.operators import scd2
+from workmill.session import configure
 from workmill.sources import layout, tables
 from workmill.sources.dimension import DimensionTable
 from workmill.sources.parts import Conflict, Parts
@@ -227,3 +228,14 @@ def test_profile_reads_each_load_once(spark, tmp_path):
     assert (after["row_count"], after["max_value"]) == (120, "1000")
     table.drop(lambda name: True)
     assert profile.refresh() == [] and {r["row_count"] for r in profile.read().collect()} in ({None}, set())
+
+
+def test_tasks_get_small_shares_unless_the_cluster_names_a_size(spark):
+    name, session = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark.newSession()
+    session.conf.unset(name)
+    configure(session)
+    # Rows that are joined and grouped lie in a task unpacked, several times over.
+    assert session.conf.get(name) == "16m"
+    session.conf.set(name, "1m")
+    configure(session)
+    assert session.conf.get(name) == "1m"
