@@ -105,6 +105,27 @@ def test_stored_index_skips_directories_and_blocks(spark, tmp_path, monkeypatch)
     assert index.search("words").count() == 10
 
 
+def test_index_shuffles_texts_and_packed_blocks_but_no_words(spark, tmp_path, monkeypatch):
+    seen = []
+
+    def clustered(df, *more):
+        seen.append(df)
+        return real(df, *more)
+
+    real = inverted.layout.clustered
+    monkeypatch.setattr(inverted.layout, "clustered", clustered)
+    written = []
+    monkeypatch.setattr(inverted, "cut", lambda df: written.append(df) or cut(df), raising=False)
+    rows = spark.range(0, 1000, 1, 4).select("id", F.lit("heading").alias("t"), F.concat(F.lit("word w"), F.col("id") % 7).alias("b"))
+    index = WordIndex(spark, f"{tmp_path}/w", "id", width=100)
+    index.build(rows, F.col("t"), F.col("b"))
+    assert dict(seen[0].dtypes)["packed"] == "array<bigint>"
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(first") == 1 and "hashpartitioning(token" not in plan
+    assert sum(r["n"] for r in index.blocks().select(F.size("pairs").alias("n")).collect()) == 3000
+    assert index.search("w3").count() == 143
+
+
 def test_search_does_not_shuffle(spark):
     x = Inputs(spark, SF)
     found = search(x["f_docs"], "license -released", "doc_id", F.col("title"), F.col("body"))

@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from workmill.functions.keys import assign_keys
 from workmill.operators.search import STOP_WORDS, answer, parse, words
+from workmill.session import cut
 from workmill.sources import layout
 from workmill.sources.parts import Parts
 
 _CHARS = 1 << 26  # characters of text a directory of blocks stands for
+_SHARE = 1 << 24  # characters of text a task takes apart at once
 _MOST = 4096
 
 
@@ -39,22 +41,30 @@ class WordIndex:
         chars = numbered.agg(F.sum(F.length(F.concat_ws(" ", "__title", "__body")))).first()[0] or 0
         buckets = max(1, min(_MOST, chars // _CHARS + 1))
         self.listed.commit(numbered.select("doc", self.key, F.lit(0).alias("slot")), replaced=lambda name: True, layout=lambda df: df)
-        split = numbered.select("doc", words(F.col("__title")).alias("__a"), words(F.col("__body")).alias("__b"))
-        rows = split.select("doc", F.size("__a").alias("__len"), F.posexplode(F.concat("__a", "__b")).alias("pos", "token"))
-        rows = rows.filter(~F.col("token").isin(*STOP_WORDS)).withColumn("first", F.col("doc") - F.col("doc") % self.width)
+        # The documents of a range come together as texts, a bounded share of them to a task;
+        # their words are then grouped where they are and never shuffled one by one.
+        shares = max(self.spark.sparkContext.defaultParallelism, chars // _SHARE + 1)
+        ranges = numbered.withColumn("first", F.col("doc") - F.col("doc") % self.width).repartition(shares, "first")
+        split = ranges.select("doc", "first", words(F.col("__title")).alias("__a"), words(F.col("__body")).alias("__b"))
+        rows = split.select("doc", "first", F.size("__a").alias("__len"), F.posexplode(F.concat("__a", "__b")).alias("pos", "token"))
+        rows = rows.filter(~F.col("token").isin(*STOP_WORDS))
         # A place and, in the lowest bit, whether it lies in the body.
-        place = (F.col("pos") * 2 + (F.col("pos") >= F.col("__len")).cast("int")).alias("place")
-        pair = F.struct((F.col("doc") - F.col("first")).cast("int").alias("doc"), place)
-        blocks = rows.groupBy("token", "first").agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
-        blocks = blocks.select(
+        place = (F.col("pos") * 2 + (F.col("pos") >= F.col("__len")).cast("int")).cast("bigint")
+        # One number a pair while they are shuffled and sorted: a struct takes four times the bytes.
+        packed = F.shiftleft(F.col("doc") - F.col("first"), 32).bitwiseOR(place)
+        blocks = rows.groupBy("token", "first").agg(F.sort_array(F.collect_list(packed)).alias("packed"))
+        # Written, as cutting them into ranges reads them twice.
+        blocks = cut(blocks.withColumn("bucket", F.pmod(F.hash("token"), F.lit(buckets))))
+        pairs = F.transform("packed", _unpacked)
+        ready = layout.clustered(blocks, ["token", "first"], ["bucket"]).select(
             "token",
             "first",
-            (F.col("first") + F.col("pairs")[0]["doc"]).alias("low"),
-            (F.col("first") + F.element_at("pairs", -1)["doc"]).alias("high"),
-            "pairs",
-            F.pmod(F.hash("token"), F.lit(buckets)).alias("bucket"),
+            (F.col("first") + F.shiftright(F.col("packed")[0], 32)).alias("low"),
+            (F.col("first") + F.shiftright(F.element_at("packed", -1), 32)).alias("high"),
+            pairs.alias("pairs"),
+            "bucket",
         )
-        self.postings.commit(blocks, replaced=lambda name: True, layout=lambda df: layout.clustered(df, ["token", "first"], ["bucket"]), note={"buckets": buckets})
+        self.postings.commit(ready, replaced=lambda name: True, layout=lambda df: df, note={"buckets": buckets})
         for table in (self.postings, self.listed):
             table.prune(1)
 
@@ -98,5 +108,9 @@ class WordIndex:
         return rows.groupBy("token", "weight").agg(F.sum("n").alias("word_count"), F.sum("docs").alias("doc_count"))
 
 
+def _unpacked(pair: Column) -> Column:
+    return F.struct(F.shiftright(pair, 32).cast("int").alias("doc"), pair.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"))
+
+
 def _marked(bit: int):
     return lambda pair: pair["place"].bitwiseAND(F.lit(1)) == bit
