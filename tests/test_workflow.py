@@ -6,10 +6,11 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from workmill.functions.keys import without_keys
 from workmill.operators import oplog
 from workmill.operators.governance import TenantScope
 from workmill.plans import reports
-from workmill.plans.workflow import Config, WorkflowError, load_tasks, run_workflow
+from workmill.plans.workflow import Config, WorkflowError, load_tasks, load_time_logs, run_workflow
 from workmill.streaming.incremental import Landing, scheduled_run
 
 DAY = dt.datetime
@@ -276,3 +277,67 @@ def test_history_makes_up_for_a_run_that_died(spark, tmp_path, monkeypatch):
     run_workflow(cfg)
     new = cfg.fact("fact_task_history").read().filter(F.col("history_key") > n).collect()
     assert [(r["field_changed"], r["old_value"], r["new_value"]) for r in new] == [("title", "Task 4", "b")]
+
+
+def _shuffled_wide(spark, call, monkeypatch):
+    """Columns of each set of rows that `call` gathers by month."""
+    from workmill.plans import workflow
+
+    seen, gather = [], workflow.balanced
+
+    def watched(rows, by):
+        seen.append(rows.columns)
+        return gather(rows, by)
+
+    monkeypatch.setattr(workflow, "balanced", watched)
+    call()
+    return seen
+
+
+def test_rows_that_stay_are_not_gathered_again(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    tables = sources(spark)
+    run_workflow(config(spark, tmp_path, tables, "2024-03-09 12:00:00"))
+    cfg = config(spark, tmp_path, tables, "2024-03-10 12:00:00")
+    before = {r["time_log_id"]: r.asDict() for r in cfg.fact("fact_time_logs").read().collect()}
+    logs = tables["time_logs"]
+    extra = logs.filter("log_id = 'l1'").withColumn("log_id", F.lit("l99"))
+    tables["time_logs"] = logs.withColumn("hourly_rate", F.when(F.col("log_id") == "l3", F.lit(Decimal("70.00"))).otherwise(F.col("hourly_rate"))).unionByName(extra)
+    joined, real = [], DataFrame.join
+
+    def join(self, other, on=None, how=None):
+        if how == "left_anti":
+            joined.append(on)
+        return real(self, other, on, how)
+
+    monkeypatch.setattr(DataFrame, "join", join)
+    gathered = _shuffled_wide(spark, lambda: load_time_logs(cfg), monkeypatch)
+    # Only changed and new rows, without what follows from their other columns.
+    assert joined == [] and len(gathered) == 1 and "billing_amount" not in gathered[0]
+    after = {r["time_log_id"]: r.asDict() for r in cfg.fact("fact_time_logs").read().collect()}
+    assert cfg.fact("fact_time_logs").read().count() == 25
+    assert {k for k in before if before[k] != after[k]} == {"l3"}
+    assert (after["l3"]["billing_rate"], after["l3"]["time_log_key"]) == (Decimal("70.00"), before["l3"]["time_log_key"])
+    assert after["l99"]["time_log_key"] == 25
+
+
+def test_marks_take_out_the_same_rows_as_a_join(spark):
+    rows = spark.range(1, 100001).selectExpr("id AS k", "id % 7 AS v").unionByName(spark.range(3).selectExpr("CAST(NULL AS BIGINT) AS k", "id AS v"))
+    gone = spark.range(1, 100001).selectExpr("id AS k").filter("k % 3 = 0 OR k IN (1, 64, 65, 32768, 32769)")
+    gone = gone.unionByName(gone.limit(10))
+    want = rows.join(gone, "k", "left_anti").agg(F.count("*"), F.sum("k"), F.sum("v")).first()
+    for most in (1 << 30, 10):
+        found = without_keys(rows, "k", gone, 100000, most)
+        assert found.agg(F.count("*"), F.sum("k"), F.sum("v")).first() == want
+    assert without_keys(rows, "k", gone.limit(0), 100000).count() == 100003
+
+
+def test_every_stored_row_of_a_changed_key_is_replaced(spark, tmp_path):
+    tables = sources(spark)
+    twice = tables["tasks"].unionByName(tables["tasks"].filter("task_id = 't4'").withColumn("title", F.lit("Other")))
+    run_workflow(config(spark, tmp_path, {**tables, "tasks": twice}, "2024-03-09 12:00:00"))
+    cfg = config(spark, tmp_path, tables, "2024-03-10 12:00:00")
+    # One of the two stored rows equals the one that comes in, the other does not.
+    assert (load_tasks(cfg).updated, cfg.fact("fact_tasks").read().filter("task_id = 't4'").count()) == (1, 1)
+    assert cfg.fact("fact_tasks").read().count() == 12

@@ -45,6 +45,32 @@ def assign_keys(df: DataFrame, name: str, order_by: Sequence[str] = (), start: i
     )
 
 
+_WORD = 64  # keys a long has bits for
+_SPAN = 512 * _WORD  # keys a row of marks covers
+
+
+def without_keys(df: DataFrame, name: str, gone: DataFrame, top: int, most: int = 1 << 30) -> DataFrame:
+    """Rows of `df` whose dense key (1 to `top`) is not in `gone`; none is NULL.
+
+    The keys in `gone` are marked as bits, a 64th of what the keys themselves
+    take, so up to `most` keys (128 MB) they are broadcast and `df` stays where it
+    is. Above that both sides shuffle.
+    """
+    if top > most:
+        return df.join(gone.select(name), name, "left_anti")
+    bit = F.col(name) - 1
+    div = lambda c, by: F.call_function("div", c, F.lit(by))
+    words = gone.groupBy(div(bit, _SPAN).alias("__span"), div(bit % _SPAN, _WORD).cast("int").alias("__word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % _WORD).cast("int"))).alias("__bits")
+    )
+    found = F.map_from_entries(F.collect_list(F.struct("__word", "__bits")))
+    marks = words.groupBy("__span").agg(found.alias("__found"))
+    marks = marks.select("__span", F.transform(F.sequence(F.lit(0), F.lit(_SPAN // _WORD - 1)), lambda w: F.coalesce(F.col("__found")[w], F.lit(0).cast("bigint"))).alias("__marks"))
+    word = F.get("__marks", div(bit % _SPAN, _WORD).cast("int"))
+    marked = F.call_function("shiftrightunsigned", word, (bit % _WORD).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    return df.join(F.broadcast(marks), div(bit, _SPAN) == F.col("__span"), "left").filter(~F.coalesce(marked, F.lit(False))).select(*df.columns)
+
+
 def fill_keys(df: DataFrame, name: str, order_by: Sequence[str] = ()) -> DataFrame:
     """Give rows whose surrogate is NULL the next keys after the largest one."""
     top = df.agg(F.max(name)).first()[0]

@@ -153,6 +153,7 @@ def classify(
     surrogate: str,
     tracked: Sequence[str],
     ids: DataFrame | None = None,
+    part: str | None = None,
 ) -> FactLoad:
     """Compare incoming rows with the stored ones on the tracked columns.
 
@@ -160,10 +161,14 @@ def classify(
     take part, so the scan and the shuffle of the fact stay narrow. `ids` holds
     the incoming keys in one column; where they are few enough to broadcast,
     the stored rows are reduced to them before the join and the fact is not
-    shuffled at all.
+    shuffled at all. `part` is a column of the stored rows that comes along as
+    `stored_part`.
     """
     stored = fact.select(
-        F.col(key).alias("__key"), F.col(surrogate).alias("__surrogate"), *[F.col(c).alias(f"__old_{c}") for c in tracked]
+        F.col(key).alias("__key"),
+        F.col(surrogate).alias("__surrogate"),
+        *[F.col(c).alias(f"__old_{c}") for c in tracked],
+        *([F.col(part).alias("stored_part")] if part else []),
     )
     if ids is not None and broadcastable(ids):
         wanted = ids.select(F.col(ids.columns[0]).alias("__wanted"))
@@ -212,43 +217,63 @@ def rewritten_partitions(load: FactLoad, part: str) -> list:
 def load_fact_time_logs(
     logs: DataFrame, fact_tasks: DataFrame, users: DataFrame, time: DataFrame, batch_id: str | None = None, as_of=None
 ) -> DataFrame:
-    """Time logs as fact rows (definitions are ours; only the table is given).
+    """Time logs as fact rows (definitions are ours; only the table is given)."""
+    return with_log_measures(keyed_time_logs(logs, fact_tasks, users), time, batch_id, as_of)
 
-    Minutes are the source's whole minutes; a log still running has 0. Hours
-    are minutes / 60, billable hours are the hours of billable logs, and the
-    amount is billable hours times the hourly rate. Task and project come from
-    the task fact, the user from the current user version.
-    """
+
+def keyed_time_logs(logs: DataFrame, fact_tasks: DataFrame, users: DataFrame) -> DataFrame:
+    """The columns of a time log that do not follow from others, with keys: what
+    is worth shuffling. Task and project come from the task fact, the user from
+    the current user version."""
     optional = {"log_id": "string", "description": "string"}
     missing = {c: F.lit(None).cast(t) for c, t in optional.items() if c not in logs.columns}
     rows = logs.withColumns(missing) if missing else logs
     task = {"task_key": "task_key", "project_key": "project_key"}
     rows = lookup(rows, fact_tasks, "task_id", "task_id", task, nullable=False)
     rows = lookup(rows, current(users), "user_id", "user_id", {"user_key": "user_key"}, nullable=False)
-    rows = date_lookup(rows, time, "start_time", "date_key")
-    rows = date_lookup(rows, time, "end_time", "end_time_key")
-    minutes = amount(F.coalesce(minutes_between(F.col("start_time"), F.col("end_time")), F.lit(0)))
+    return rows.select(
+        F.col("log_id").alias("time_log_id"),
+        "task_key",
+        "user_key",
+        "project_key",
+        F.col("start_time").alias("start_timestamp"),
+        F.col("end_time").alias("end_timestamp"),
+        amount(F.col("hourly_rate"), 15, 2).alias("billing_rate"),
+        F.coalesce("billable", F.lit(False)).alias("is_billable"),
+        "description",
+        *[c for c in ("organization_id",) if c in logs.columns],
+    )
+
+
+def with_log_measures(logs: DataFrame, time: DataFrame, batch_id: str | None = None, as_of=None, also: Sequence[str] = ()) -> DataFrame:
+    """Keyed time logs with all columns of the fact, and those of `also`.
+
+    Minutes are the source's whole minutes; a log still running has 0. Hours
+    are minutes / 60, billable hours are the hours of billable logs, and the
+    amount is billable hours times the hourly rate.
+    """
+    rows = date_lookup(logs, time, "start_timestamp", "date_key")
+    rows = date_lookup(rows, time, "end_timestamp", "end_time_key")
+    minutes = amount(F.coalesce(minutes_between(F.col("start_timestamp"), F.col("end_timestamp")), F.lit(0)))
     rows = rows.withColumn("duration_minutes", minutes)
     rows = rows.withColumn("duration_hours", amount(F.col("duration_minutes") / F.lit(60)))
-    billable = F.coalesce("billable", F.lit(False))
-    rows = rows.withColumn("billable_hours", F.when(billable, F.col("duration_hours")).otherwise(amount(F.lit(0))))
-    rows = rows.withColumn("billing_rate", amount(F.col("hourly_rate"), 15, 2))
+    rows = rows.withColumn("billable_hours", F.when(F.col("is_billable"), F.col("duration_hours")).otherwise(amount(F.lit(0))))
     return rows.select(
-        F.col("log_id").alias("time_log_id"),
+        "time_log_id",
         "task_key",
         "user_key",
         "project_key",
         "date_key",
         F.col("date_key").alias("start_time_key"),
         "end_time_key",
-        F.col("start_time").alias("start_timestamp"),
-        F.col("end_time").alias("end_timestamp"),
+        "start_timestamp",
+        "end_timestamp",
         "duration_minutes",
         "duration_hours",
         "billable_hours",
         "billing_rate",
         amount(F.col("billable_hours") * F.col("billing_rate"), 15, 2).alias("billing_amount"),
-        billable.alias("is_billable"),
+        "is_billable",
         "description",
         F.lit(None).cast("string").alias("activity_type"),
         F.lit(None).cast("string").alias("approval_status"),
@@ -257,6 +282,7 @@ def load_fact_time_logs(
         F.lit(batch_id).cast("string").alias("etl_batch_id"),
         (F.lit(None).cast("timestamp_ntz") if as_of is None else at(as_of)).alias("etl_timestamp"),
         *[c for c in ("organization_id",) if c in logs.columns],
+        *also,
     )
 
 
@@ -291,21 +317,19 @@ def task_history(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]
 
     INSERT rows list the fields a new task has values in, DELETE rows those a
     gone task had, UPDATE rows those that differ null-safely. Columns in `carry`
-    come along, from the newer snapshot that has the row.
+    come along, from the newer snapshot that has the row. Values become text
+    after the join, since most are shorter without.
     """
-    a = old.select(F.col(key).alias("__a"), *[F.col(f).cast("string").alias(f"a_{f}") for f in fields], *[F.col(c).alias(f"__a_{c}") for c in carry])
-    b = new.select(F.col(key).alias("__b"), *[F.col(f).cast("string").alias(f"b_{f}") for f in fields], *[F.col(c).alias(f"__b_{c}") for c in carry])
+    a = old.select(F.col(key).alias("__a"), *[F.col(f).alias(f"a_{f}") for f in fields], *[F.col(c).alias(f"__a_{c}") for c in carry])
+    b = new.select(F.col(key).alias("__b"), *[F.col(f).alias(f"b_{f}") for f in fields], *[F.col(c).alias(f"__b_{c}") for c in carry])
     pairs = a.join(b, F.col("__a") == F.col("__b"), "full")
     kind = F.when(F.col("__a").isNull(), "INSERT").when(F.col("__b").isNull(), "DELETE").otherwise("UPDATE")
+    was, now = ({f: F.col(f"{side}_{f}").cast("string") for f in fields} for side in "ab")
     cells = F.array(
         *[
             F.when(
-                distinct_from(F.col(f"a_{f}"), F.col(f"b_{f}")),
-                F.struct(
-                    F.lit(f).alias("field_changed"),
-                    F.col(f"a_{f}").alias("old_value"),
-                    F.col(f"b_{f}").alias("new_value"),
-                ),
+                distinct_from(was[f], now[f]),
+                F.struct(F.lit(f).alias("field_changed"), was[f].alias("old_value"), now[f].alias("new_value")),
             )
             for f in fields
         ]
@@ -394,6 +418,7 @@ __all__ = [
     "fact_history",
     "history_from_audit",
     "keyed_history",
+    "keyed_time_logs",
     "load_bridge",
     "load_fact_tasks",
     "load_fact_time_logs",
@@ -401,4 +426,5 @@ __all__ = [
     "task_history",
     "rewritten_partitions",
     "touched_partitions",
+    "with_log_measures",
 ]

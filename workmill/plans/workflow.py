@@ -10,19 +10,20 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from workmill.functions.keys import assign_keys
+from workmill.functions.keys import assign_keys, without_keys
 from workmill.functions.moments import month_of, on
 from workmill.operators import aggregates, facts, oplog, scd2
 from workmill.operators.calendar import dim_time
 from workmill.session import cut
 from workmill.sources.dimension import DimensionTable
-from workmill.sources.layout import sorted_within
 from workmill.sources.parts import Parts, bucket_of
-from workmill.sources.tables import Versions, expired, replace_partitions
+from workmill.sources.tables import Versions, balanced, expired, replace_partitions
 
 # The month column of each stored fact, and the order of its rows in a month.
 MONTHS = {"fact_tasks": "created_month", "fact_time_logs": "start_month", "fact_task_history": "changed_month"}
 SORTED = {"fact_tasks": ("project_key", "assigned_to_key"), "fact_time_logs": ("user_key", "start_timestamp")}
+# Of so many loads that rewrite months one gathers all their rows again.
+GATHER = 8
 BRIDGE, BUCKET = "bridge_task_assignees", "bucket"
 DIMENSIONS = {"dim_users": scd2.USERS, "dim_projects": scd2.PROJECTS, "dim_task_status": scd2.TASK_STATUS, "dim_priority": scd2.PRIORITY}
 
@@ -140,39 +141,64 @@ def _incremental(
     surrogate: str,
     tracked: Sequence[str],
     ts: str,
+    finish: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> Counts:
     """Bring a fact stored by month up to date with resolved source rows.
 
     One write: months with a changed row are written anew, new rows of other
     months are added to them, and all become visible together. The highest
-    surrogate lies beside the manifest, so numbering needs no scan.
+    surrogate lies beside the manifest, so numbering needs no scan. `finish`
+    adds the columns that follow from others, after the rows have shuffled.
+
+    Changed and new rows are gathered by month. Rows that stay are in files of
+    their month already and are not, except in every `GATHER`th such load,
+    which keeps files few.
     """
     table, month = cfg.fact(name), MONTHS[name]
     incoming = incoming.withColumn(month, month_of(F.col(ts)))
 
+    def gathered(rows: DataFrame) -> DataFrame:
+        done = finish(balanced(rows, [month]))
+        return done.select(surrogate, *[c for c in done.columns if c not in (surrogate, month)], month)
+
     def layout(rows: DataFrame) -> DataFrame:
-        return sorted_within(rows, [month], SORTED[name])
+        return rows.sortWithinPartitions(month, *SORTED[name])
 
     if not table.exists():
         first = assign_keys(incoming, surrogate)
         n = first.count()
-        table.commit(first, layout=layout, note={"top": n})
+        table.commit(gathered(first), layout=layout, note={"top": n})
         return Counts(inserted=n)
     fact, note = table.read(), table.note()
-    load, kinds = facts.classify(fact, incoming, key, surrogate, tracked, ids).settled()
+    load, kinds = facts.classify(fact, incoming, key, surrogate, tracked, ids, month).settled()
     if kinds["new"] + kinds["changed"]:
-        months = facts.rewritten_partitions(load, month)
-        fresh = assign_keys(load.of("new").drop(surrogate), surrogate, start=note["top"] + 1)
-        changed = load.of("changed")
-        stays = table.read(only=months).join(changed.select(key), key, "left_anti")
-        rows = stays.unionByName(changed.select(*fact.columns)).unionByName(fresh.select(*fact.columns))
-        table.commit(rows, replaced=months, layout=layout, note={"top": note["top"] + kinds["new"]})
+        changed, of_month = load.of("changed"), lambda rows: rows.drop("stored_part")
+        fresh = assign_keys(of_month(load.of("new")).drop(surrogate), surrogate, start=note["top"] + 1)
+        if _alone(fact, changed, key, surrogate, note["top"]):
+            months = [r[0] for r in changed.select("stored_part").distinct().collect()]  # at most the months
+            stays = without_keys(table.read(only=months), surrogate, changed, note["top"])
+        else:
+            months = facts.rewritten_partitions(load, month)
+            stays = table.read(only=months).join(changed.select(key), key, "left_anti")
+        loads = note.get("loads", 0) + 1
+        stays = balanced(stays, [month]) if loads % GATHER == 0 else stays
+        rows = stays.unionByName(gathered(of_month(changed).unionByName(fresh)).select(*fact.columns))
+        table.commit(rows, replaced=months, layout=layout, note={"top": note["top"] + kinds["new"], "loads": loads})
         table.compact()
         # What the history has not been taken from yet is kept.
         table.prune(cfg.keep_versions, cfg.fact("fact_task_history").note().get("seen") if name == "fact_tasks" else None)
     return Counts(kinds["new"], kinds["changed"], kinds["unchanged"])
 
 
+def _alone(fact: DataFrame, changed: DataFrame, key: str, surrogate: str, top: int) -> bool:
+    """Whether the stored rows with the key of a changed one are those whose
+    numbers the changed rows bear. Hashes of keys only: equal ones of different
+    keys say no, which costs time alone."""
+    others = without_keys(fact.filter(F.col(key).isNotNull()).select(surrogate, key), surrogate, changed, top)
+    hashed = [rows.select(F.xxhash64(key).alias("__hash")) for rows in (others, changed)]
+    return hashed[0].join(hashed[1], "__hash", "left_semi").count() == 0
+
+
 def drop_expired(cfg: Config, name: str, days: int) -> list[str]:
     """Take months out of a stored fact that ended before the last `days` days;
     no row is read or written."""
@@ -196,7 +222,7 @@ def load_time_logs(cfg: Config, parent: str | None = None) -> Counts:
 
     def work(batch: str) -> Counts:
         dims, logs = _dims(cfg), cfg.source("time_logs")
-        rows = facts.load_fact_time_logs(logs, _fact(cfg, "fact_tasks"), dims.users, dims.time, batch, cfg.as_of)
+        rows = facts.keyed_time_logs(logs, _fact(cfg, "fact_tasks"), dims.users)
         return _incremental(
             cfg,
             "fact_time_logs",
@@ -206,6 +232,7 @@ def load_time_logs(cfg: Config, parent: str | None = None) -> Counts:
             "time_log_key",
             facts.LOG_TRACKED,
             "start_timestamp",
+            lambda found: facts.with_log_measures(found, dims.time, batch, cfg.as_of, ["time_log_key", MONTHS["fact_time_logs"]]),
         )
 
     return _step(cfg, parent, "fact_time_logs", "INCREMENTAL_LOAD", work)
@@ -227,7 +254,8 @@ def load_history(cfg: Config, parent: str | None = None) -> Counts:
         changes = facts.fact_history(new.limit(0) if old is None else old, new, _dims(cfg).time, cfg.as_of, batch)
         rows = assign_keys(changes.withColumn(month, month_of(F.col("changed_timestamp"))), "history_key", start=note["top"] + 1)
         n = rows.count()
-        table.commit(rows, note={"seen": number, "top": note["top"] + n})
+        # All of one month, that of the load, so there is nothing to gather.
+        table.commit(rows, layout=lambda df: df, note={"seen": number, "top": note["top"] + n})
         table.compact()
         table.prune(cfg.keep_versions)
         return Counts(inserted=n)
