@@ -1,6 +1,8 @@
 """The full load on a small warehouse, its logs, and its failures."""
 
 import datetime as dt
+import os
+import shutil
 from decimal import Decimal
 
 import pytest
@@ -11,6 +13,7 @@ from workmill.operators import oplog
 from workmill.operators.governance import TenantScope
 from workmill.plans import reports
 from workmill.plans.workflow import Config, WorkflowError, load_tasks, load_time_logs, run_workflow
+from workmill.session import shared_folder
 from workmill.streaming.incremental import Landing, scheduled_run
 
 DAY = dt.datetime
@@ -341,3 +344,69 @@ def test_every_stored_row_of_a_changed_key_is_replaced(spark, tmp_path):
     # One of the two stored rows equals the one that comes in, the other does not.
     assert (load_tasks(cfg).updated, cfg.fact("fact_tasks").read().filter("task_id = 't4'").count()) == (1, 1)
     assert cfg.fact("fact_tasks").read().count() == 12
+
+
+def _left(spark):
+    """Tables that `cut` has written and nothing deleted."""
+    folder = f"{shared_folder(spark).removeprefix('file:')}/{spark.sparkContext.applicationId}"
+    return {name for name in os.listdir(folder) if os.path.exists(f"{folder}/{name}/_SUCCESS")} if os.path.isdir(folder) else set()
+
+
+def _second(spark, root, tables):
+    """The stored logs after a load in which each third log has a new rate, one
+    came, two have no key and one comes twice; and the counts of that load."""
+    cfg = config(spark, root, tables, "2024-03-10 12:00:00")
+    load_time_logs(cfg)
+    logs = tables["time_logs"]
+    third = F.substring("log_id", 2, 9).cast("int") % 3 == 0
+    changed = logs.withColumn("hourly_rate", F.when(third, F.lit(Decimal("70.00"))).otherwise(F.col("hourly_rate")))
+    nameless = logs.filter("log_id IN ('l1', 'l2')").withColumn("log_id", F.lit(None).cast("string"))
+    came = logs.filter("log_id = 'l1'").withColumn("log_id", F.lit("l99"))
+    more = changed.unionByName(came).unionByName(nameless).unionByName(logs.filter("log_id = 'l5'"))
+    cfg.source = {**tables, "time_logs": more}.__getitem__
+    done = load_time_logs(cfg)
+    found = cfg.fact("fact_time_logs").read().drop("etl_batch_id").orderBy("time_log_key").collect()
+    # New rows are numbered where they are.
+    return done, [r["time_log_key"] for r in found], sorted(str({**r.asDict(), "time_log_key": min(r["time_log_key"], done.unchanged + done.updated)}) for r in found)
+
+
+def test_many_logs_are_compared_in_shares(spark, tmp_path, monkeypatch):
+    from workmill.plans import workflow
+
+    tables, seen, real = sources(spark), [], workflow.facts.classify
+    cfg = config(spark, tmp_path / "a", tables, "2024-03-09 12:00:00")
+    workflow.load_time(cfg)
+    for step in workflow._standard(cfg, None)[:5]:
+        step()
+    for copy in "bc":
+        shutil.copytree(tmp_path / "a", tmp_path / copy)
+    monkeypatch.setattr(workflow.facts, "classify", lambda *args: seen.append(args[2]) or real(*args))
+    monkeypatch.setattr(workflow, "broadcastable", lambda rows: False)
+    done, keys, rows = _second(spark, tmp_path / "a", tables)
+    assert seen == ["time_log_id"] * workflow.SHARES
+    assert (done.processed, done.inserted, done.updated) == (28, 3, 8)
+    # With two logs there are shares without any.
+    few = _second(spark, tmp_path / "c", tables | {"time_logs": tables["time_logs"].filter("log_id IN ('l1', 'l5')")})[0]
+    assert (few.processed, few.inserted, few.updated) == (5, 2, 0)
+    monkeypatch.setattr(workflow, "SHARES", 1)
+    assert _second(spark, tmp_path / "b", tables) == (done, keys, rows)
+
+
+def test_runs_leave_no_tables_or_shuffles_of_their_own(spark, tmp_path, monkeypatch):
+    from workmill.plans import workflow
+
+    tables, cleared, real = sources(spark), [], workflow.release
+    monkeypatch.setattr(workflow, "release", lambda session: cleared.append(session) or real(session))
+    assignments = spark.createDataFrame([("t1", "u1", DAY(2024, 3, 1)), ("t2", "u2", DAY(2024, 3, 1))], "task_id string, user_id string, assigned_at timestamp_ntz")
+    before = _left(spark)
+    for day in ("09", "10"):
+        cfg = config(spark, tmp_path, {**tables, "assignments": assignments}, f"2024-03-{day} 12:00:00")
+        cfg.assignments = "assignments"
+        last = run_workflow(cfg)
+        assert _left(spark) == before
+        title = F.when(F.col("task_id") == "t4", F.lit("b")).otherwise(F.col("title"))
+        role = F.when(F.col("user_id") == "u2", F.lit("admin")).otherwise(F.col("role"))
+        tables |= {"tasks": tables["tasks"].withColumn("title", title), "users": tables["users"].withColumn("role", role)}
+        assignments = assignments.filter("task_id = 't1'")
+    assert len(cleared) > cfg.log.batches().filter(F.col("parent_batch_id").isNotNull()).count()
+    assert cfg.fact("fact_tasks").read().filter("title = 'b'").count() == 1 and last

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from workmill.session import discard, release  # noqa: F401
+
 _BYTES = bytes(range(256))
 LOWER = _BYTES.lower()  # A-Z lower-cased, every other byte kept
 # Lower-cased, and what is no ASCII digit, letter or non-ASCII byte made a blank.
@@ -125,29 +126,6 @@ def with_columns(df: DataFrame, added: str, make: Callable, dropped: tuple[str,
     return df.mapInArrow(tidy(make(to_arrow_schema(schema))), schema)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps.
-
-    The cleaner follows the driver's garbage collection, which an idle driver
-    seldom runs; without this the disk keeps every step's shuffles.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that `cut` wrote, once what was made of them is written too.
-
-    Only folders right below this application's own are deleted.
-    """
-    for table in tables:
-        sc = table.sparkSession.sparkContext
-        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
-            if folder.split("/")[-2] == sc.applicationId:
-                path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def distinct_sample(docs: DataFrame, by: str, sample: int, seed: int, bound: int) -> tuple[dict, DataFrame]:
     """Distinct texts of each value of `by`, and about `sample` of them by value.
 

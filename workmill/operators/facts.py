@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
@@ -221,28 +221,34 @@ def load_fact_time_logs(
     return with_log_measures(keyed_time_logs(logs, fact_tasks, users), time, batch_id, as_of)
 
 
-def keyed_time_logs(logs: DataFrame, fact_tasks: DataFrame, users: DataFrame) -> DataFrame:
+def keyed_time_logs(
+    logs: DataFrame, fact_tasks: DataFrame, users: DataFrame, settle: Callable[[DataFrame], DataFrame] = lambda rows: rows
+) -> DataFrame:
     """The columns of a time log that do not follow from others, with keys: what
     is worth shuffling. Task and project come from the task fact, the user from
-    the current user version."""
+    the current user version. `settle` gets the rows between the two lookups."""
     optional = {"log_id": "string", "description": "string"}
     missing = {c: F.lit(None).cast(t) for c, t in optional.items() if c not in logs.columns}
     rows = logs.withColumns(missing) if missing else logs
     task = {"task_key": "task_key", "project_key": "project_key"}
     rows = lookup(rows, fact_tasks, "task_id", "task_id", task, nullable=False)
-    rows = lookup(rows, current(users), "user_id", "user_id", {"user_key": "user_key"}, nullable=False)
-    return rows.select(
-        F.col("log_id").alias("time_log_id"),
-        "task_key",
-        "user_key",
-        "project_key",
-        F.col("start_time").alias("start_timestamp"),
-        F.col("end_time").alias("end_timestamp"),
-        amount(F.col("hourly_rate"), 15, 2).alias("billing_rate"),
-        F.coalesce("billable", F.lit(False)).alias("is_billable"),
-        "description",
-        *[c for c in ("organization_id",) if c in logs.columns],
+    tenant = [c for c in ("organization_id",) if c in logs.columns]
+    rows = settle(
+        rows.select(
+            F.col("log_id").alias("time_log_id"),
+            "user_id",
+            "task_key",
+            "project_key",
+            F.col("start_time").alias("start_timestamp"),
+            F.col("end_time").alias("end_timestamp"),
+            amount(F.col("hourly_rate"), 15, 2).alias("billing_rate"),
+            F.coalesce("billable", F.lit(False)).alias("is_billable"),
+            "description",
+            *tenant,
+        )
     )
+    rows = lookup(rows, current(users), "user_id", "user_id", {"user_key": "user_key"}, nullable=False)
+    return rows.select("time_log_id", "task_key", "user_key", "project_key", "start_timestamp", "end_timestamp", "billing_rate", "is_billable", "description", *tenant)
 
 
 def with_log_measures(logs: DataFrame, time: DataFrame, batch_id: str | None = None, as_of=None, also: Sequence[str] = ()) -> DataFrame:

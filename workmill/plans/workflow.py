@@ -6,6 +6,7 @@ import traceback
 import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from workmill.functions.keys import assign_keys, without_keys
 from workmill.functions.moments import month_of, on
 from workmill.operators import aggregates, facts, oplog, scd2
 from workmill.operators.calendar import dim_time
-from workmill.session import cut
+from workmill.session import broadcastable, cut, discard, release
 from workmill.sources.dimension import DimensionTable
 from workmill.sources.parts import Parts, bucket_of
 from workmill.sources.tables import Versions, balanced, expired, replace_partitions
@@ -24,6 +25,10 @@ MONTHS = {"fact_tasks": "created_month", "fact_time_logs": "start_month", "fact_
 SORTED = {"fact_tasks": ("project_key", "assigned_to_key"), "fact_time_logs": ("user_key", "start_timestamp")}
 # Of so many loads that rewrite months one gathers all their rows again.
 GATHER = 8
+# A large load is compared with the stored rows in so many shares of their keys.
+SHARES = 4
+# Keys of these types are equal exactly if they are the same type and value.
+_PLAIN = ("string", "int", "bigint")
 BRIDGE, BUCKET = "bridge_task_assignees", "bucket"
 DIMENSIONS = {"dim_users": scd2.USERS, "dim_projects": scd2.PROJECTS, "dim_task_status": scd2.TASK_STATUS, "dim_priority": scd2.PRIORITY}
 
@@ -86,6 +91,7 @@ def _step(cfg: Config, parent: str | None, table: str, operation: str, work: Cal
     began = oplog.now()
     try:
         done = work(batch)
+        release(cfg.spark)
     except Exception as problem:
         code, text = type(problem).__name__, str(problem)
         cfg.log.error(batch, "ERROR", code, text, table, data={"error_context": f"load of {table}", "trace": traceback.format_exc()})
@@ -142,6 +148,8 @@ def _incremental(
     tracked: Sequence[str],
     ts: str,
     finish: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    shares: int = 1,
+    rests: Sequence[DataFrame] = (),
 ) -> Counts:
     """Bring a fact stored by month up to date with resolved source rows.
 
@@ -153,6 +161,11 @@ def _incremental(
     Changed and new rows are gathered by month. Rows that stay are in files of
     their month already and are not, except in every `GATHER`th such load,
     which keeps files few.
+
+    What a phase shuffled and wrote for itself goes when the next has its rows,
+    so the disk holds one at a time. `shares` says in how many the rows are
+    compared; `incoming` is computed anew for each. `rests` are tables written
+    for `incoming` alone, which go too.
     """
     table, month = cfg.fact(name), MONTHS[name]
     incoming = incoming.withColumn(month, month_of(F.col(ts)))
@@ -166,11 +179,14 @@ def _incremental(
 
     if not table.exists():
         first = assign_keys(incoming, surrogate)
+        release(cfg.spark)
         n = first.count()
         table.commit(gathered(first), layout=layout, note={"top": n})
+        discard(first)
         return Counts(inserted=n)
     fact, note = table.read(), table.note()
-    load, kinds = facts.classify(fact, incoming, key, surrogate, tracked, ids, month).settled()
+    load, kinds, delta = _compared(cfg, fact, incoming, key, surrogate, tracked, ids, month, shares)
+    discard(*rests)
     if kinds["new"] + kinds["changed"]:
         changed, of_month = load.of("changed"), lambda rows: rows.drop("stored_part")
         fresh = assign_keys(of_month(load.of("new")).drop(surrogate), surrogate, start=note["top"] + 1)
@@ -184,12 +200,35 @@ def _incremental(
         stays = balanced(stays, [month]) if loads % GATHER == 0 else stays
         rows = stays.unionByName(gathered(of_month(changed).unionByName(fresh)).select(*fact.columns))
         table.commit(rows, replaced=months, layout=layout, note={"top": note["top"] + kinds["new"], "loads": loads})
+        discard(fresh)
         table.compact()
         # What the history has not been taken from yet is kept.
         table.prune(cfg.keep_versions, cfg.fact("fact_task_history").note().get("seen") if name == "fact_tasks" else None)
+    discard(*delta)
     return Counts(kinds["new"], kinds["changed"], kinds["unchanged"])
 
 
+def _compared(
+    cfg: Config, fact: DataFrame, incoming: DataFrame, key: str, surrogate: str, tracked: Sequence[str], ids: DataFrame, part: str, shares: int
+) -> tuple[facts.FactLoad, dict[str, int], list[DataFrame]]:
+    """The new and changed rows, written; how many rows there are of each kind;
+    and the tables written.
+
+    Equal keys are in the same share, and the shuffles of a share go before the
+    next one's come.
+    """
+    if incoming.schema[key].dataType != fact.schema[key].dataType or fact.schema[key].dataType.simpleString() not in _PLAIN:
+        shares = 1
+    delta, kinds = [], {}
+    for share in range(shares):
+        own = F.pmod(F.xxhash64(key), F.lit(shares)) == share if shares > 1 else F.lit(True)
+        load, found = facts.classify(fact.filter(own), incoming.filter(own), key, surrogate, tracked, ids, part).settled()
+        release(cfg.spark)
+        delta.append(load.classified)
+        kinds = {kind: kinds.get(kind, 0) + n for kind, n in found.items()}
+    return facts.FactLoad(fact, reduce(DataFrame.unionByName, delta), key, surrogate), kinds, delta
+
+
 def _alone(fact: DataFrame, changed: DataFrame, key: str, surrogate: str, top: int) -> bool:
     """Whether the stored rows with the key of a changed one are those whose
     numbers the changed rows bear. Hashes of keys only: equal ones of different
@@ -218,21 +257,36 @@ def load_tasks(cfg: Config, parent: str | None = None) -> Counts:
 
 
 def load_time_logs(cfg: Config, parent: str | None = None) -> Counts:
-    """Incremental time-log fact, stored by start month."""
+    """Incremental time-log fact, stored by start month.
+
+    Logs too many to broadcast are written with their task keys, so that what
+    the source and the match with tasks shuffled can go, and then compared in
+    shares, if they are many as written too.
+    """
 
     def work(batch: str) -> Counts:
-        dims, logs = _dims(cfg), cfg.source("time_logs")
-        rows = facts.keyed_time_logs(logs, _fact(cfg, "fact_tasks"), dims.users)
+        dims, logs, written = _dims(cfg), cfg.source("time_logs"), []
+        ids = logs.select("log_id")
+        many = cfg.fact("fact_time_logs").exists() and not broadcastable(ids)
+
+        def settle(rows: DataFrame) -> DataFrame:
+            written.append(cut(rows))
+            release(cfg.spark)
+            return written[0]
+
+        rows = facts.keyed_time_logs(logs, _fact(cfg, "fact_tasks"), dims.users, *([settle] if many else []))
         return _incremental(
             cfg,
             "fact_time_logs",
             rows,
-            logs.select("log_id"),
+            ids,
             "time_log_id",
             "time_log_key",
             facts.LOG_TRACKED,
             "start_timestamp",
             lambda found: facts.with_log_measures(found, dims.time, batch, cfg.as_of, ["time_log_key", MONTHS["fact_time_logs"]]),
+            SHARES if written and not broadcastable(written[0]) else 1,
+            written,
         )
 
     return _step(cfg, parent, "fact_time_logs", "INCREMENTAL_LOAD", work)
@@ -255,7 +309,9 @@ def load_history(cfg: Config, parent: str | None = None) -> Counts:
         rows = assign_keys(changes.withColumn(month, month_of(F.col("changed_timestamp"))), "history_key", start=note["top"] + 1)
         n = rows.count()
         # All of one month, that of the load, so there is nothing to gather.
+        release(cfg.spark)
         table.commit(rows, layout=lambda df: df, note={"seen": number, "top": note["top"] + n})
+        discard(rows)
         table.compact()
         table.prune(cfg.keep_versions)
         return Counts(inserted=n)
@@ -274,7 +330,9 @@ def load_assignments(cfg: Config, parent: str | None = None) -> Counts:
         rows = cut(rows.withColumn(BUCKET, bucket_of(key, buckets)))
         if not table.exists():
             table.commit(rows, note={"buckets": buckets})
-            return Counts(inserted=rows.count())
+            n = rows.count()
+            discard(rows)
+            return Counts(inserted=n)
         stored = table.read()
         told = [c for c in rows.columns if not c.startswith("etl_") and c not in (*key, BUCKET)]
         a = stored.select(BUCKET, *key, F.struct(*told).alias("was"))
@@ -293,6 +351,7 @@ def load_assignments(cfg: Config, parent: str | None = None) -> Counts:
             table.commit(stays.select(*rows.columns).unionByName(fresh), replaced=touched, note={"buckets": buckets})
             table.prune(cfg.keep_versions)
         n = {r[0]: r[1] for r in kinds.groupBy("kind").agg(F.sum("n")).collect()}
+        discard(rows, kinds)
         return Counts(n.get("new", 0), n.get("changed", 0) + n.get("gone", 0), n.get("same", 0))
 
     return _step(cfg, parent, BRIDGE, "INCREMENTAL_LOAD", work)
@@ -306,7 +365,9 @@ def _load_snapshot(cfg: Config, name: str, rows: DataFrame) -> Counts:
     """Aggregates are stored by snapshot day; a rerun replaces that day."""
     rows = cut(rows.withColumn("snapshot_date", on(cfg.as_of)))
     replace_partitions(rows, f"{cfg.root}/{name}", ["snapshot_date"])
-    return Counts(inserted=rows.count())
+    n = rows.count()
+    discard(rows)
+    return Counts(inserted=n)
 
 
 def load_daily_metrics(cfg: Config, parent: str | None = None) -> Counts:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from workmill.functions.keys import assign_keys
 from workmill.operators import scd2
-from workmill.session import cut
+from workmill.session import cut, discard
 from workmill.sources.parts import Parts, bucket_of
 
 _PART = "part"
@@ -53,6 +53,7 @@ class DimensionTable:
             first = self._numbered(scd2.first_version(src, None, self.spec, as_of, batch_id), 1)
             n = first.count()
             self.parts.commit(self._placed(first), note={"top": n, "buckets": self.buckets})
+            discard(first)
             return dict.fromkeys(scd2.KINDS, 0) | {"new": n}
         note, stored = self.parts.note(), self.parts.read()
         seen = Observation()
@@ -68,7 +69,9 @@ class DimensionTable:
             stays = stored.filter(F.col(_PART).isin(touched)).join(closed.select(self.spec.key), self.spec.key, "left_anti")
             rows = stays.drop(_PART).select(*changes.columns).unionByName(closed).unionByName(fresh)
             self.parts.commit(self._placed(rows), replaced=touched, note={**note, "top": note["top"] + started})
+            discard(fresh)
             self.parts.compact(most)
+        discard(changes)
         return kinds
 
     def prune(self, keep: int = 2) -> None:
